@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .packing import pack_documents
+from .quality_rules import quality
 from .token_counts import token_counts
+from .url_filters import Entry, url_verdicts
 
 #: What the contracts of the queries fix.
 COUNT_LIMIT = 2048
 SEQUENCE_TOKENS = 1024
+URL_RULES = [Entry("com", "/en/", "block"), Entry("example.com", "/en/7", "allow"), Entry("net", "/de/", "block"), Entry("example.net", "/de/8", "block"), Entry("org", "/es/", "block")]
+#: Hosts of advertisers and link farms; each is listed with its subdomains.
+URL_HOSTS = [f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org")]
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,14 +27,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=SEQUENCE_TOKENS)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality(docs, trusted).drop("text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=COUNT_LIMIT)
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "over_limit")
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_verdicts(pages, [*URL_RULES, *(Entry(h, "", "block", rule=False) for h in URL_HOSTS)]).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op9_token_counts)}
+    return {f.__name__: f for f in (op4_packing, op7_quality_rules, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
