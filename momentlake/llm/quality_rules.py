@@ -19,6 +19,8 @@ from .common import free_name
 BUCKETS = 1 << 14
 #: Trusted documents that the target multinomial is estimated from, at most (those whose hashed ids are least).
 TRUSTED_ROWS = 20_000
+#: N-grams that the corpus lends to the trusted counts.
+PRIOR = 4 * BUCKETS
 #: Least mean log-likelihood ratio of a document that is kept.
 THRESHOLD = -0.08
 #: White space between words.
@@ -51,7 +53,8 @@ def buckets_of(hashes: Column) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = TRUSTED_ROWS) -> DataFrame:
-    """One row, ``ratios``: the log ratio of trusted to corpus probability for each bucket, add-one smoothed.
+    """One row, ``ratios``: the log ratio of trusted to corpus probability for each bucket. The corpus counts are
+    smoothed by one, the trusted ones by PRIOR n-grams of the corpus, so that few trusted rows say little.
 
     ``trusted_ids``: one column of ids; null ids are none, repeated ones count once. At most ``rows`` of
     them are used, which bounds what is broadcast. The corpus counts are of all rows.
@@ -63,11 +66,12 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_
     full = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("_bucket")).join(F.broadcast(counted), "_bucket", "left")
     row = full.groupBy().agg(
         F.array_sort(F.collect_list(F.struct("_bucket", F.coalesce("_raw", F.lit(0)).alias("r"), F.coalesce("_target", F.lit(0)).alias("t")))).alias("c"),
-        F.sum("_raw").alias("raw"),
-        F.sum("_target").alias("target"),
+        F.coalesce(F.sum("_raw"), F.lit(0)).alias("raw"),
+        F.coalesce(F.sum("_target"), F.lit(0)).alias("target"),
     )
-    log = lambda n, total: F.log((n + 1) / (F.coalesce(total, F.lit(0)) + BUCKETS))
-    return row.select(F.transform("c", lambda x: log(x["t"], F.col("target")) - log(x["r"], F.col("raw"))).alias("ratios"))
+    corpus = lambda x: (x["r"] + 1) / (F.col("raw") + BUCKETS)
+    target = lambda x: (x["t"] + PRIOR * corpus(x)) / (F.col("target") + PRIOR)
+    return row.select(F.transform("c", lambda x: F.log(target(x)) - F.log(corpus(x))).alias("ratios"))
 
 
 def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
