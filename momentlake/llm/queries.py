@@ -15,6 +15,7 @@ from .packing import pack_documents
 from .quality_rules import quality
 from .sharding import hash_bits, shard
 from .token_counts import token_counts
+from .toxicity import fold_of, score, train
 from .url_filters import Entry, url_verdicts
 
 #: What the contracts of the queries fix.
@@ -65,6 +66,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, trusted).drop("text")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts(docs, public_tokenizers.path("word_bpe_49k.json"), limit=COUNT_LIMIT)
@@ -77,7 +84,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op4_packing, op5_sharding, op7_quality_rules, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op4_packing, op5_sharding, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
