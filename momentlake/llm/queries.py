@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .chat_format import format_chats, read_back
 from .common import table
 from .decontamination import digest, find_hits
+from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .quality_rules import quality
 from .sharding import hash_bits, shard
@@ -49,6 +50,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), size=SEQUENCE_TOKENS)
@@ -84,7 +89,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op4_packing, op5_sharding, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
