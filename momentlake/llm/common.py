@@ -12,15 +12,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder that the cluster names, and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
 
-    Lost executors cost nothing then, and what comes after doesn't compute it again. Only a session
-    without such a folder (as in tests) gets one of this machine's own.
+    Only a session without one (as in tests) gets one of this machine's own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder by checkpoint(), and read from there: lost executors cost nothing then,
+    and what comes after doesn't compute it again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import html_extract
 from .chat_format import format_chats, read_back
 from .common import table
 from .decontamination import digest, find_hits
@@ -65,6 +66,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(sized, SHARD_BYTES, "bits").drop("bits")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    network = html_extract.train(html_extract.sample(pages, "html"))
+    return html_extract.extract(pages, network).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -89,7 +96,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
