@@ -34,6 +34,7 @@ RIDGE = 3e-5
 #: A toxic word must be this many times likelier in toxic documents, and come in so many families of copies.
 LEAST_RATIO, LEAST_FAMILIES = 20.0, 3
 PREDICT_FROM = 0.7
+CHUNK = 256
 CACHE_WORDS = 500_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -90,9 +91,22 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """The mean of the normalised kernels of all orders: 1 for equal strings, 0 where no sequence is shared."""
     if not a or not b:
         return np.zeros((len(a), len(b)))
-    own = lambda words: np.sqrt(_kernel(_codes(words, -1), _codes(words, -2)[:, None, :])[..., 0])
-    x, y, scale = _codes(a, -1), _codes(b, -2), own(a)[:, :, None] * own(b)[:, None, :]
-    return np.divide(_kernel(x, y), scale, out=np.zeros(scale.shape), where=scale > 1e-9).mean(0)
+    out = np.empty((len(a), len(b)))
+    if len(b) > 16 and len({len(w) for w in b}) > 1:  # short and long ones apart, so that less is padded
+        order = np.argsort([len(w) for w in b], kind="stable")
+        for half in np.array_split(order, 3):
+            out[:, half] = kernel(a, [b[j] for j in half])
+        return out
+    y, own_b = _codes(b, -2), _norms(b)
+    for i in range(0, len(a), CHUNK):  # so many at a time stay in a processor's cache
+        part = a[i : i + CHUNK]
+        scale = _norms(part)[:, :, None] * own_b[:, None, :]
+        out[i : i + CHUNK] = np.divide(_kernel(_codes(part, -1), y), scale, out=np.zeros(scale.shape), where=scale > 1e-9).mean(0)
+    return out
+
+
+def _norms(words: list[str]) -> np.ndarray:
+    return np.sqrt(_kernel(_codes(words, -1), _codes(words, -2)[:, None, :])[..., 0])
 
 
 @dataclass
@@ -106,11 +120,9 @@ class Model:
     def margins(self, strings: list[str]) -> np.ndarray:
         if not strings or not self.landmarks:
             return np.full(len(strings), -1.0)
+        order = np.argsort([len(s) for s in strings], kind="stable")
         out = np.empty(len(strings))
-        order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-        for i in range(0, len(order), 1024):
-            at = order[i : i + 1024]
-            out[at] = kernel([strings[j] for j in at], self.landmarks) @ self.weights + self.bias
+        out[order] = kernel([strings[i] for i in order], self.landmarks) @ self.weights + self.bias
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -142,11 +154,12 @@ def families(sketches: list[list[int]]) -> list[int]:
     return [root(i) for i in range(len(sketches))]
 
 
-def sketch_of(text: Column) -> Column:
-    """Least hashes of a text's windows of four words: near copies share most of them, other texts none."""
-    hashes = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w))
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size(hashes) - 4, F.lit(0))), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(4))))
-    return F.array(*(F.array_min(F.transform(windows, lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(6)))
+def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id`` and ``s``: least hashes of a text's windows of four words. Near copies share most of them, other texts none."""
+    words = docs.select(doc_id, F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w)).alias("h"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 4, F.lit(0)))
+    windows = words.select(doc_id, F.transform(starts, lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(4)))).alias("w"))
+    return windows.select(doc_id, F.array(*(F.array_min(F.transform("w", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(6))).alias("s"))
 
 
 def fit(toxic: list[str], clean: list[str]) -> Model:
@@ -166,6 +179,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
             left = [w for w, k in zip(left[1:], kernel(left[1:], out[-1:])[:, 0] if len(left) > 1 else []) if k < 0.4]
         return out
 
+    clean_at = {w: i for i, w in enumerate(clean)}
     marks = apart(toxic, LANDMARKS * 3 // 4)
     marks += apart(clean[:SAMPLE_WORDS], LANDMARKS // 4)
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
@@ -173,6 +187,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     # Words of one stem share one word's weight, and so do a word's disguises.
     alike = (kernel(toxic, toxic) > 0.4).sum(1)
     forms = [(v, 1 / n) for w, n in zip(toxic, alike) for v in [w, *variants(w)]]
+    clean.sort(key=lambda w: (clean_at[w] >= SAMPLE_WORDS, len(w)))
     near, weight, all_clean = clean[:SAMPLE_WORDS], np.zeros(len(marks)), kernel(clean, marks) @ root
     ups = kernel([w for w, _ in forms], marks) @ root
     chosen = np.arange(len(near))
@@ -288,7 +303,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             return fit([], [])
         # Words are counted by Spark; the most telling ones of each class come to the driver, SAMPLE_WORDS of them at most.
         # Copies of one toxic document share all their words; only words of several families tell anything.
-        rows_ = sample.where("_y = 1").select("_id", sketch_of(F.col("_text")).alias("s")).orderBy("_id").collect()
+        rows_ = sketches(sample.where("_y = 1"), "_id", "_text").orderBy("_id").collect()
         family = families([r["s"] for r in rows_])
         least = max(LEAST_FAMILIES, len(set(family)) // 100)
         of = docs.sparkSession.createDataFrame([(r["_id"], f) for r, f in zip(rows_, family)], f"_id {sample.schema['_id'].dataType.simpleString()}, f int")
