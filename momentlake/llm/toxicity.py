@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,10 @@ RIDGE = 3e-5
 #: A toxic word must be this many times likelier in toxic documents, and come in so many families of copies.
 LEAST_RATIO, LEAST_FAMILIES = 20.0, 3
 PREDICT_FROM = 0.7
-CHUNK = 256
+CHUNK = 512
+#: The margin of what has no likeness to toxic words.
+FLOOR = -1.0
+CLOSE = 0.2
 CACHE_WORDS = 500_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -71,19 +74,22 @@ def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Subsequence kernels of every row of ``a`` with every row of ``b`` (orders x n x m), or row by row if ``b`` has three dimensions (n x 1 x t)."""
     if b.ndim == 2:
         b = b[None]
-    t = b.shape[-1]
-    steps = np.arange(t)
+    n, m, t = len(a), b.shape[1], b.shape[2]
+    steps = np.arange(t - 1)
     damp = np.where(steps[None, :] >= steps[:, None], DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0).astype(np.float32)
     # inner[i][..., j]: common sequences of i letters in what is read so far and in the first j letters.
-    inner = [np.ones((len(a), b.shape[1], t), np.float32)] + [np.zeros((len(a), b.shape[1], t), np.float32) for _ in range(ORDERS[-1] - 1)]
-    total = np.zeros((len(ORDERS), len(a), b.shape[1]), np.float32)
+    inner = [np.ones((n, m, t), np.float32)] + [np.zeros((n, m, t), np.float32) for _ in range(ORDERS[-1] - 1)]
+    total = np.zeros((len(ORDERS), n, m), np.float32)
     for k in range(a.shape[1]):
-        same = (b == a[:, k, None, None]) * np.float32(DECAY**2)
-        for n, order in enumerate(ORDERS):
-            total[n] += np.einsum("nmt,nmt->nm", same, inner[order - 1])
-        for i in range(ORDERS[-1] - 1, 0, -1):
-            inner[i] *= DECAY
-            inner[i][..., 1:] += (same[..., :-1] * inner[i - 1][..., :-1]) @ damp[:-1, :-1]
+        same = (b == a[:, k, None, None]).astype(np.float32)
+        same *= DECAY**2
+        for i in range(ORDERS[-1] - 1, -1, -1):
+            met = same * inner[i]
+            if i + 1 in ORDERS:
+                total[ORDERS.index(i + 1)] += met.sum(-1)
+            if i + 1 < ORDERS[-1]:
+                inner[i + 1] *= DECAY
+                inner[i + 1][..., 1:] += (met[..., :-1].reshape(n * m, t - 1) @ damp).reshape(n, m, t - 1)
     return total
 
 
@@ -109,6 +115,11 @@ def _norms(words: list[str]) -> np.ndarray:
     return np.sqrt(_kernel(_codes(words, -1), _codes(words, -2)[:, None, :])[..., 0])
 
 
+def triples(s: str) -> set[str]:
+    """Three letters in a row, or with one left out between them."""
+    return {s[i : i + 3] for i in range(len(s) - 2)} | {s[i] + s[i + 1] + s[i + 3] for i in range(len(s) - 3)} | {s[i] + s[i + 2] + s[i + 3] for i in range(len(s) - 3)}
+
+
 @dataclass
 class Model:
     landmarks: list[str]
@@ -116,13 +127,19 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    #: Triples of the toxic words. A string that shares less than two of them, or a share of less than CLOSE of its own, is none of their like, and gets FLOOR.
+    triples: frozenset[str] = frozenset()
+
+    def close(self, s: str) -> bool:
+        own = triples(s)
+        return len(own & self.triples) >= max(min(2, len(s) - 2), CLOSE * len(own))
 
     def margins(self, strings: list[str]) -> np.ndarray:
         if not strings or not self.landmarks:
-            return np.full(len(strings), -1.0)
-        order = np.argsort([len(s) for s in strings], kind="stable")
-        out = np.empty(len(strings))
-        out[order] = kernel([strings[i] for i in order], self.landmarks) @ self.weights + self.bias
+            return np.full(len(strings), FLOOR)
+        order = sorted((i for i, s in enumerate(strings) if self.close(s)), key=lambda i: len(strings[i]))
+        out = np.full(len(strings), FLOOR)
+        out[order] = np.maximum(FLOOR, kernel([strings[i] for i in order], self.landmarks) @ self.weights + self.bias)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -170,18 +187,22 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     toxic = list(dict.fromkeys(s for w in toxic for s in strings_of(w)))
     clean = [s for s in dict.fromkeys(s for w in clean for s in strings_of(w)) if s not in set(toxic)]
     if not toxic or not clean:
-        return Model([], np.zeros(0), -1.0, 1.0, -3.0)
+        return Model([], np.zeros(0), FLOOR, 1.0, -3.0)
+
+    near_by = Model([], np.zeros(0), FLOOR, triples=frozenset(t for w in toxic for t in triples(w)))
+    clean = [s for s in clean if near_by.close(s)] or clean
 
     def apart(words: list[str], most: int) -> list[str]:
-        left, out = words, []
-        while left and len(out) < most:
-            out.append(left[0])
-            left = [w for w, k in zip(left[1:], kernel(left[1:], out[-1:])[:, 0] if len(left) > 1 else []) if k < 0.4]
-        return out
+        """The first word, then again and again the one that is least like those chosen."""
+        chosen, like = [words[0]], kernel(words, words[:1])[:, 0]
+        while len(chosen) < min(most, len(words)) and like.min() < 0.9:
+            chosen.append(words[int(like.argmin())])
+            like = np.maximum(like, kernel(words, chosen[-1:])[:, 0])
+        return chosen
 
     clean_at = {w: i for i, w in enumerate(clean)}
     marks = apart(toxic, LANDMARKS * 3 // 4)
-    marks += apart(clean[:SAMPLE_WORDS], LANDMARKS // 4)
+    marks += apart(clean[: SAMPLE_WORDS // 4], LANDMARKS // 4)
     values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
     root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
     # Words of one stem share one word's weight, and so do a word's disguises.
@@ -200,7 +221,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         weight, bias = _machine(x, y, share)
         hardest = np.argsort(-(all_clean @ weight + bias), kind="stable")[: SAMPLE_WORDS // 4]
         chosen = np.union1d(np.arange(len(near)), hardest)
-    return Model(marks, root @ weight, bias)
+    return Model(marks, root @ weight, bias, triples=near_by.triples)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
@@ -232,7 +253,7 @@ def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
         hess = design.T @ (design * (weight * p * (1 - p))[:, None]) + np.diag([1e-5, 1e-6])
         step = np.linalg.solve(hess, grad)
         theta = theta - step / max(1, np.abs(step).max() / 2)
-    return Model(model.landmarks, model.weights, model.bias, max(float(theta[0]), 0.1), float(theta[1]))
+    return replace(model, slope=max(float(theta[0]), 0.1), shift=float(theta[1]))
 
 
 class _Margins(dict):
@@ -253,7 +274,7 @@ class _Margins(dict):
         read = {w: strings_of(w) for w in new}
         unread = list({s for strings in read.values() for s in strings} - self.strings.keys())
         self.strings.update(zip(unread, self.model.margins(unread).tolist()))
-        self.update((w, max(map(self.strings.__getitem__, strings), default=-1.0)) for w, strings in read.items())
+        self.update((w, max(map(self.strings.__getitem__, strings), default=FLOOR)) for w, strings in read.items())
 
 
 #: Of this worker: the model it has last worked with, and the words' margins.
@@ -280,7 +301,7 @@ def with_margin(docs: DataFrame, model: Model, text: str = "text", to: str = "ma
             for at in range(0, b.num_rows, 64):
                 sets = [words_in(t.as_py()) for t in b.column(text).slice(at, 64)]
                 known.learn(set().union(*sets))
-                out += [max(map(known.__getitem__, s), default=-1.0) for s in sets]
+                out += [max(map(known.__getitem__, s), default=FLOOR) for s in sets]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, to])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
