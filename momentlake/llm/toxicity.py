@@ -25,7 +25,7 @@ from .common import free_name
 ORDERS, DECAY = (3, 4), 0.6
 #: Letters that a string may have; longer words are read in windows that overlap by half.
 WIDTH = 16
-LANDMARKS = 40
+LANDMARKS = 32
 #: Labelled rows of each class that are learned from, at most (those whose hashed ids are least).
 SAMPLE_ROWS = 5_000
 #: Toxic words that are learned from, at most; clean ones are chosen from five times as many.
@@ -37,8 +37,8 @@ PREDICT_FROM = 0.7
 CHUNK = 512
 #: The margin of what has no likeness to toxic words.
 FLOOR = -1.0
-CLOSE = 0.2
-CACHE_WORDS = 500_000
+CLOSE = 0.28
+CACHE_WORDS = 900_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -64,10 +64,11 @@ def words_in(text: str | None) -> set[str]:
 
 
 def _codes(strings: list[str], pad: int) -> np.ndarray:
-    out = np.full((len(strings), max(map(len, strings), default=1)), pad, np.int32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = [ord(c) for c in s]
-    return out
+    """A row of code points for each string, padded."""
+    width = max(map(len, strings), default=1)
+    joined = "".join([s.ljust(width, "\0") for s in strings])
+    out = np.frombuffer(joined.encode("utf-32-le"), np.int32).reshape(len(strings), width)
+    return np.where(out == 0, pad, out)
 
 
 def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
