@@ -52,14 +52,16 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
     new = ["n_words", "spans", "n_hit", "items", "n_items", "contaminated"]
     kept = docs.drop(*(c for c in new if c != text))
     own = [c for c in kept.columns if c != text]
-    row, words, word = (free_name(kept, c) for c in ("_row", "_words", "_word"))
+    # The caller's columns travel in one struct, so that none of their names can meet one of those below.
+    carried = F.struct(F.lit(True).alias("base"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(own)))
+    row, words, word = "_row", "_words", "_word"
     grams = ngrams(items, item_id, item_text, n)
     none = docs.sparkSession.range(1).select(F.lit(None).cast("string").alias("_item"), F.array().cast("array<string>").alias("_gram"), F.lit("").alias("_key"), F.lit(0).alias("_at"))
     filed = grams.unionByName(none)
     small = items.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0] <= BROADCAST_CHARS
     filed = F.broadcast(filed) if small else filed
 
-    scanned = kept.select(F.monotonically_increasing_id().alias(row), *(F.col(f"`{c}`") for c in own), normal_words(kept[text]).alias(words))
+    scanned = kept.select(F.monotonically_increasing_id().alias(row), carried.alias("_own"), normal_words(kept[text]).alias(words))
     # An empty first word finds the entry that no document word can find: the row that says how many words there are.
     exploded = scanned.select("*", F.posexplode(F.concat(F.array(F.lit("")), words)).alias("_pos", word))
     start = F.col("_pos") - 1 - F.col("_at")
@@ -68,7 +70,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
     base = F.size("_gram") == 0
     slim = hits.select(
         row,
-        F.when(base, F.struct(*(F.col(f"`{c}`") for c in own), F.size(words).cast("long").alias("n_words"))).alias("_base"),
+        F.when(base, F.struct("_own", F.size(words).cast("long").alias("n_words"))).alias("_base"),
         F.when(~base, F.struct(start.alias("start"), (start + F.size("_gram")).alias("end"))).alias("_span"),
         "_item",
     )
@@ -80,7 +82,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))
         ),
     )
-    spans = summed.select(*(F.col("_base")[c].alias(c) for c in [*own, "n_words"]), F.when(F.size("_found") == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(merged).alias("spans"), "items")
+    spans = summed.select(*(F.col("_base._own")[f"c{k}"].alias(c) for k, c in enumerate(own)), F.col("_base.n_words").alias("n_words"), F.when(F.size("_found") == 0, F.array().cast("array<struct<start:int,end:int>>")).otherwise(merged).alias("spans"), "items")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
     counted = spans.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long")})
     return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
