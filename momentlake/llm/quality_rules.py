@@ -125,7 +125,10 @@ def judge(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
-    return step.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)))
+    # The last term is true for every row. It isn't deterministic to the optimizer, so that a caller's filter on these columns stays
+    # above them: pushed below, it would repeat the lambdas inside each other until the plan can't be compiled.
+    here = F.spark_partition_id() >= 0
+    return step.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(False)) & here)
 
 
 def quality(docs: DataFrame, trusted_ids: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
