@@ -4,8 +4,9 @@ The kernel (Lodhi et al. 2002) sums over all letter sequences of one length that
 allowed and damped, so an insult with inserted or missing letters still looks like itself. Strings are
 words, and runs of single letters read as one word. Landmarks, weights and calibration come from a bounded
 sample of labelled rows; a document's score is that of its most suspicious word, through a logistic curve
-that is fitted to documents (multiple-instance learning). A word's margin is worked out once in each
-Python worker, in batches; a document then costs a look at each of its distinct words.
+that is fitted to documents (multiple-instance learning). Every word goes through the kernel, whatever it looks
+like: its margin is worked out once in each Python worker, in batches, and a document then costs a look at
+each of its distinct words.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,9 @@ RIDGE = 3e-5
 #: A toxic word must be this many times likelier in toxic documents, and come in so many families of copies.
 LEAST_RATIO, LEAST_FAMILIES = 20.0, 3
 PREDICT_FROM = 0.7
-CHUNK = 512
-#: The margin of what has no likeness to toxic words.
+CHUNK = 1024
+#: The margin of a text without words, and the least that a word can have.
 FLOOR = -1.0
-CLOSE = 0.28
 CACHE_WORDS = 900_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
@@ -71,54 +72,78 @@ def _codes(strings: list[str], pad: int) -> np.ndarray:
     return np.where(out == 0, pad, out)
 
 
-def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Subsequence kernels of every row of ``a`` with every row of ``b`` (orders x n x m), or row by row if ``b`` has three dimensions (n x 1 x t)."""
-    if b.ndim == 2:
-        b = b[None]
-    n, m, t = len(a), b.shape[1], b.shape[2]
-    steps = np.arange(t - 1)
-    damp = np.where(steps[None, :] >= steps[:, None], DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0).astype(np.float32)
-    # inner[i][..., j]: common sequences of i letters in what is read so far and in the first j letters.
-    inner = [np.ones((n, m, t), np.float32)] + [np.zeros((n, m, t), np.float32) for _ in range(ORDERS[-1] - 1)]
-    total = np.zeros((len(ORDERS), n, m), np.float32)
+@lru_cache(maxsize=256)
+def _places(b: tuple[str, ...]) -> tuple[np.ndarray, dict[int, tuple[int, int, np.ndarray]]]:
+    """The places of the letters of all strings, equal letters side by side: whose each is (places x strings), and for each
+    letter its first and last place and what it costs to come to them from the earlier places of the same string."""
+    text, owner = np.frombuffer("".join(b).encode("utf-32-le"), np.int32), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    order = np.argsort(text, kind="stable")
+    gap = order[None, :] - order[:, None] - 1
+    damp = np.where((owner[order][None, :] == owner[order][:, None]) & (gap >= 0), DECAY ** gap.clip(0), 0) * DECAY**2
+    found, starts, counts = np.unique(text[order], return_index=True, return_counts=True)
+    return np.eye(len(b), dtype=np.float32)[owner[order]], {int(c): (at, at + n, damp[:, at : at + n].astype(np.float32)) for c, at, n in zip(found, starts.tolist(), counts.tolist())}
+
+
+def _kernel(a: np.ndarray, b: tuple[str, ...]) -> np.ndarray:
+    """Subsequence kernels of every row of ``a`` with every string of ``b`` (orders x n x m).
+
+    A letter only touches the places where ``b`` has it, so rows are taken letter by letter, those with the same one together.
+    """
+    owner, letters = _places(b)
+    top = ORDERS[-1] - 1
+    # seen[:, i]: common sequences of i + 1 letters in what is read so far, by the place of the last one; a letter read at k is kept divided by DECAY ** k.
+    seen = np.zeros((len(a), top, len(owner)), np.float32)
+    total = np.zeros((len(a), top, len(owner)), np.float32)  # of i + 2 letters
     for k in range(a.shape[1]):
-        same = (b == a[:, k, None, None]).astype(np.float32)
-        same *= DECAY**2
-        for i in range(ORDERS[-1] - 1, -1, -1):
-            met = same * inner[i]
-            if i + 1 in ORDERS:
-                total[ORDERS.index(i + 1)] += met.sum(-1)
-            if i + 1 < ORDERS[-1]:
-                inner[i + 1] *= DECAY
-                inner[i + 1][..., 1:] += (met[..., :-1].reshape(n * m, t - 1) @ damp).reshape(n, m, t - 1)
-    return total
+        order = np.argsort(a[:, k], kind="stable")
+        found, starts = np.unique(a[order, k], return_index=True)
+        for c, rows in zip(found.tolist(), np.split(order, starts[1:])):
+            if c not in letters:
+                continue
+            low, high, damp = letters[c]
+            met = np.full((len(rows), top + 1, high - low), DECAY**2, np.float32)
+            if k:
+                met[:, 1:] = (seen[rows].reshape(-1, len(owner)) @ (damp * np.float32(DECAY ** (k - 1)))).reshape(len(rows), top, -1)
+                total[rows, :, low:high] += met[:, 1:]
+            else:
+                met[:, 1:] = 0
+            seen[rows, :, low:high] += met[:, :-1] * np.float32(DECAY**-k)
+    return np.stack([total[:, o - 2] @ owner for o in ORDERS])
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """The mean of the normalised kernels of all orders: 1 for equal strings, 0 where no sequence is shared."""
-    if not a or not b:
-        return np.zeros((len(a), len(b)))
-    out = np.empty((len(a), len(b)))
-    if len(b) > 16 and len({len(w) for w in b}) > 1:  # short and long ones apart, so that less is padded
-        order = np.argsort([len(w) for w in b], kind="stable")
-        for half in np.array_split(order, 3):
-            out[:, half] = kernel(a, [b[j] for j in half])
-        return out
-    y, own_b = _codes(b, -2), _norms(b)
-    for i in range(0, len(a), CHUNK):  # so many at a time stay in a processor's cache
-        part = a[i : i + CHUNK]
-        scale = _norms(part)[:, :, None] * own_b[:, None, :]
-        out[i : i + CHUNK] = np.divide(_kernel(_codes(part, -1), y), scale, out=np.zeros(scale.shape), where=scale > 1e-9).mean(0)
+    out = np.zeros((len(a), len(b)))
+    for j in range(0, len(b) if a else 0, LANDMARKS):
+        some = tuple(b[j : j + LANDMARKS])
+        own_b = _norms(list(some))
+        for i in range(0, len(a), CHUNK):  # so many at a time stay in a processor's cache
+            part = a[i : i + CHUNK]
+            scale = _norms(part)[:, :, None] * own_b[:, None, :]
+            out[i : i + CHUNK, j : j + LANDMARKS] = np.divide(_kernel(_codes(part, -1), some), scale, out=np.zeros(scale.shape), where=scale > 1e-9).mean(0)
     return out
 
 
 def _norms(words: list[str]) -> np.ndarray:
-    return np.sqrt(_kernel(_codes(words, -1), _codes(words, -2)[:, None, :])[..., 0])
-
-
-def triples(s: str) -> set[str]:
-    """Three letters in a row, or with one left out between them."""
-    return {s[i : i + 3] for i in range(len(s) - 2)} | {s[i] + s[i + 1] + s[i + 3] for i in range(len(s) - 3)} | {s[i] + s[i + 2] + s[i + 3] for i in range(len(s) - 3)}
+    """The roots of the kernels of words with themselves (orders x n)."""
+    a, b = _codes(words, -1), _codes(words, -2)
+    n, t = b.shape
+    steps = np.arange(t - 1)
+    damp = np.where(steps[None, :] >= steps[:, None], DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0).astype(np.float32)
+    # inner[i][:, j]: common sequences of i letters in what is read so far and in the first j letters.
+    inner = [np.ones((n, t), np.float32)] + [np.zeros((n, t), np.float32) for _ in range(ORDERS[-1] - 1)]
+    total = np.zeros((len(ORDERS), n), np.float32)
+    for k in range(t):
+        same = (b == a[:, k, None]).astype(np.float32)
+        same *= DECAY**2
+        for i in range(ORDERS[-1] - 1, -1, -1):
+            met = same * inner[i]
+            if i + 1 in ORDERS:
+                total[ORDERS.index(i + 1)] += met.sum(-1)
+            if i + 1 < ORDERS[-1]:
+                inner[i + 1] *= DECAY
+                inner[i + 1][:, 1:] += met[:, :-1] @ damp
+    return np.sqrt(total)
 
 
 @dataclass
@@ -128,18 +153,12 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    #: Triples of the toxic words. A string that shares less than two of them, or a share of less than CLOSE of its own, is none of their like, and gets FLOOR.
-    triples: frozenset[str] = frozenset()
-
-    def close(self, s: str) -> bool:
-        own = triples(s)
-        return len(own & self.triples) >= max(min(2, len(s) - 2), CLOSE * len(own))
 
     def margins(self, strings: list[str]) -> np.ndarray:
         if not strings or not self.landmarks:
             return np.full(len(strings), FLOOR)
-        order = sorted((i for i, s in enumerate(strings) if self.close(s)), key=lambda i: len(strings[i]))
-        out = np.full(len(strings), FLOOR)
+        order = sorted(range(len(strings)), key=lambda i: len(strings[i]))  # words of like length together, so that less is padded
+        out = np.empty(len(strings))
         out[order] = np.maximum(FLOOR, kernel([strings[i] for i in order], self.landmarks) @ self.weights + self.bias)
         return out
 
@@ -190,9 +209,6 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
     if not toxic or not clean:
         return Model([], np.zeros(0), FLOOR, 1.0, -3.0)
 
-    near_by = Model([], np.zeros(0), FLOOR, triples=frozenset(t for w in toxic for t in triples(w)))
-    clean = [s for s in clean if near_by.close(s)] or clean
-
     def apart(words: list[str], most: int) -> list[str]:
         """The first word, then again and again the one that is least like those chosen."""
         chosen, like = [words[0]], kernel(words, words[:1])[:, 0]
@@ -222,7 +238,7 @@ def fit(toxic: list[str], clean: list[str]) -> Model:
         weight, bias = _machine(x, y, share)
         hardest = np.argsort(-(all_clean @ weight + bias), kind="stable")[: SAMPLE_WORDS // 4]
         chosen = np.union1d(np.arange(len(near)), hardest)
-    return Model(marks, root @ weight, bias, triples=near_by.triples)
+    return Model(marks, root @ weight, bias)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:

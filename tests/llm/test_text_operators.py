@@ -403,6 +403,17 @@ def test_no_labels_call_nothing_toxic(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).where("predicted = 1").isEmpty()
 
 
+def test_no_word_is_kept_from_the_kernel(spark):
+    model = toxicity.train(*toy(spark))
+    words = ["ixdioxt", "sxcuxmbxag", "mxorxon", "ixdixoxt", "stone", "the", "zzz", "ölpreis"]  # gaps on gaps, and words that share nothing
+    want = np.maximum(toxicity.FLOOR, toxicity.kernel(words, model.landmarks) @ model.weights + model.bias)
+    got = model.margins(words)
+    assert np.allclose(got, want, atol=1e-5)
+    assert got[:4].min() > max(toxicity.FLOOR, got[4:].max())
+    scores = by_id(toxicity.score(docs_of(spark, ["you ixdioxt", "the stone"]), model), "score")
+    assert scores[0] > scores[1]
+
+
 def test_kernel_equals_its_definition():
     from itertools import combinations
 
