@@ -113,7 +113,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     Jaccard similarity with its own) and ``n_rows`` (rows with this text and id ``copy_id``).
 
     Null and empty texts are one class; texts without words have no links. A text of fewer than ``size`` words is one
-    shingle. An empty table gives no rows.
+    shingle. A null id is no text's least id while another row of the text has one, and a text without any id has links
+    like others; ``keeper`` is the ``_class`` of the text that ``class_id`` is taken from. An empty table gives no rows.
     """
     depth = prefix_depth(threshold)
 
@@ -135,7 +136,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     rows = docs.select(F.md5(whole_text).alias("_class"), docs[doc_id].alias("_id"), whole_text.alias("_text"))
     signed = rows.select(word_hashes(F.col("_text")).alias("_words"), "_class", "_id").mapInArrow(sign, f"_class string, _id {id_type}, _keys array<bigint>")
     # Equal texts have equal keys. A class's row is summed on the map side first, so a text that a third of all rows share is no burden.
-    reps = cut(signed.groupBy("_class", "_keys", "_id").agg(F.count("*").alias("n")).groupBy("_class", "_keys").agg(F.min(F.struct("_id", "n")).alias("least")).select("_class", "_keys", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows")))
+    reps = cut(signed.groupBy("_class", "_keys", "_id").agg(F.count("*").alias("n")).groupBy("_class", "_keys").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("least")).select("_class", "_keys", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows")))
     entries = reps.where("_keys IS NOT NULL").select("_class", "_keys", F.posexplode("_keys").alias("tree", "key"))
     # Groups of the same classes in several trees are kept once, in the first tree: it is where their pairs first meet.
     groups = entries.groupBy("tree", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_class")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("_class"))).alias("y")).where("n > 1")
@@ -146,7 +147,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     tasks = cut(members.select("_class", "_keys", "tree", "key", "_mine", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high")))
     # One text of each class that has candidates; only these go to the tasks.
     wanted = tasks.select("_class").distinct().join(reps.select("_class", F.col("copy_id").alias("_id")), "_class")
-    sets = rows.join(wanted, ["_class", "_id"], "left_semi").select("_class", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_words").alias("_words"))
+    own = rows.join(wanted, (rows["_class"] == wanted["_class"]) & rows["_id"].eqNullSafe(wanted["_id"]), "left_semi")
+    sets = own.select("_class", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_words").alias("_words"))
     loaded = tasks.join(sets, "_class")
 
     def verify(group: pa.Table) -> pa.Table:
@@ -163,10 +165,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     roots = components(found.select(F.col("_class").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("_class").agg(F.sum("links").alias("n_links"))
     grouped = roots.join(reps.select(F.col("_class").alias("node"), "copy_id"), "node")
-    firsts_ = grouped.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    ids = grouped.select("node", "root").join(firsts_, "root").select(F.col("node").alias("_class"), "class_id")
+    firsts_ = grouped.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "node")).alias("least")).select("root", F.col("least.copy_id").alias("class_id"), F.col("least.node").alias("keeper"))
+    ids = grouped.select("node", "root").join(firsts_, "root").select(F.col("node").alias("_class"), "class_id", "keeper")
     out = reps.select("_class", "copy_id", "n_rows").join(counts, "_class", "left").join(ids, "_class", "left")
-    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows")
+    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows", F.coalesce("keeper", "_class").alias("keeper"))
 
 
 def link_counts(flat: np.ndarray, firsts: np.ndarray, keys: np.ndarray, mine: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -216,8 +218,8 @@ def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: float) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id. Columns stay as they are. Rows that are repeated whole stay once."""
-    found = near_duplicates(docs, text, doc_id, **options).where(F.col("copy_id").eqNullSafe(F.col("class_id"))).select("_class", F.col("copy_id").alias("_id"), "n_rows")
+    """``docs`` with one row of each group: that of the least id (a null one if no row of the group has another). Columns stay as they are. Rows that are repeated whole stay once."""
+    found = near_duplicates(docs, text, doc_id, **options).where("_class = keeper").select("_class", F.col("copy_id").alias("_id"), "n_rows")
     found = cut(found)
     key, own = free_name(docs, "_class_key"), [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, F.md5(F.coalesce(docs[text], F.lit(""))))

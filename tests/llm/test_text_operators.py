@@ -357,6 +357,17 @@ def test_one_of_each_group_stays(spark):
     assert jaccard_join.jaccard_join(df.limit(0)).collect() == []
 
 
+def test_null_ids_lose_no_links(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other, far = " ".join(base), " ".join([*base, "more"]), " ".join(f"x{i}" for i in range(60))
+    more = " ".join(f"y{i}" for i in range(60))
+    df = spark.createDataFrame([(None, near), (5, near), (3, other), (None, far), (None, f"{far} more"), (None, more), (None, more)], DOCS)
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_join(df).collect()), key=repr)
+    assert got == sorted([(None, 3, 1, 5), (5, 3, 1, 5), (3, 3, 1, 3), (None, None, 1, None), (None, None, 1, None), (None, None, 0, None), (None, None, 0, None)], key=repr)
+    kept = [tuple(r) for r in jaccard_join.one_of_each(df).collect()]
+    assert len(kept) == 3 and (3, other) in kept and (None, more) in kept
+
+
 def test_forest_depth_reaches_its_recall():
     k = jaccard_join.prefix_depth()
     assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
