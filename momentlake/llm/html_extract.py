@@ -28,7 +28,7 @@ SAMPLE_PAGES, COMPOSED_PAGES = 120, 420
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 512, 256, 16, 8, 16
 NUMBERS = 8
 EPOCHS, BATCH, RATE, SEED = 14, 30, 0.02, 7
-#: Blocks up to which a page is read in one sequence; longer ones in stretches that overlap by half on each side.
+#: Blocks that are read at once; the states of longer pages go on from one such stretch to the next.
 STRETCH = 512
 
 _SKIP = ("script", "style", "noscript", "template", "svg", "title", "iframe", "object")
@@ -52,7 +52,7 @@ class Block:
 
 @lru_cache(maxsize=50_000)
 def _path_parts(tag: str, attributes: str) -> tuple[int, ...]:
-    names = [tag] + [f".{n.lower()}" for m in _NAMED.finditer(attributes) for n in _NAME.findall(m[1] or m[2] or m[3] or "")][:6]
+    names = [tag] + [f".{n.lower()}" for m in _NAMED.finditer(attributes) for n in _NAME.findall(m[1] or m[2] or m[3] or "")]
     return tuple(zlib.crc32(n.encode()) % PATH_BUCKETS for n in names)
 
 
@@ -70,7 +70,7 @@ def blocks_of(page: str | None) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             tags = tuple(t for t, _ in stack if t not in _INLINE)
-            path = tuple(dict.fromkeys(x for t, p in stack[-10:] if t not in _INLINE for x in p))
+            path = tuple(dict.fromkeys(x for t, p in stack if t not in _INLINE for x in p))
             out.append(Block(text, path, min(1.0, linked / len(text)), tags))
         parts.clear()
         linked = 0
@@ -123,7 +123,7 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     n = len(blocks)
     path = [x for b in blocks for x in b.path]
     path_of = np.repeat(np.arange(n), [len(b.path) for b in blocks])
-    words = [b.text.split()[:24] for b in blocks]
+    words = [b.text.split() for b in blocks]
     word = [_word_bucket(w) for ws in words for w in ws]
     word_of = np.repeat(np.arange(n), [len(w) for w in words])
     numbers = np.zeros((n, NUMBERS), np.float32)
@@ -163,10 +163,10 @@ class Network:
     def _sig(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
-    def _run(self, x: np.ndarray, d: str, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """x: time x batch x width. States past a sequence's end are held at zero, so that reading backwards starts at its end."""
+    def _run(self, x: np.ndarray, d: str, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, list, tuple[np.ndarray, np.ndarray]]:
+        """x: time x batch x width; ``state``: where the stretch read before has ended. States past a sequence's end are held at zero, so that reading backwards starts at its end."""
         steps, n = x.shape[:2]
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out, kept = np.zeros((steps, n, HIDDEN), np.float32), [None] * steps
         pre = x @ self.p[f"x{d}"] + self.p[f"g{d}"]
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
@@ -179,13 +179,16 @@ class Network:
             m = mask[t][:, None]
             h, c = o * tc * m, c_new * m
             out[t] = h
-        return out, kept
+        return out, kept, (h, c)
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        hf, kf = self._run(x, "f", mask)
-        hb, kb = self._run(x, "b", mask)
+    def _top(self, hf: np.ndarray, hb: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = np.concatenate([hf, hb, x[..., :PATH_DIM]], axis=2)
-        return self._sig((top @ self.p["out"])[..., 0] + self.p["bias"]), top, kf, kb
+        return self._sig((top @ self.p["out"])[..., 0] + self.p["bias"]), top
+
+    def forward(self, x: np.ndarray, mask: np.ndarray):
+        hf, kf, _ = self._run(x, "f", mask)
+        hb, kb, _ = self._run(x, "b", mask)
+        return *self._top(hf, hb, x), kf, kb
 
     def _back(self, x: np.ndarray, d: str, kept: list, dh_all: np.ndarray, mask: np.ndarray, grads: dict) -> np.ndarray:
         steps, n = x.shape[:2]
@@ -252,23 +255,43 @@ class Network:
             v += 0.001 * (g * g - v)
             self.p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
+    def _stretch(self, group: list[list[Block]], at: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the network reads of each page's blocks from ``at`` on, STRETCH of them at most."""
+        here = [(j, b[at : at + STRETCH]) for j, b in enumerate(group) if len(b) > at]
+        longest = max(len(b) for _, b in here)
+        x, mask = np.zeros((longest, len(group), PATH_DIM + WORD_DIM + NUMBERS), np.float32), np.zeros((longest, len(group)), np.float32)
+        for j, blocks in here:
+            f = features(blocks)
+            f[4][:, 6] = (at + np.arange(len(blocks))) / max(1, len(group[j]) - 1)
+            x[: len(blocks), j], mask[: len(blocks), j] = self.inputs(f), 1
+        return x, mask
+
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """The chance of each block to be main text. Pages of like length are read together, long ones in overlapping stretches."""
-        jobs = [(i, at) for i, blocks in enumerate(pages) if blocks for at in range(0, max(1, len(blocks) - STRETCH // 2), STRETCH // 2)]
+        """The chance of each block to be main text. Pages of like length are read together, whole: in each direction
+        the states go on from stretch to stretch."""
         out = [np.zeros(len(b), np.float32) for b in pages]
-        jobs.sort(key=lambda j: min(STRETCH, len(pages[j[0]]) - j[1]))
-        for k in range(0, len(jobs), 128):
-            part = jobs[k : k + 128]
-            feats = []
-            for i, at in part:
-                f = features(pages[i][at : at + STRETCH])
-                f[4][:, 6] = (at + np.arange(len(f[4]))) / max(1, len(pages[i]) - 1)
-                feats.append(f)
-            p = self.forward(*self._batch(feats))[0]
-            for j, (i, at) in enumerate(part):
-                n = len(feats[j][4])
-                skip = STRETCH // 4 if at else 0
-                out[i][at + skip : at + n] = p[skip:n, j]
+        groups: list[list[int]] = []
+        for i in sorted((i for i, b in enumerate(pages) if b), key=lambda i: len(pages[i])):
+            if groups and len(groups[-1]) < 128 and (len(groups[-1]) + 1) * len(pages[i]) <= 128 * STRETCH:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        for group in groups:
+            part = [pages[i] for i in group]
+            ats, state, ahead = range(0, len(part[-1]), STRETCH), None, []
+            for at in ats:
+                x, mask = self._stretch(part, at)
+                hidden, _, state = self._run(x, "f", mask, state)
+                ahead.append(hidden)
+            state = None
+            for k in range(len(ats) - 1, -1, -1):
+                if k < len(ats) - 1:
+                    x, mask = self._stretch(part, ats[k])
+                hidden, _, state = self._run(x, "b", mask, state)
+                p = self._top(ahead.pop(), hidden, x)[0]
+                for j, i in enumerate(group):
+                    n = len(pages[i][ats[k] : ats[k] + STRETCH])
+                    out[i][ats[k] : ats[k] + n] = p[:n, j]
         return out
 
 

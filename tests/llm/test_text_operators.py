@@ -470,6 +470,20 @@ def test_extraction_on_layouts_it_has_not_seen(spark):
     assert html_extract.extract(df.limit(0), network).collect() == []
 
 
+def test_blocks_are_read_whole(monkeypatch):
+    page = "<article class='a b c d e f g h'>" + "<div>" * 14 + "<p>" + "w " * 30 + "last</p>"
+    block = html_extract.blocks_of(page)[0]
+    assert {html_extract.zlib.crc32(n.encode()) % html_extract.PATH_BUCKETS for n in ("article", ".h", "p")} <= set(block.path)
+    assert html_extract._word_bucket("last") == html_extract.features([block])[2][-1] and len(html_extract.features([block])[2]) == 31
+    net = html_extract.Network()
+    net.p = {k: v * 4 for k, v in net.p.items()}  # far-reaching states
+    pages = [html_extract.blocks_of("".join(f"<p class='c{i * k % 7}'>text {i} of {k}</p>" for i in range(n))) for k, n in enumerate([3, 40, 17, 0, 16])]
+    whole = net.label(pages)
+    monkeypatch.setattr(html_extract, "STRETCH", 8)
+    assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(whole, net.label(pages)))
+    assert [len(p) for p in whole] == [3, 40, 17, 0, 16]
+
+
 def test_backward_pass_equals_differences():
     net = html_extract.Network(3)
     blocks = html_extract.blocks_of(PAGE)
