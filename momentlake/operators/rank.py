@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -59,12 +60,33 @@ def blend_weight(votes: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (votes - BLEND_FROM) / F.lit(float(BLEND_FULL - BLEND_FROM))))
 
 
+def _places(df: DataFrame, score: str, tie: str) -> DataFrame:
+    """``df`` with ``_i``, the 0-based place of a row among all, and ``_n``, their number: places in ranges of the ranking, moved by the rows in the ranges before."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-"))
+    # Written first: ranges are sampled, and must be the same for the counts and the places.
+    ranged = df.repartitionByRange(F.desc(score), F.col(tie)).withColumn("_p", F.spark_partition_id()).checkpoint()
+    before, total = [], 0
+    for r in ranged.groupBy("_p").count().orderBy("_p").collect():  # a row for each range
+        before.append((r["_p"], total))
+        total += r["count"]
+    starts = df.sparkSession.createDataFrame(before, "_p int, _before long")
+    w = Window.partitionBy("_p").orderBy(F.desc(score), tie)
+    placed = ranged.withColumn("_i", F.row_number().over(w) - 1).join(F.broadcast(starts), "_p")
+    return placed.withColumns({"_i": F.col("_i") + F.col("_before"), "_n": F.lit(total).cast("long")}).drop("_p", "_before")
+
+
 def bands(df: DataFrame, by: Sequence[str], score: str, tie: str, size: int = ROUND_SIZE) -> DataFrame:
-    """``df`` with ``band`` (0-based, by place, best first) and ``third``. Bands are cut at even places of the ranking."""
-    w = Window.partitionBy(*by)
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(F.desc(score), tie)) - 1
-    out = df.withColumns({"_i": i, "_n": n})
+    """``df`` with ``band`` (0-based, by place, best first) and ``third``. Bands are cut at even places of the ranking.
+
+    Without ``by`` all rows are one group, and no task holds it.
+    """
+    if by:
+        w = Window.partitionBy(*by)
+        out = df.withColumns({"_i": F.row_number().over(w.orderBy(F.desc(score), tie)) - 1, "_n": F.count("*").over(w)})
+    else:
+        out = _places(df, score, tie)
     part = F.when(F.col("_n") > 1, F.col("_i") / F.nullif(F.col("_n") - 1, F.lit(0))).otherwise(F.lit(0.0))
     out = out.withColumn("band", (F.ceil(F.lit(size) * (F.col("_i") + 1) / F.col("_n")) - 1).cast("int"))
     return out.withColumn("third", F.when(part < 1 / 3, "high").when(part < 2 / 3, "medium").otherwise("low")).drop("_i", "_n")

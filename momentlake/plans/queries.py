@@ -251,7 +251,7 @@ def rank_blend(spark, d):
 select doc_id, (ceil(15 * (i + 1) / n) - 1)::int band, case when i / greatest(n - 1, 1) < 1 / 3 then 'high' when i / greatest(n - 1, 1) < 2 / 3 then 'medium' else 'low' end third from k""".replace("15 * (i + 1) / n", "15 * (i + 1)::double / n"))
 def draw_bands(spark, d):
     """Rating rounds are drawn from one person's moments; here the labelled documents stand for them, as one group."""
-    return rank.bands(_labelled(spark, d).withColumn("g", F.lit(1)), ["g"], "n_chars", "doc_id").select("doc_id", "band", "third")
+    return rank.bands(_labelled(spark, d), [], "n_chars", "doc_id").select("doc_id", "band", "third")
 
 
 @query(f"""with {EV}, s as (select r, i, regr_slope(ln(greatest(v * 100, 1)), t / 3600) over w slope, count(*) over w n from ev window w as (partition by r order by t, i rows between 7 preceding and current row))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -45,7 +47,20 @@ def cooled(hits: DataFrame, by: str, t: str, seconds: float) -> DataFrame:
 
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What a stream over finite input gives, as a table of this session's memory. For tests and small runs."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream over finite input gives, written to the shared folder by the executors, batch by batch, and read from there."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-"))
+    folder = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    batches: list[int] = []
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{batch}")  # a batch that is tried again replaces itself
+        batches.append(batch)
+
+    query = stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    # In complete mode each batch gives all rows anew.
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/rows/{b}" for b in (batches[-1:] if mode == "complete" else sorted(set(batches)))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from momentlake.functions import scalars as S
 from momentlake.operators import detect, intervals, laps, learn, moments, rank, series
+from momentlake.streaming import sessions
 from momentlake.sources import records
 
 
@@ -192,3 +193,23 @@ def test_klv_and_json_lines(spark):
     line = '{"key": "k", "machine_id": "m", "voted_at": "t", "vote": 1}'
     lines = spark.createDataFrame([(line,), (line,), ('{"key": "k", "vo',), ("",)], "value string")
     assert records.vote_lines(lines, "key string, machine_id string, voted_at string, vote int").count() == 1
+
+
+def test_bands_of_all_rows_are_no_task_s_alone(spark):
+    df = spark.createDataFrame([(i, i * 7 % 50, 1) for i in range(400)], "k long, s long, g int")
+    got = rank.bands(df, [], "s", "k")
+    want = rank.bands(df, ["g"], "s", "k")
+    assert sorted(map(tuple, got.select("k", "band", "third").collect())) == sorted(map(tuple, want.select("k", "band", "third").collect()))
+    plan = got._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "hashpartitioning(g" not in plan
+    assert rank.bands(df.limit(0), [], "s", "k").collect() == []
+
+
+def test_a_drained_stream_is_read_from_files(spark, tmp_path):
+    for i in range(2):
+        spark.range(i * 10, i * 10 + 10).write.parquet(f"{tmp_path}/in/{i}")
+    source = lambda: spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    rows = sessions.drained(spark, source(), "rows_once")
+    assert sorted(r["id"] for r in rows.collect()) == list(range(20)) and rows.inputFiles()
+    total = sessions.drained(spark, source().groupBy().count(), "counted", "complete")
+    assert [r["count"] for r in total.collect()] == [20] and total.inputFiles()
