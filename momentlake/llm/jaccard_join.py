@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact verification counts links.
+"""N-gram Jaccard join: MinHash banding finds candidates, exact verification counts links.
 
-Equal texts are one class first. Each class has a signature of TREES x DEPTH least hashes over its set of word
-shingles. A tree sorts the classes by their own DEPTH hashes, most significant first - a prefix trie - and
-two classes are candidates where they share a prefix. The prefix is shortened, from DEPTH hashes on, until
-a pair at the threshold is found with the target recall. Candidates are compared exactly, set against set,
+Equal texts are one class first. Each class has TREES keys, each folded from the least hashes over its set of word
+shingles under a few hash functions; two classes are candidates where they share a key. How many functions a key
+has, DEPTH at most, is fixed beforehand, so that a pair at the threshold is found with the target recall. This is
+plain banding: it stands for a MinHash LSH forest, which would sort signatures and shorten prefixes. Candidates are compared exactly, set against set,
 in blocks: a group of candidates is cut into blocks of at most BLOCK classes and each two blocks are one
 task, so no task grows with a group. A pair is counted in the first tree that brings it together. What
 leaves a task is, for each class, the number of its links, and a spanning forest of them - never the pairs.
@@ -33,7 +33,7 @@ _SEED = 20_240_229
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
     """The longest prefix with which a pair at ``threshold`` meets in one of the trees with probability ``recall``.
 
-    The walk up the forest: from the leaves on, one level at a time, until the recall is reached; 1 if it never is.
+    Worked out from these numbers alone, before any data is read; 1 if the recall is never reached.
     """
     for k in range(depth, 1, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
