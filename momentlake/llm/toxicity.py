@@ -1,20 +1,23 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nyström landmarks.
 
-The kernel (Lodhi et al. 2002) sums over all letter sequences of one length that two strings share, gaps
-allowed and damped, so an insult with inserted or missing letters still looks like itself. Strings are
-words, and runs of single letters read as one word. Landmarks, weights and calibration come from a bounded
-sample of labelled rows; a document's score is that of its most suspicious word, through a logistic curve
-that is fitted to documents (multiple-instance learning). Every word goes through the kernel, whatever it looks
-like: its margin is worked out once in each Python worker, in batches, and a document then costs a look at
-each of its distinct words.
+The kernel (Lodhi et al. 2002) sums over all letter sequences of one length that two strings share, gaps allowed and damped, so
+an insult with inserted or missing letters still looks like itself; normalised kernels of several lengths are averaged and
+raised to a power, which is a kernel again. The machine learns from labelled sentences: a sentence's strings (its words, and
+runs of single letters read as one word) bear the label of its text, so a string that clean and toxic sentences share alike
+tells nothing, and one that toxic sentences have more often, or that is like such strings, gets a large margin. Telling strings
+are shown disguised too. A text is scored by its most suspicious strings, through logistic curves fitted to labelled
+texts. Every string of every text goes through the kernel.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +26,32 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Letters of a subsequence, and what each letter that it spans costs.
-ORDERS, DECAY = (3, 4), 0.6
+#: Letters of a subsequence, what each letter that it spans costs, and the power of the mean kernel.
+ORDERS, DECAY, POWER = (2, 3), 0.7, 3
 #: Letters that a string may have; longer words are read in windows that overlap by half.
-WIDTH = 16
-LANDMARKS = 32
+WIDTH = 14
+#: Landmarks among telling strings, and among others (twice: at large, and those that come closest to the margin).
+TELLING_MARKS, OTHER_MARKS = 64, 16
 #: Labelled rows of each class that are learned from, at most (those whose hashed ids are least).
 SAMPLE_ROWS = 5_000
-#: Toxic words that are learned from, at most; clean ones are chosen from five times as many.
-SAMPLE_WORDS = 4_000
-RIDGE = 3e-5
-#: A toxic word must be this many times likelier in toxic documents, and come in so many families of copies.
-LEAST_RATIO, LEAST_FAMILIES = 20.0, 3
+#: Strings of their sentences that are learned from, at most: telling ones first, then by hash.
+SAMPLE_STRINGS = 30_000
+RIDGE = 1e-6
+#: What calling clean strings toxic costs against missing toxic ones, and the power that evens out how often strings are.
+COST, FLAT = 10.0, 0.3
+#: How much a disguise counts against the string itself.
+DISGUISE = 1.0
+#: A string is telling if the likelihood ratio of its counts (G) is at least this. It bears the counts of all strings that are like it by NEAR at least.
+LEAST_G, NEAR = 20.0, 0.58
+#: A text's strings that its score is read from: so many of the largest margins.
+TOP = 3
 PREDICT_FROM = 0.7
-CHUNK = 1024
-#: The margin of a text without words, and the least that a word can have.
-FLOOR = -1.0
-CACHE_WORDS = 900_000
+#: Letter sequences that are worked out at once; about what a processor's cache holds.
+CHUNK = 1 << 13
+#: The margin of a text without words, and the least and most that a string can have.
+FLOOR, CLIP = -1.0, 1.5
+#: Words that a Python worker remembers before it starts afresh.
+CACHE_WORDS = 300_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -55,7 +67,7 @@ def strings_of(word: str) -> list[str]:
     parts = _PARTS.findall(word.lower())
     if len(parts) > 1:
         parts.append("".join(parts))
-    return [p[i : i + WIDTH] for p in parts if len(p) >= ORDERS[0] for i in (range(0, max(1, len(p) - WIDTH // 2), WIDTH // 2) if len(p) > WIDTH else (0,))]
+    return [p[i : i + WIDTH] for p in parts if len(p) > 2 for i in (range(0, max(1, len(p) - WIDTH // 2), WIDTH // 2) if len(p) > WIDTH else (0,))]
 
 
 def words_in(text: str | None) -> set[str]:
@@ -64,86 +76,108 @@ def words_in(text: str | None) -> set[str]:
     return words
 
 
-def _codes(strings: list[str], pad: int) -> np.ndarray:
-    """A row of code points for each string, padded."""
-    width = max(map(len, strings), default=1)
-    joined = "".join([s.ljust(width, "\0") for s in strings])
-    out = np.frombuffer(joined.encode("utf-32-le"), np.int32).reshape(len(strings), width)
-    return np.where(out == 0, pad, out)
-
-
-@lru_cache(maxsize=256)
-def _places(b: tuple[str, ...]) -> tuple[np.ndarray, dict[int, tuple[int, int, np.ndarray]]]:
-    """The places of the letters of all strings, equal letters side by side: whose each is (places x strings), and for each
-    letter its first and last place and what it costs to come to them from the earlier places of the same string."""
-    text, owner = np.frombuffer("".join(b).encode("utf-32-le"), np.int32), np.repeat(np.arange(len(b)), [len(s) for s in b])
-    order = np.argsort(text, kind="stable")
-    gap = order[None, :] - order[:, None] - 1
-    damp = np.where((owner[order][None, :] == owner[order][:, None]) & (gap >= 0), DECAY ** gap.clip(0), 0) * DECAY**2
-    found, starts, counts = np.unique(text[order], return_index=True, return_counts=True)
-    return np.eye(len(b), dtype=np.float32)[owner[order]], {int(c): (at, at + n, damp[:, at : at + n].astype(np.float32)) for c, at, n in zip(found, starts.tolist(), counts.tolist())}
-
+@lru_cache(maxsize=128)
+def _tuples(n: int, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all letter sequences of a string of ``n`` letters (order x number) and what each costs."""
+    at = np.array(list(combinations(range(n), order)), np.int64).reshape(-1, order).T
+    return at, (DECAY ** (at[-1] - at[0] + 1)).astype(np.float32)
+
+
+def _by_length(strings: list[str], most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of strings of one length and their code points, as many at a time as CHUNK allows, ``most`` at most."""
+    order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
+    lengths = np.array([len(strings[i]) for i in order])
+    for n in np.unique(lengths).tolist():
+        same = order[np.searchsorted(lengths, n) : np.searchsorted(lengths, n, "right")]
+        step = max(1, min(most, CHUNK // comb(n, min(n, max(ORDERS))))) if n else len(same)
+        for at in range(0, len(same), step):
+            here = same[at : at + step]
+            yield np.array(here), np.frombuffer("".join([strings[i] for i in here]).encode("utf-32-le"), np.int32).reshape(len(here), n)
+
+
+def _norms(codes: np.ndarray) -> np.ndarray:
+    """The roots of the kernels of strings of one length with themselves (orders x strings)."""
+    n, t = codes.shape
+    steps = np.arange(t)
+    damp = np.where(steps[None, :] > steps[:, None], DECAY ** (steps[None, :] - steps[:, None] - 1).clip(0), 0).astype(np.float32)
+    same = (codes[:, :, None] == codes[:, None, :]) * np.float32(DECAY**2)
+    total, ends = np.zeros((len(ORDERS), n), np.float32), same
+    for o in range(1, min(max(ORDERS), t) + 1):
+        if o > 1:  # a sequence goes on at any later place of both; ends is symmetric
+            ahead = (ends.reshape(-1, t) @ damp).reshape(n, t, t).transpose(0, 2, 1)
+            ends = same * (ahead.reshape(-1, t) @ damp).reshape(n, t, t)
+        if o in ORDERS:
+            total[ORDERS.index(o)] = ends.sum((1, 2))
+    return np.sqrt(total)
 
-def _kernel(a: np.ndarray, b: tuple[str, ...]) -> np.ndarray:
-    """Subsequence kernels of every row of ``a`` with every string of ``b`` (orders x n x m).
 
-    A letter only touches the places where ``b`` has it, so rows are taken letter by letter, those with the same one together.
-    """
-    owner, letters = _places(b)
-    top = ORDERS[-1] - 1
-    # seen[:, i]: common sequences of i + 1 letters in what is read so far, by the place of the last one; a letter read at k is kept divided by DECAY ** k.
-    seen = np.zeros((len(a), top, len(owner)), np.float32)
-    total = np.zeros((len(a), top, len(owner)), np.float32)  # of i + 2 letters
-    for k in range(a.shape[1]):
-        order = np.argsort(a[:, k], kind="stable")
-        found, starts = np.unique(a[order, k], return_index=True)
-        for c, rows in zip(found.tolist(), np.split(order, starts[1:])):
-            if c not in letters:
+class _Sequences:
+    """Letter sequences of landmarks, numbered; ``weights``: what each landmark has of them, divided by its norm (sequences x landmarks), for each order."""
+
+    def __init__(self, landmarks: list[str]):
+        self.letters = np.unique(np.frombuffer("".join(landmarks).encode("utf-32-le"), np.int32)) if landmarks else np.zeros(0, np.int32)
+        self.n, self.numbers = len(landmarks), [None] * len(ORDERS)
+        self.keys: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+        found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in ORDERS]
+        for at, codes in _by_length(landmarks):
+            norms = _norms(codes)
+            for k, keys, cost in self._keys(codes):
+                found[k].append((keys.ravel(), np.repeat(at, keys.shape[1]), (cost / np.maximum(norms[k], 1e-9)[:, None]).ravel()))
+        for parts in found:
+            keys, at, cost = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            own, number = np.unique(keys, return_inverse=True)
+            weights = np.zeros((len(own), len(landmarks)), np.float32)
+            np.add.at(weights, (number, at), cost)
+            self.keys.append(own)
+            self.weights.append(weights)
+
+    def _keys(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each order: its number, a key for each letter sequence (strings x sequences), and their costs. Letters that no landmark has are 0."""
+        if not len(self.letters):
+            return
+        at = np.searchsorted(self.letters, codes).clip(0, len(self.letters) - 1)
+        ids, base = np.where(self.letters[at] == codes, at + 1, 0), len(self.letters) + 1
+        for k, o in enumerate(ORDERS):
+            if o > codes.shape[1]:
                 continue
-            low, high, damp = letters[c]
-            met = np.full((len(rows), top + 1, high - low), DECAY**2, np.float32)
-            if k:
-                met[:, 1:] = (seen[rows].reshape(-1, len(owner)) @ (damp * np.float32(DECAY ** (k - 1)))).reshape(len(rows), top, -1)
-                total[rows, :, low:high] += met[:, 1:]
-            else:
-                met[:, 1:] = 0
-            seen[rows, :, low:high] += met[:, :-1] * np.float32(DECAY**-k)
-    return np.stack([total[:, o - 2] @ owner for o in ORDERS])
-
+            places, cost = _tuples(codes.shape[1], o)
+            keys = ids[:, places[0]]
+            for row in places[1:]:
+                keys = keys * base + ids[:, row]
+            yield k, keys, cost
+
+    def values(self, strings: list[str]) -> np.ndarray:
+        """The kernel of each string with each landmark (strings x landmarks)."""
+        out = np.zeros((len(strings), self.n), np.float32)
+        for at, codes in _by_length(strings):
+            norms, total = np.maximum(_norms(codes), 1e-9), np.zeros((len(at), self.n), np.float32)
+            for k, keys, cost in self._keys(codes):
+                found = self._find(k, keys)
+                rows, places = np.nonzero(found)  # sequences that a landmark has too; rows in order
+                if len(rows):
+                    shared = self.weights[k][found[rows, places] - 1] * cost[places][:, None]
+                    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
+                    total[rows[firsts]] += np.add.reduceat(shared, firsts, axis=0) / norms[k, rows[firsts], None]
+            out[at] = (total / len(ORDERS)) ** POWER
+        return out
 
-def kernel(a: list[str], b: list[str]) -> np.ndarray:
-    """The mean of the normalised kernels of all orders: 1 for equal strings, 0 where no sequence is shared."""
-    out = np.zeros((len(a), len(b)))
-    for j in range(0, len(b) if a else 0, LANDMARKS):
-        some = tuple(b[j : j + LANDMARKS])
-        own_b = _norms(list(some))
-        for i in range(0, len(a), CHUNK):  # so many at a time stay in a processor's cache
-            part = a[i : i + CHUNK]
-            scale = _norms(part)[:, :, None] * own_b[:, None, :]
-            out[i : i + CHUNK, j : j + LANDMARKS] = np.divide(_kernel(_codes(part, -1), some), scale, out=np.zeros(scale.shape), where=scale > 1e-9).mean(0)
-    return out
+    def _find(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Each key's number from 1 on, 0 for those that no landmark has: by an array if it is small enough, else by binary search."""
+        size = (len(self.letters) + 1) ** ORDERS[k]
+        if size > 1 << 23:
+            own = self.keys[k]
+            at = np.searchsorted(own, keys).clip(0, len(own) - 1)
+            return np.where(own[at] == keys, at + 1, 0)
+        if self.numbers[k] is None:
+            self.numbers[k] = np.zeros(size, np.int32)
+            self.numbers[k][self.keys[k]] = np.arange(1, len(self.keys[k]) + 1)
+        return self.numbers[k][keys]
 
 
-def _norms(words: list[str]) -> np.ndarray:
-    """The roots of the kernels of words with themselves (orders x n)."""
-    a, b = _codes(words, -1), _codes(words, -2)
-    n, t = b.shape
-    steps = np.arange(t - 1)
-    damp = np.where(steps[None, :] >= steps[:, None], DECAY ** (steps[None, :] - steps[:, None]).clip(0), 0).astype(np.float32)
-    # inner[i][:, j]: common sequences of i letters in what is read so far and in the first j letters.
-    inner = [np.ones((n, t), np.float32)] + [np.zeros((n, t), np.float32) for _ in range(ORDERS[-1] - 1)]
-    total = np.zeros((len(ORDERS), n), np.float32)
-    for k in range(t):
-        same = (b == a[:, k, None]).astype(np.float32)
-        same *= DECAY**2
-        for i in range(ORDERS[-1] - 1, -1, -1):
-            met = same * inner[i]
-            if i + 1 in ORDERS:
-                total[ORDERS.index(i + 1)] += met.sum(-1)
-            if i + 1 < ORDERS[-1]:
-                inner[i + 1] *= DECAY
-                inner[i + 1][:, 1:] += met[:, :-1] @ damp
-    return np.sqrt(total)
+def kernel(a: list[str], b: list[str]) -> np.ndarray:
+    """The mean of the normalised kernels of all orders, to the power POWER (a x b): 1 for equal strings, 0 where no sequence is shared."""
+    return _Sequences(b).values(a)
 
 
 @dataclass
@@ -151,28 +185,40 @@ class Model:
     landmarks: list[str]
     weights: np.ndarray  # of the kernel values with the landmarks (Nyström map and hyperplane multiplied)
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
+    first: tuple[float, ...] = (1.0, -3.0)  # slope of a text's largest margin, and shift
+    curve: tuple[float, ...] = (1.0, *[0.0] * (TOP - 1), -3.0)  # slopes of a text's TOP margins, and shift
+    _marks: _Sequences | None = field(default=None, repr=False, compare=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"_marks": None}
 
     def margins(self, strings: list[str]) -> np.ndarray:
+        """The margin of each string: the kernel machine with landmarks and weights multiplied out."""
+        out = np.full(len(strings), FLOOR)
         if not strings or not self.landmarks:
-            return np.full(len(strings), FLOOR)
-        order = sorted(range(len(strings)), key=lambda i: len(strings[i]))  # words of like length together, so that less is padded
-        out = np.empty(len(strings))
-        out[order] = np.maximum(FLOOR, kernel([strings[i] for i in order], self.landmarks) @ self.weights + self.bias)
+            return out
+        if self._marks is None:
+            self._marks = _Sequences(self.landmarks)
+        for i in range(0, len(strings), 8192):
+            out[i : i + 8192] = np.clip(self._marks.values(strings[i : i + 8192]) @ self.weights + self.bias, FLOOR, CLIP)
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.shift, -30, 30)))
+    def score(self, tops: np.ndarray) -> np.ndarray:
+        """The chance that a text is toxic, by its TOP margins (texts x TOP)."""
+        tops = np.asarray(tops, float).reshape(-1, TOP)
+        z = np.maximum(tops[:, :1] @ self.first[:-1] + self.first[-1], tops @ self.curve[:-1] + self.curve[-1])
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def variants(word: str) -> list[str]:
-    """A word as it is disguised: a letter put in, doubled or left out, in places that depend on the word alone."""
+    """A word as it is disguised: a letter or two put in, one doubled or left out, in places that depend on the word alone."""
     n = len(word)
-    at = [1 + (k * (n - 1)) // 3 for k in range(3)] if n > 3 else [1]
-    return list(
-        dict.fromkeys([*(word[:i] + _INSERTS[(i + n) % 4] + word[i:] for i in at), *(word[:i] + word[i - 1] + word[i:] for i in at), *(word[: i - 1] + word[i:] for i in at[1:] if n > 5)])
-    )
+    at = range(1, n)
+    once = [word[:i] + _INSERTS[(i + n) % len(_INSERTS)] + word[i:] for i in at]
+    twice = [word[:i] + _INSERTS[i % len(_INSERTS)] + word[i : i + 2] + _INSERTS[(i + 3) % len(_INSERTS)] + word[i + 2 :] for i in range(1, n - 1)]
+    doubled = [word[:i] + word[i - 1] + word[i:] for i in at]
+    short = [word[:i] + word[i + 1 :] for i in range(1, n - 1)] if n > 5 else []
+    return list(dict.fromkeys(w[:WIDTH] for w in [*once, *twice, *doubled, *short]))
 
 
 def families(sketches: list[list[int]]) -> list[int]:
@@ -199,78 +245,102 @@ def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return windows.select(doc_id, F.array(*(F.array_min(F.transform("w", lambda h, k=k: F.xxhash64(h, F.lit(k)))) for k in range(6))).alias("s"))
 
 
-def fit(toxic: list[str], clean: list[str]) -> Model:
-    """Landmarks by greedy choice (toxic words that no landmark is like, then clean ones), and a linear machine with squared hinge loss.
+def _g(t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Twice the log of the likelihood ratio of two shares, negative where the toxic one is smaller."""
+    part = lambda k, n, p: k * np.log(np.maximum(p, 1e-12)) + (n - k) * np.log(np.maximum(1 - p, 1e-12))
+    a, b, both = t / max(toxic, 1), c / max(clean, 1), (t + c) / max(toxic + clean, 1)
+    return 2 * (part(t, toxic, a) + part(c, clean, b) - part(t, toxic, both) - part(c, clean, both)) * np.sign(a - b)
+
+
+def _apart(strings: list[str], most: int) -> list[str]:
+    """The first string, then again and again the one that is least like those chosen."""
+    if not strings:
+        return []
+    alike = kernel(strings, strings)
+    chosen, like = [0], alike[:, 0]
+    while len(chosen) < min(most, len(strings)) and like.min() < 0.9:
+        chosen.append(int(like.argmin()))
+        like = np.maximum(like, alike[:, chosen[-1]])
+    return [strings[i] for i in chosen]
+
+
+def fit(strings: list[str], t: np.ndarray, c: np.ndarray, toxic: int, clean: int) -> Model:
+    """A linear machine with squared hinge loss in the Nyström space of landmarks.
 
-    It is fitted twice: the second time with the clean words that came closest to the margin.
+    ``t`` and ``c``: of how many of the ``toxic`` and ``clean`` texts a string is. It is an example of each class, weighted by
+    its share of that class's strings; a telling one's disguises are examples too.
     """
-    toxic = list(dict.fromkeys(s for w in toxic for s in strings_of(w)))
-    clean = [s for s in dict.fromkeys(s for w in clean for s in strings_of(w)) if s not in set(toxic)]
-    if not toxic or not clean:
-        return Model([], np.zeros(0), FLOOR, 1.0, -3.0)
-
-    def apart(words: list[str], most: int) -> list[str]:
-        """The first word, then again and again the one that is least like those chosen."""
-        chosen, like = [words[0]], kernel(words, words[:1])[:, 0]
-        while len(chosen) < min(most, len(words)) and like.min() < 0.9:
-            chosen.append(words[int(like.argmin())])
-            like = np.maximum(like, kernel(words, chosen[-1:])[:, 0])
-        return chosen
-
-    clean_at = {w: i for i, w in enumerate(clean)}
-    marks = apart(toxic, LANDMARKS * 3 // 4)
-    marks += apart(clean[: SAMPLE_WORDS // 4], LANDMARKS // 4)
-    values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
-    root = vectors / np.sqrt(np.maximum(values, 1e-4)) @ vectors.T
-    # Words of one stem share one word's weight, and so do a word's disguises.
-    alike = (kernel(toxic, toxic) > 0.4).sum(1)
-    forms = [(v, 1 / n) for w, n in zip(toxic, alike) for v in [w, *variants(w)]]
-    clean.sort(key=lambda w: (clean_at[w] >= SAMPLE_WORDS, len(w)))
-    near, weight, all_clean = clean[:SAMPLE_WORDS], np.zeros(len(marks)), kernel(clean, marks) @ root
-    ups = kernel([w for w, _ in forms], marks) @ root
-    chosen = np.arange(len(near))
-    for _ in range(2):
-        x = np.concatenate([ups, all_clean[chosen]])
-        y = np.array([1.0] * len(forms) + [-1.0] * len(chosen))
-        share = np.concatenate([[n for _, n in forms], np.ones(len(chosen))])
-        share[y > 0] *= 0.5 / share[y > 0].sum()
-        share[y < 0] *= 0.5 / share[y < 0].sum()
-        weight, bias = _machine(x, y, share)
-        hardest = np.argsort(-(all_clean @ weight + bias), kind="stable")[: SAMPLE_WORDS // 4]
-        chosen = np.union1d(np.arange(len(near)), hardest)
+    g = _g(t, c, toxic, clean)
+    telling = [strings[i] for i in np.argsort(-g, kind="stable") if g[i] >= LEAST_G]
+    if not telling or not clean:
+        return Model([], np.zeros(0), FLOOR)
+    place = {s: i for i, s in enumerate(strings)}
+    # A telling string stands for those like it: it and its disguises bear the counts of all of them.
+    telling = telling[: 4 * TELLING_MARKS]
+    base = kernel(strings, telling) ** (1 / POWER)
+    alike = np.where(base >= NEAR, base, 0)
+    up, down = t / t.sum(), COST * c / c.sum()
+    near_up, near_down = alike.T @ up, alike.T @ down
+    forms = [(v, j) for j, s in enumerate(telling) for v in variants(s) if v not in place]
+    here, of = [place[s] for s in telling], [j for _, j in forms]
+    up[here], down[here] = near_up, near_down
+    up, down = np.concatenate([up, DISGUISE * near_up[of]]), np.concatenate([down, DISGUISE * near_down[of]])
+    flat = np.maximum(up + down, 1e-12) ** (FLAT - 1)
+    up, down = up * flat / (flat * (up + down)).sum(), down * flat / (flat * (up + down)).sum()
+    marks = _apart(telling, TELLING_MARKS)
+    others = [s for s, x in zip(strings, g) if x < LEAST_G]
+    marks += _apart(others[: 8 * OTHER_MARKS], OTHER_MARKS)
+    for again in (True, False):
+        values, vectors = np.linalg.eigh(kernel(marks, marks).astype(float))
+        root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
+        x = kernel(strings + [v for v, _ in forms], marks) @ root
+        weight, bias = _machine(x, up, down)
+        if again:  # the clean strings that come closest are landmarks too
+            f = x[: len(strings)] @ weight + bias
+            hard = [strings[i] for i in np.argsort(-f, kind="stable") if g[i] < LEAST_G and t[i] * clean < 3 * c[i] * toxic + 1][: 4 * OTHER_MARKS]
+            marks += _apart(hard, OTHER_MARKS)
+            marks = list(dict.fromkeys(marks))
     return Model(marks, root @ weight, bias)
 
 
-def _machine(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """Newton's method on the squared hinge: least squares over the rows inside the margin, until those stay the same."""
-    w, b, before = np.zeros(x.shape[1]), 0.0, None
-    design = np.column_stack([x, np.ones(len(x))])
-    ridge = np.diag([RIDGE] * x.shape[1] + [1e-9])
-    for _ in range(50):
-        inside = y * (x @ w + b) < 1
-        if before is not None and (inside == before).all():
+def _machine(x: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, float]:
+    """Newton's method on the squared hinge of rows that are examples of both classes, weighted: least squares over the rows inside the margin, until those stay the same."""
+    design = np.column_stack([x, np.ones(len(x))]).astype(float)
+    ridge, w, before = np.diag([RIDGE] * x.shape[1] + [1e-9]), np.zeros(x.shape[1] + 1), None
+    for _ in range(30):
+        f = design @ w
+        inside = (f < 1, f > -1)
+        if before is not None and all((a == b).all() for a, b in zip(inside, before)):
             break
-        rows = design[inside] * share[inside, None]
-        new = np.linalg.solve(design[inside].T @ rows + ridge, rows.T @ y[inside])
-        w, b, before = new[:-1], float(new[-1]), inside
-    return w, b
+        plus, minus = up * inside[0], down * inside[1]
+        w, before = np.linalg.solve(design.T @ (design * (plus + minus)[:, None]) + ridge, design.T @ (plus - minus)), inside
+    return w[:-1], float(w[-1])
+
+
+def _curve(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Slopes, none negative, and shift of a logistic curve, by Newton's method."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        design, theta = np.column_stack([x[:, use], np.ones(len(x))]), np.zeros(use.sum() + 1)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+            grad = design.T @ (p - labels) / len(labels) + 1e-4 * theta
+            hess = design.T @ (design * (p * (1 - p))[:, None]) / len(labels) + 1e-4 * np.eye(len(theta))
+            step = np.linalg.solve(hess, grad)
+            theta = theta - step / max(1, np.abs(step).max() / 2)
+        if (theta[:-1] >= 0).all():
+            break
+        use[np.flatnonzero(use)[int(theta[:-1].argmin())]] = False
+    out = np.zeros(x.shape[1] + 1)
+    out[np.append(use, True)] = theta
+    return out
 
 
-def calibrate(model: Model, margins: np.ndarray, labels: np.ndarray) -> Model:
-    """Slope and shift of the logistic curve, by Newton's method, with Platt's softened targets; the slope stays positive."""
-    if len(margins) == 0 or labels.min() == labels.max():
+def calibrate(model: Model, tops: np.ndarray, labels: np.ndarray) -> Model:
+    """The curve over the largest margin alone and the one over all TOP margins, from labelled texts."""
+    if len(labels) == 0 or labels.min() == labels.max():
         return model
-    ups, downs = labels.sum(), (1 - labels).sum()
-    target = np.where(labels == 1, (ups + 1) / (ups + 2), 1 / (downs + 2))
-    weight = np.where(labels == 1, 0.5 / ups, 0.5 / downs)
-    design, theta = np.column_stack([margins, np.ones(len(margins))]), np.array([1.0, 0.0])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        grad = design.T @ (weight * (p - target)) + 1e-5 * theta * (1, 0)
-        hess = design.T @ (design * (weight * p * (1 - p))[:, None]) + np.diag([1e-5, 1e-6])
-        step = np.linalg.solve(hess, grad)
-        theta = theta - step / max(1, np.abs(step).max() / 2)
-    return replace(model, slope=max(float(theta[0]), 0.1), shift=float(theta[1]))
+    return replace(model, first=tuple(map(float, _curve(tops[:, :1], labels))), curve=tuple(map(float, _curve(tops, labels))))
 
 
 class _Margins(dict):
@@ -279,19 +349,25 @@ class _Margins(dict):
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.strings: dict[str, float] = {}
 
     def learn(self, words: set[str]) -> None:
-        new = words - self.keys()
+        new = {w for w in words if w not in self}
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()
             new = words
-        if len(self.strings) > CACHE_WORDS:
-            self.strings.clear()
         read = {w: strings_of(w) for w in new}
-        unread = list({s for strings in read.values() for s in strings} - self.strings.keys())
-        self.strings.update(zip(unread, self.model.margins(unread).tolist()))
-        self.update((w, max(map(self.strings.__getitem__, strings), default=FLOOR)) for w, strings in read.items())
+        strings = list({s for several in read.values() for s in several})
+        margin = dict(zip(strings, self.model.margins(strings).tolist()))
+        self.update((w, max(map(margin.__getitem__, several), default=FLOOR)) for w, several in read.items())
+
+    def tops(self, words: set[str]) -> list[float]:
+        """The TOP largest margins among different strings; a word is one string however it is written or followed."""
+        out: dict[str, float] = {}
+        for w in heapq.nlargest(8 * TOP, words, key=self.__getitem__):
+            out.setdefault("".join(_PARTS.findall(w.lower())), self[w])
+            if len(out) == TOP:
+                break
+        return [*out.values(), *[FLOOR] * (TOP - len(out))]
 
 
 #: Of this worker: the model it has last worked with, and the words' margins.
@@ -306,54 +382,60 @@ def _margins(model: Model) -> _Margins:
     return _own[key]
 
 
-def with_margin(docs: DataFrame, model: Model, text: str = "text", to: str = "margin") -> DataFrame:
-    """``docs`` with the margin of each text's most suspicious word; -1 for a text without words, or null. No shuffle."""
+def with_tops(docs: DataFrame, model: Model, text: str = "text", to: str = "tops") -> DataFrame:
+    """``docs`` with the TOP largest margins of each text's strings, largest first; FLOOR where a text, or null, has fewer. No shuffle."""
     kept = docs.drop(to)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANDMARKS strings and weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # about a hundred strings and weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _margins(shared.value)
         for b in batches:
             out: list[float] = []
-            for at in range(0, b.num_rows, 64):
-                sets = [words_in(t.as_py()) for t in b.column(text).slice(at, 64)]
+            for at in range(0, b.num_rows, 256):
+                sets = [words_in(t.as_py()) for t in b.column(text).slice(at, 256)]
                 known.learn(set().union(*sets))
-                out += [max(map(known.__getitem__, s), default=FLOOR) for s in sets]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], [*b.schema.names, to])
+                for s in sets:
+                    out += known.tops(s)
+            lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * TOP, np.array(out, float))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, to])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{types}, `{to}` double")
+    return kept.mapInArrow(run, f"{types}, `{to}` array<double>")
+
+
+def _telling(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """Whether ``_g`` of two counts is LEAST_G at least."""
+    part = lambda k, n, p: k * F.log(F.greatest(p, F.lit(1e-12))) + (F.lit(n) - k) * F.log(F.greatest(1 - p, F.lit(1e-12)))
+    a, b, both = t / max(toxic, 1), c / max(clean, 1), (t + c) / max(toxic + clean, 1)
+    return (a > b) & (2 * (part(t, toxic, a) + part(c, clean, b) - part(t, toxic, both) - part(c, clean, both)) >= LEAST_G)
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from at most ``rows`` labelled rows of each class outside fold 1.
+    """Learns from at most ``rows`` labelled rows of each class outside fold 1, and at most SAMPLE_STRINGS strings of their sentences.
 
-    Null labels and null ids teach nothing; an id that is labelled twice counts once, as toxic if either says so.
-    Without rows of both classes the model calls nothing toxic.
+    Null labels and null ids teach nothing; an id that is labelled twice counts once, as toxic if either says so. Copies of one
+    text count once. Without rows of both classes the model calls nothing toxic.
     """
     usable = labels.select(labels[doc_id].alias("_id"), labels[label].cast("int").alias("_y")).where((fold_of(F.col("_id")) != 1) & F.col("_y").isin(0, 1) & F.col("_id").isNotNull())
     usable = usable.groupBy("_id").agg(F.max("_y").alias("_y"))
     picked = [usable.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(rows) for y in (0, 1)]
     sample = docs.select(docs[doc_id].alias("_id"), F.coalesce(docs[text], F.lit("")).alias("_text")).join(F.broadcast(picked[0].unionByName(picked[1])), "_id").persist()
     try:
-        totals = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
-        if len(totals) < 2:
-            return fit([], [])
-        # Words are counted by Spark; the most telling ones of each class come to the driver, SAMPLE_WORDS of them at most.
-        # Copies of one toxic document share all their words; only words of several families tell anything.
-        rows_ = sketches(sample.where("_y = 1"), "_id", "_text").orderBy("_id").collect()
+        # Copies share all their strings; only strings of several families of copies tell anything.
+        rows_ = sketches(sample, "_id", "_text").join(F.broadcast(picked[0].unionByName(picked[1])), "_id").orderBy("_id").collect()
         family = families([r["s"] for r in rows_])
-        least = max(LEAST_FAMILIES, len(set(family)) // 100)
-        of = docs.sparkSession.createDataFrame([(r["_id"], f) for r, f in zip(rows_, family)], f"_id {sample.schema['_id'].dataType.simpleString()}, f int")
-        # Words are counted by Spark; the most telling ones of each class come to the driver, SAMPLE_WORDS of them at most.
-        words = sample.join(F.broadcast(of), "_id", "left").select("_y", "f", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("w"))
-        counts = words.groupBy("w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"), F.countDistinct("f").alias("f"))
-        ratio = (F.col("t") / totals[1]) / ((F.col("c") + 0.5) / totals[0])
-        toxic = counts.where((F.col("f") >= least) & (ratio >= LEAST_RATIO)).orderBy(F.desc("f"), "w").limit(SAMPLE_WORDS).collect()
-        clean = counts.where((F.col("c") >= 1) & (F.col("t") <= F.col("c") * (3 * totals[1] / totals[0]) + 1)).orderBy(F.xxhash64("w"), "w").limit(5 * SAMPLE_WORDS).collect()
-        model = fit([r["w"] for r in toxic], [r["w"] for r in clean])
-        scored = with_margin(sample, model, "_text").select("margin", "_y").toPandas()
-        return calibrate(model, scored["margin"].to_numpy(), scored["_y"].to_numpy())
+        clean, toxic = (len({f for r, f in zip(rows_, family) if r["_y"] == y}) for y in (0, 1))
+        if not clean or not toxic:
+            return fit([], np.zeros(0), np.zeros(0), 0, 0)
+        of = docs.sparkSession.createDataFrame(list({(r["_id"], f) for r, f in zip(rows_, family)}), f"_id {sample.schema['_id'].dataType.simpleString()}, _f int")
+        words = F.regexp_extract_all(F.lower("_text"), F.lit(r"\p{L}{3,}"), F.lit(0))
+        cuts = lambda w: F.transform(F.sequence(F.lit(0), F.when(F.length(w) > WIDTH, F.length(w) - WIDTH // 2 - 1).otherwise(0), F.lit(WIDTH // 2)), lambda i: F.substr(w, i + 1, F.lit(WIDTH)))
+        seen = sample.join(F.broadcast(of), "_id").select("_y", "_f", F.explode(F.array_distinct(F.flatten(F.transform(F.array_distinct(words), cuts)))).alias("_w")).distinct()
+        counts = seen.groupBy("_w").agg(F.sum("_y").alias("t"), F.sum(1 - F.col("_y")).alias("c"))
+        found = counts.orderBy(~_telling(F.col("t"), F.col("c"), toxic, clean), F.xxhash64("_w"), "_w").limit(SAMPLE_STRINGS).collect()
+        model = fit([r["_w"] for r in found], np.array([r["t"] for r in found], float), np.array([r["c"] for r in found], float), toxic, clean)
+        scored = with_tops(sample, model, "_text").select("tops", "_y").collect()
+        return calibrate(model, np.array([r["tops"] for r in scored]).reshape(-1, TOP), np.array([r["_y"] for r in scored], float))
     finally:
         sample.unpersist()
 
@@ -361,10 +443,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (such columns are replaced). Null and empty texts have a score too.
 
-    Each row is scored by its text alone, repeated rows alike; an empty table gives no rows.
+    Each row is scored by its text alone, repeated rows alike; an empty table gives no rows. A text of any length is read whole, and a
+    word of any length in windows.
     """
     kept = docs.drop("score", "predicted")
-    margin = free_name(kept, "_margin")
-    scaled = F.lit(model.slope) * F.col(margin) + F.lit(model.shift)
-    out = with_margin(kept, model, text, margin).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(scaled, F.lit(30.0)), F.lit(-30.0)))))
-    return out.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int")).drop(margin)
+    tops = free_name(kept, "_tops")
+    line = lambda slopes: sum((F.lit(a) * F.get(tops, F.lit(k)) for k, a in enumerate(slopes[:-1])), F.lit(slopes[-1]))
+    z = F.greatest(line(model.first), line(model.curve))
+    out = with_tops(kept, model, text, tops).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
+    return out.withColumn("predicted", (F.col("score") >= PREDICT_FROM).cast("int")).drop(tops)

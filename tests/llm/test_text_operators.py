@@ -406,7 +406,7 @@ def test_held_out_labels_teach_nothing(spark):
     docs, labels = toy(spark)
     flipped = labels.withColumn("toxic", F.when(toxicity.fold_of(F.col("doc_id")) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = toxicity.train(docs, labels), toxicity.train(docs, flipped)
-    assert a.landmarks == b.landmarks and np.allclose(a.weights, b.weights) and (a.slope, a.shift) == (b.slope, b.shift)
+    assert a.landmarks == b.landmarks and np.allclose(a.weights, b.weights) and (a.first, a.curve) == (b.first, b.curve)
 
 
 def test_no_labels_call_nothing_toxic(spark):
@@ -417,7 +417,7 @@ def test_no_labels_call_nothing_toxic(spark):
 def test_no_word_is_kept_from_the_kernel(spark):
     model = toxicity.train(*toy(spark))
     words = ["ixdioxt", "sxcuxmbxag", "mxorxon", "ixdixoxt", "stone", "the", "zzz", "ölpreis"]  # gaps on gaps, and words that share nothing
-    want = np.maximum(toxicity.FLOOR, toxicity.kernel(words, model.landmarks) @ model.weights + model.bias)
+    want = np.clip(toxicity.kernel(words, model.landmarks) @ model.weights + model.bias, toxicity.FLOOR, toxicity.CLIP)
     got = model.margins(words)
     assert np.allclose(got, want, atol=1e-5)
     assert got[:4].min() > max(toxicity.FLOOR, got[4:].max())
@@ -437,7 +437,7 @@ def test_kernel_equals_its_definition():
         return total
 
     words = ["idiot", "idxiot", "abc", "stone", "iot"]
-    want = [[np.mean([plain(a, b, n) / np.sqrt(plain(a, a, n) * plain(b, b, n)) if plain(a, a, n) * plain(b, b, n) else 0 for n in toxicity.ORDERS]) for b in words] for a in words]
+    want = [[np.mean([plain(a, b, n) / np.sqrt(plain(a, a, n) * plain(b, b, n)) if plain(a, a, n) * plain(b, b, n) else 0 for n in toxicity.ORDERS]) ** toxicity.POWER for b in words] for a in words]
     assert np.allclose(toxicity.kernel(words, words), want, atol=1e-5)
 
 
