@@ -47,11 +47,11 @@ LEAST_G, NEAR = 20.0, 0.58
 TOP = 3
 PREDICT_FROM = 0.7
 #: Letter sequences that are worked out at once; about what a processor's cache holds.
-CHUNK = 1 << 13
+CHUNK = 1 << 15
 #: The margin of a text without words, and the least and most that a string can have.
 FLOOR, CLIP = -1.0, 1.5
 #: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -112,13 +112,13 @@ def _norms(codes: np.ndarray) -> np.ndarray:
 
 
 class _Sequences:
-    """Letter sequences of landmarks, numbered; ``weights``: what each landmark has of them, divided by its norm (sequences x landmarks), for each order."""
+    """Letter sequences of landmarks, numbered; ``weights``: for each order where a sequence's entries start, each one's landmark, and what that has of it, divided by its norm."""
 
     def __init__(self, landmarks: list[str]):
         self.letters = np.unique(np.frombuffer("".join(landmarks).encode("utf-32-le"), np.int32)) if landmarks else np.zeros(0, np.int32)
         self.n, self.numbers = len(landmarks), [None] * len(ORDERS)
         self.keys: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.weights: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         found: list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = [[] for _ in ORDERS]
         for at, codes in _by_length(landmarks):
             norms = _norms(codes)
@@ -126,12 +126,11 @@ class _Sequences:
                 found[k].append((keys.ravel(), np.repeat(at, keys.shape[1]), (cost / np.maximum(norms[k], 1e-9)[:, None]).ravel()))
         for parts in found:
             keys, at, cost = map(np.concatenate, zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            own, number = np.unique(keys, return_inverse=True)
-            weights = np.zeros((len(own), len(landmarks)), np.float32)
-            np.add.at(weights, (number, at), cost)
+            own, number = np.unique(keys * len(landmarks) + at, return_inverse=True)  # sequence and landmark
+            keys, at = np.divmod(own, max(1, len(landmarks)))
+            own, starts = np.unique(keys, return_index=True)
             self.keys.append(own)
-            self.weights.append(weights)
-
+            self.weights.append((np.append(starts, len(keys)), at, np.bincount(number, cost)))
     def _keys(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each order: its number, a key for each letter sequence (strings x sequences), and their costs. Letters that no landmark has are 0."""
         if not len(self.letters):
@@ -151,14 +150,16 @@ class _Sequences:
         """The kernel of each string with each landmark (strings x landmarks)."""
         out = np.zeros((len(strings), self.n), np.float32)
         for at, codes in _by_length(strings):
-            norms, total = np.maximum(_norms(codes), 1e-9), np.zeros((len(at), self.n), np.float32)
+            norms, total = np.maximum(_norms(codes), 1e-9), np.zeros((len(at), self.n))
             for k, keys, cost in self._keys(codes):
                 found = self._find(k, keys)
                 rows, places = np.nonzero(found)  # sequences that a landmark has too; rows in order
-                if len(rows):
-                    shared = self.weights[k][found[rows, places] - 1] * cost[places][:, None]
-                    firsts = np.flatnonzero(np.diff(rows, prepend=-1))
-                    total[rows[firsts]] += np.add.reduceat(shared, firsts, axis=0) / norms[k, rows[firsts], None]
+                starts, marks, values = self.weights[k]
+                entry = starts[found[rows, places] - 1]
+                n = starts[found[rows, places]] - entry
+                each = np.repeat(entry - np.cumsum(n) + n, n) + np.arange(n.sum())
+                share = (cost[places] / norms[k, rows]).repeat(n) * values[each]
+                total += np.bincount((rows * self.n).repeat(n) + marks[each], share, len(at) * self.n).reshape(len(at), self.n)
             out[at] = (total / len(ORDERS)) ** POWER
         return out
 
