@@ -1,12 +1,14 @@
-"""N-gram Jaccard join: MinHash banding finds candidates, exact verification counts links.
-
-Equal texts are one class first. Each class has TREES keys, each folded from the least hashes over its set of word
-shingles under a few hash functions; two classes are candidates where they share a key. How many functions a key
-has, DEPTH at most, is fixed beforehand, so that a pair at the threshold is found with the target recall. This is
-plain banding: it stands for a MinHash LSH forest, which would sort signatures and shorten prefixes. Candidates are compared exactly, set against set,
-in blocks: a group of candidates is cut into blocks of at most BLOCK classes and each two blocks are one
-task, so no task grows with a group. A pair is counted in the first tree that brings it together. What
-leaves a task is, for each class, the number of its links, and a spanning forest of them - never the pairs.
+"""N-gram Jaccard join: a MinHash LSH forest finds candidates, exact verification counts links.
+
+Equal texts are one class first. In each of TREES trees a class has a signature, the least hashes over its set of word shingles under
+DEPTH hash functions, one after the other. A tree is the trie of its signatures: classes with one prefix are a node, and candidates
+of each other. The forest is walked from the longest prefixes to shorter ones. What a round finds says, by the links'
+similarities, how many links prefixes of that length miss; prefixes are shortened until the recall reckoned in this
+way is RECALL. A node that has been verified is not verified again, nor is a pair counted again that has met before.
+
+Candidates are compared exactly, set against set, in blocks: a node is cut into blocks of at most BLOCK classes and about BLOCK_WORDS
+words, and each two blocks are one task, so no task grows with a node. What leaves a task is, for each class, the number of its links,
+and a spanning forest of them - never the pairs.
 """
 
 from __future__ import annotations
@@ -24,21 +26,30 @@ from .graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 20, 8
+#: The share of links that the forest is walked for.
 RECALL = 0.9995
-#: Classes in a block; two blocks meet in a task.
-BLOCK = 256
+#: Links at the threshold that are taken to be there besides those found, so that few links don't decide.
+PRIOR_LINKS = 20
+#: Classes and words in a block; two blocks meet in a task.
+BLOCK, BLOCK_WORDS = 256, 1_000_000
+#: Links are counted by similarity, in so many steps from the threshold to 1.
+STEPS = 8
 _SEED = 20_240_229
 
 
-def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which a pair at ``threshold`` meets in one of the trees with probability ``recall``.
+def meeting(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
+    """The chance that two texts share a prefix of ``depth`` in one of the trees."""
+    return 1 - (1 - np.asarray(similarity, float) ** depth) ** trees
+
+
+def recall_of(depth: int, found: np.ndarray, reached: int | None, threshold: float = THRESHOLD) -> float:
+    """The recall of prefixes of ``depth``, by the links found with prefixes of ``reached`` (by steps of similarity).
 
-    Worked out from these numbers alone, before any data is read; 1 if the recall is never reached.
+    A link that is met with chance p stands for 1 / p links. PRIOR_LINKS links at the threshold are added.
     """
-    for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
-            return k
-    return 1
+    at = np.append(threshold + (np.arange(STEPS) + 0.5) * (1 - threshold) / STEPS, threshold)
+    there = np.append(found / meeting(at[:-1], reached) if reached else np.zeros(STEPS), PRIOR_LINKS)
+    return float((there * meeting(at, depth)).sum() / there.sum())
 
 
 def _multipliers(n: int) -> np.ndarray:
@@ -71,20 +82,37 @@ def shingles(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int
     return out, firsts
 
 
-def signatures(flat: np.ndarray, firsts: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """Tree keys (texts x trees): a hash of each tree's ``depth`` least hashes. Texts must have shingles."""
-    keys = np.zeros((len(firsts) - 1, trees), np.uint64)
-    mult = _multipliers(trees * DEPTH)
-    for t in range(trees):
-        for k in range(depth):
+def signatures(flat: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Texts x (2 TREES): the DEPTH least hashes of each tree, 16 bits of each, in two numbers. Texts must have shingles."""
+    out = np.zeros((len(firsts) - 1, 2 * TREES), np.uint64)
+    mult = _multipliers(TREES * DEPTH)
+    for t in range(TREES):
+        for k in range(DEPTH):
             a, b = mult[t * DEPTH + k]
             h = flat * a
             h ^= h >> np.uint64(32)
             h *= b
-            least = np.minimum.reduceat(h, firsts[:-1])
-            keys[:, t] = (keys[:, t] * np.uint64(0xD6E8FEB86659FD93)) ^ (least >> np.uint64(7))
-            keys[:, t] ^= keys[:, t] >> np.uint64(31)
-    return keys.view(np.int64)
+            at = 2 * t + k // 4
+            out[:, at] = (out[:, at] << np.uint64(16)) | (np.minimum.reduceat(h, firsts[:-1]) & np.uint64(0xFFFF))
+    return out.view(np.int64)
+
+
+def _masks(depth: int) -> tuple[int, int]:
+    """What is left of a tree's two numbers by a prefix of ``depth``, as signed numbers."""
+    mask = lambda k: (((1 << 16 * k) - 1) << 16 * (4 - k)) - (1 << 64 if k else 0)
+    return mask(min(depth, 4)), mask(max(depth - 4, 0))
+
+
+def nodes(signature: Column, depth: int) -> Column:
+    """The node of each tree that a class is in: a hash of the tree's number and the prefix."""
+    high, low = _masks(depth)
+    return F.array(*(F.xxhash64(F.lit(t), F.get(signature, F.lit(2 * t)).bitwiseAND(F.lit(high)), F.get(signature, F.lit(2 * t + 1)).bitwiseAND(F.lit(low))) for t in range(TREES)))
+
+
+def _share(signatures: np.ndarray, tree: int, depth: int) -> np.ndarray:
+    """Whether each two classes share a prefix of ``depth`` in a tree."""
+    high, low = (signatures[:, 2 * tree + k] & np.int64(m) for k, m in enumerate(_masks(depth)))
+    return (high[:, None] == high[None, :]) & (low[:, None] == low[None, :])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,15 +136,15 @@ def word_hashes(text: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
-    """``_class`` (md5 of the text) with ``copy_id`` (least id of the texts equal to it), ``class_id`` (least id of all
+    """``_class`` (md5 of the text, binary) with ``copy_id`` (least id of the texts equal to it), ``class_id`` (least id of all
     texts that links reach from it), ``n_links`` (other classes whose shingle sets have at least ``threshold`` of
     Jaccard similarity with its own) and ``n_rows`` (rows with this text and id ``copy_id``).
 
     Null and empty texts are one class; texts without words have no links. A text of fewer than ``size`` words is one
     shingle. A null id is no text's least id while another row of the text has one, and a text without any id has links
-    like others; ``keeper`` is the ``_class`` of the text that ``class_id`` is taken from. An empty table gives no rows.
+    like others; ``keeper`` is the ``_class`` of the text that ``class_id`` is taken from. An empty table gives no rows. Texts of
+    any length are read whole.
     """
-    depth = prefix_depth(threshold)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -124,57 +152,85 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 words, starts, ends = _flat(b.column(0))
                 some = ends > starts
                 flat, firsts = shingles(words, starts[some], ends[some], size)
-                keys = np.zeros((b.num_rows, TREES), np.int64)
-                if some.any():
-                    keys[some] = signatures(flat, firsts, TREES, depth)
-                lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * TREES, keys.ravel())
-                lists = pa.array([x if s else None for x, s in zip(lists.to_pylist(), some)], pa.list_(pa.int64())) if not some.all() else lists
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), lists], ["_class", "_id", "_keys"])
+                offsets = np.concatenate([[0], np.cumsum(some)]).astype(np.int32) * (2 * TREES)
+                own = signatures(flat, firsts) if some.any() else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(offsets, own.ravel())  # empty for texts without words
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(ends - starts, pa.int64()), lists], ["_class", "_id", "_size", "_signature"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     whole_text = F.coalesce(docs[text], F.lit(""))
-    rows = docs.select(F.md5(whole_text).alias("_class"), docs[doc_id].alias("_id"), whole_text.alias("_text"))
-    signed = rows.select(word_hashes(F.col("_text")).alias("_words"), "_class", "_id").mapInArrow(sign, f"_class string, _id {id_type}, _keys array<bigint>")
-    # Equal texts have equal keys. A class's row is summed on the map side first, so a text that a third of all rows share is no burden.
-    reps = cut(signed.groupBy("_class", "_keys", "_id").agg(F.count("*").alias("n")).groupBy("_class", "_keys").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("least")).select("_class", "_keys", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows")))
-    entries = reps.where("_keys IS NOT NULL").select("_class", "_keys", F.posexplode("_keys").alias("tree", "key"))
-    # Groups of the same classes in several trees are kept once, in the first tree: it is where their pairs first meet.
-    groups = entries.groupBy("tree", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("_class")).alias("x"), F.bit_xor(F.xxhash64(F.reverse("_class"))).alias("y")).where("n > 1")
-    groups = groups.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("g")).select("n", "g.*")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("_class"), blocks).cast("int")
-    members = entries.join(groups, ["tree", "key"]).select("_class", "_keys", "tree", "key", mine.alias("_mine"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_other"))
-    tasks = cut(members.select("_class", "_keys", "tree", "key", "_mine", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high")))
+    rows = docs.select(class_of(docs[text]).alias("_class"), docs[doc_id].alias("_id"), whole_text.alias("_text"))
+    signed = rows.select(word_hashes(F.col("_text")).alias("_words"), "_class", "_id").mapInArrow(sign, f"_class binary, _id {id_type}, _size long, _signature array<bigint>")
+    # A class's rows are summed on the map side first, so a text that a third of all rows share is no burden.
+    counted = signed.groupBy("_class", "_size", "_signature", "_id").agg(F.count("*").alias("n"))
+    reps = counted.groupBy("_class", "_size", "_signature").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("least"))
+    reps = cut(reps.select("_class", "_size", "_signature", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows")))
+    depth, before, verified, links = DEPTH, None, None, None
+    while True:
+        found, verified = _verified(rows, reps, depth, before, verified, threshold, size)
+        links = found if links is None else links.unionByName(found)
+        steps = np.zeros(STEPS)
+        for r in links.select(F.posexplode("steps").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # STEPS rows
+            steps[r["k"]] = r["n"] / 2
+        if depth == 1 or recall_of(depth, steps, depth, threshold) >= RECALL:
+            break
+        before, depth = depth, max([k for k in range(1, depth) if recall_of(k, steps, depth, threshold) >= RECALL], default=1)
+    roots = components(links.select(F.col("_class").alias("a"), F.col("other").alias("b")))
+    counts = links.groupBy("_class").agg(F.sum("links").alias("n_links"))
+    grouped = roots.join(reps.select(F.col("_class").alias("node"), "copy_id"), "node")
+    firsts_ = grouped.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "node")).alias("least")).select("root", F.col("least.copy_id").alias("class_id"), F.col("least.node").alias("keeper"))
+    ids = grouped.select("node", "root").join(firsts_, "root").select(F.col("node").alias("_class"), "class_id", "keeper")
+    out = reps.select("_class", "copy_id", "n_rows").join(counts, "_class", "left").join(ids, "_class", "left")
+    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows", F.coalesce("keeper", "_class").alias("keeper"))
+
+
+def class_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _verified(rows: DataFrame, reps: DataFrame, depth: int, before: int | None, verified: DataFrame | None, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """A round: links between classes that share a node of ``depth`` and have not met at ``before``, and what nodes have been verified so far.
+
+    Links: ``_class``, ``links`` (their number), ``other`` (a class that they reach, the least), ``steps`` (their number by similarity). What is
+    shuffled for all classes is a node's hash, the class and its size; words travel only for classes with candidates.
+    """
+    entries = reps.where("size(_signature) > 0").select("_class", "_size", F.posexplode(nodes(F.col("_signature"), depth)).alias("tree", "node"))
+    groups = entries.groupBy("node").agg(
+        F.count("*").alias("n"), F.sum("_size").alias("words"), F.min("tree").alias("tree"), F.bit_xor(F.xxhash64("_class")).alias("x"), F.bit_xor(F.xxhash64("_class", F.lit(1))).alias("y")
+    )
+    # Nodes of the same classes in several trees are kept once, in the first tree: it is where their pairs first meet.
+    groups = groups.where("n > 1").groupBy("n", "x", "y").agg(F.first("words").alias("words"), F.min(F.struct("tree", "node")).alias("g")).select("n", "x", "y", "words", "g.*")
+    if verified is not None:
+        groups = groups.join(verified, ["n", "x", "y"], "left_anti")
+    groups = cut(groups)
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("words") / BLOCK_WORDS)).cast("int")
+    members = entries.select("_class", "node").join(groups.select("node", "tree", blocks.alias("_blocks")), "node")
+    members = members.select("_class", "node", "tree", F.pmod(F.xxhash64("_class", F.lit(2)), F.col("_blocks")).cast("int").alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    tasks = cut(members.select("_class", "node", "tree", "_mine", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high")))
     # One text of each class that has candidates; only these go to the tasks.
-    wanted = tasks.select("_class").distinct().join(reps.select("_class", F.col("copy_id").alias("_id")), "_class")
-    own = rows.join(wanted, (rows["_class"] == wanted["_class"]) & rows["_id"].eqNullSafe(wanted["_id"]), "left_semi")
-    sets = own.select("_class", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_words").alias("_words"))
-    loaded = tasks.join(sets, "_class")
+    wanted = tasks.select("_class").distinct().join(reps.select("_class", F.col("copy_id").alias("_id"), "_signature"), "_class")
+    own = rows.join(wanted.select(F.col("_class").alias("_c"), F.col("_id").alias("_i"), "_signature"), (F.col("_class") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i")))
+    sets = own.select("_class", "_signature", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_signature").alias("_signature"), F.first("_words").alias("_words"))
 
     def verify(group: pa.Table) -> pa.Table:
         g = group.combine_chunks().to_batches()[0]
         col = {c: g.column(c) for c in g.schema.names}
         flat, firsts = shingles(*_flat(col["_words"]), size)
-        keys = col["_keys"].flatten().to_numpy(zero_copy_only=False).reshape(g.num_rows, TREES)
+        own = col["_signature"].flatten().to_numpy(zero_copy_only=False).reshape(g.num_rows, 2 * TREES)
         mine = col["_mine"].to_numpy() if col["_low"][0] != col["_high"][0] else None
-        links, root = link_counts(flat, firsts, keys[:, : col["tree"][0].as_py() + 1], mine, threshold)
+        links, root, steps = link_counts(flat, firsts, own, col["tree"][0].as_py(), depth, before, mine, threshold)
         some = np.flatnonzero(links)
-        return pa.table({"_class": col["_class"].take(some), "links": pa.array(links[some], pa.int64()), "other": col["_class"].take(root[some])})
+        return pa.table({"_class": col["_class"].take(some), "links": pa.array(links[some], pa.int64()), "other": col["_class"].take(root[some]), "steps": pa.array(steps[some].tolist(), pa.list_(pa.int64()))})
 
-    found = cut(loaded.groupBy("tree", "key", "_low", "_high").applyInArrow(verify, "_class string, links long, other string"))
-    roots = components(found.select(F.col("_class").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("_class").agg(F.sum("links").alias("n_links"))
-    grouped = roots.join(reps.select(F.col("_class").alias("node"), "copy_id"), "node")
-    firsts_ = grouped.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "node")).alias("least")).select("root", F.col("least.copy_id").alias("class_id"), F.col("least.node").alias("keeper"))
-    ids = grouped.select("node", "root").join(firsts_, "root").select(F.col("node").alias("_class"), "class_id", "keeper")
-    out = reps.select("_class", "copy_id", "n_rows").join(counts, "_class", "left").join(ids, "_class", "left")
-    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows", F.coalesce("keeper", "_class").alias("keeper"))
+    found = cut(tasks.join(sets, "_class").groupBy("node", "_low", "_high").applyInArrow(verify, "_class binary, links long, other binary, steps array<bigint>"))
+    seen = groups.select("n", "x", "y")
+    return found, seen if verified is None else verified.unionByName(seen)
 
 
-def link_counts(flat: np.ndarray, firsts: np.ndarray, keys: np.ndarray, mine: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Exact links among the texts of one task: each text's number of them, and the first text that it reaches by them.
+def link_counts(flat: np.ndarray, firsts: np.ndarray, signatures: np.ndarray, tree: int, depth: int, before: int | None, mine: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exact links among the texts of one task: each text's number of them, the first text that it reaches by them, and their number by steps of similarity.
 
-    ``keys``: the tree keys up to this task's own tree; a pair that agrees in an earlier one was counted there.
+    A pair that shares a prefix of ``depth`` in a tree before ``tree``, or one of ``before`` in any, was counted there.
     ``mine``: each text's block if two blocks meet (pairs within a block are another task's), else None.
     """
     n = len(firsts) - 1
@@ -195,35 +251,46 @@ def link_counts(flat: np.ndarray, firsts: np.ndarray, keys: np.ndarray, mine: np
         has = np.zeros((n, 4096), np.float32)
         has[owner[here], column[here] - at] = 1
         shared += has @ has.T
-    linked = (shared > 0) & (shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6)
+    union = sizes[:, None] + sizes[None, :] - shared
+    linked = (shared > 0) & (shared >= threshold * union - 1e-6)
     np.fill_diagonal(linked, False)
     if mine is not None:
         linked &= mine[:, None] != mine[None, :]
-    for t in range(keys.shape[1] - 1):
-        linked &= keys[:, None, t] != keys[None, :, t]
+    if linked.any():
+        for t in range(tree):
+            linked &= ~_share(signatures, t, depth)
+        for t in range(TREES if before else 0):
+            linked &= ~_share(signatures, t, before)
+    step = np.clip((shared / np.maximum(union, 1) - threshold) / max(1 - threshold, 1e-9) * STEPS, 0, STEPS - 1).astype(int)
+    steps = np.stack([(linked & (step == k)).sum(1) for k in range(STEPS)], 1)
     root = np.arange(n)
     while True:
         least = np.minimum(root, np.where(linked, root[None, :], n).min(1, initial=n))
         if (least == root).all():
             break
         root = least
-    return linked.sum(1), root
+    return linked.sum(1), root, steps
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: float) -> DataFrame:
-    """A row for each row of ``docs``: ``doc_id``, ``class_id``, ``n_links``, ``copy_id``; see ``near_duplicates``."""
-    found = near_duplicates(docs, text, doc_id, **options)
-    keyed = docs.select(F.col(doc_id).alias(doc_id), F.md5(F.coalesce(docs[text], F.lit(""))).alias("_class"))
-    return keyed.join(found, "_class").select(doc_id, "class_id", "n_links", "copy_id")
+    """A row for each row of ``docs``: ``doc_id``, ``class_id``, ``n_links``, ``copy_id``; see ``near_duplicates``. Other columns are left out."""
+    found = cut(near_duplicates(docs, text, doc_id, **options))  # written, so that both sides are plain shuffles and hot classes are split
+    keyed = docs.select(F.col(f"`{doc_id}`").alias(doc_id), class_of(docs[text]).alias("_class"))
+    return keyed.join(found.withColumnRenamed("_class", "_c"), F.col("_class") == F.col("_c")).select(keyed[doc_id], "class_id", "n_links", "copy_id")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: float) -> DataFrame:
-    """``docs`` with one row of each group: that of the least id (a null one if no row of the group has another). Columns stay as they are. Rows that are repeated whole stay once."""
-    found = near_duplicates(docs, text, doc_id, **options).where("_class = keeper").select("_class", F.col("copy_id").alias("_id"), "n_rows")
-    found = cut(found)
+    """``docs`` with one row of each group: that of the least id (a null one if no row of the group has another). Columns stay as they are.
+
+    Rows with one id and one text are one row; which of them stays, if their other columns differ, is by the least hash of the whole row.
+    """
+    found = cut(near_duplicates(docs, text, doc_id, **options).select("_class", "keeper", F.col("copy_id").alias("_id"), "n_rows"))
     key, own = free_name(docs, "_class_key"), [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn(key, F.md5(F.coalesce(docs[text], F.lit(""))))
-    kept = keyed.join(found, F.col(key).eqNullSafe(found["_class"]) & F.col(f"`{doc_id}`").eqNullSafe(found["_id"]), "left_semi")
-    if found.where("n_rows > 1").isEmpty():
+    keyed = docs.withColumn(key, class_of(docs[text]))
+    alone = found.where("_class = keeper")
+    kept = keyed.join(alone, F.col(key).eqNullSafe(alone["_class"]) & F.col(f"`{doc_id}`").eqNullSafe(alone["_id"]), "left_semi")
+    if alone.where("n_rows > 1").isEmpty():
         return kept.select(*own)
-    return kept.dropDuplicates([key, doc_id]).select(*own)
+    row = F.struct(*own)
+    once = kept.groupBy(key, doc_id).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return once.select(*(F.col("_row")[c].alias(c) for c in docs.columns))

@@ -334,17 +334,21 @@ def test_blocks_lose_and_repeat_nothing():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.choice(60, 40)).astype(np.uint64) for _ in range(30)]
     flat, firsts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    keys = rng.integers(0, 3, (30, 3))
-    want = np.array([sum(i != j and len(np.intersect1d(a, b)) >= 0.5 * len(np.union1d(a, b)) and (keys[i, :2] != keys[j, :2]).all() for j, b in enumerate(sets)) for i, a in enumerate(sets)])
-    assert (jaccard_join.link_counts(flat, firsts, keys, None, 0.5)[0] == want).all()
+    own = rng.integers(0, 3, (30, 2 * jaccard_join.TREES)) << 48  # prefixes of one hash decide
+    met = lambda i, j, trees: any(own[i, 2 * t] == own[j, 2 * t] for t in trees)
+    similar = lambda i, j: len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))
+    want = np.array([sum(i != j and similar(i, j) and not met(i, j, range(2)) for j in range(30)) for i in range(30)])
+    count = lambda at, mine: jaccard_join.link_counts(np.concatenate([sets[i] for i in at]), np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])]), own[at], 2, 1, None, mine, 0.5)
+    links, _, steps = count(np.arange(30), None)
+    assert (links == want).all() and (steps.sum(1) == want).all()
     half = np.arange(30) % 2
     split = np.zeros(30, int)
     for k in (0, 1):
         at = np.flatnonzero(half == k)
-        f = np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])])
-        split[at] += jaccard_join.link_counts(np.concatenate([sets[i] for i in at]), f, keys[at], None, 0.5)[0]
-    split += jaccard_join.link_counts(flat, firsts, keys, half, 0.5)[0]
-    assert (split == want).all()
+        split[at] += count(at, None)[0]
+    assert (split + count(np.arange(30), half)[0] == want).all()
+    late = jaccard_join.link_counts(flat, firsts, own, 0, 1, 1, None, 0.5)[0]  # what has met in an earlier round isn't counted again
+    assert (late == [sum(i != j and similar(i, j) and not met(i, j, range(jaccard_join.TREES)) for j in range(30)) for i in range(30)]).all()
 
 
 def test_one_of_each_group_stays(spark):
@@ -368,9 +372,24 @@ def test_null_ids_lose_no_links(spark):
     assert len(kept) == 3 and (3, other) in kept and (None, more) in kept
 
 
-def test_forest_depth_reaches_its_recall():
-    k = jaccard_join.prefix_depth()
-    assert 1 - (1 - 0.8**k) ** jaccard_join.TREES >= jaccard_join.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** jaccard_join.TREES
+def test_prefixes_are_nodes_of_a_trie(spark):
+    flat, firsts = jaccard_join.shingles(np.arange(80, dtype=np.int64), np.array([0, 40]), np.array([40, 80]))
+    own = jaccard_join.signatures(flat, firsts)
+    own[1] = own[0]
+    own[1, 1] ^= 1  # the last hash of the first tree
+    own[1, 2] ^= 1 << 48  # the first one of the second
+    df = spark.createDataFrame([(i, [int(x) for x in r]) for i, r in enumerate(own)], "i int, s array<bigint>")
+    for depth in (8, 7, 4, 1):
+        a, b = (r["n"] for r in df.select("i", jaccard_join.nodes(F.col("s"), depth).alias("n")).orderBy("i").collect())
+        same = [x == y for x, y in zip(a, b)]
+        assert same == [jaccard_join._share(own, t, depth)[0, 1] for t in range(jaccard_join.TREES)] == [depth < 8, False, *[True] * (jaccard_join.TREES - 2)]
+
+
+def test_prefixes_are_shortened_as_links_ask_for():
+    none, close, far = np.zeros(jaccard_join.STEPS), np.eye(jaccard_join.STEPS)[-1] * 1e6, np.eye(jaccard_join.STEPS)[0] * 1e6
+    longest = lambda found: max(k for k in range(1, 9) if jaccard_join.recall_of(k, found, 8) >= jaccard_join.RECALL)
+    assert longest(none) == longest(far) == 5 and longest(close) == 8
+    assert jaccard_join.recall_of(5, none, None) == pytest.approx(1 - (1 - 0.8**5) ** jaccard_join.TREES)
 
 
 def test_components(spark):
