@@ -1,14 +1,14 @@
 """Chat formatting: a machine over roles, and a template that marks turns and says which text bears loss.
 
-Texts are escaped so that no control string can arise inside one, and the escape can be taken back. All of
-it is array and string expressions; the one shuffle brings a conversation's rows together.
+The machine takes a step at each turn, from the role before to the turn's own. Texts are escaped so that no control string can arise inside
+one, and the escape can be taken back. All of it is windows, array and string expressions; the one shuffle brings a conversation's rows together.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,39 +51,22 @@ def format_chats(turns: DataFrame, template: Template = CHATML, conv_id: str = "
     points, role, loss - the spans of escaped texts in ``formatted``, in order) and ``valid`` (the machine accepts the roles).
 
     Turns go by ``turn``, ties by role and text; null text and null role are empty. Repeated rows are turns
-    of their own. A null ``conv_id`` is a conversation like others. Invalid conversations are formatted too. An empty table gives no rows.
+    of their own. A null ``conv_id`` is a conversation like others. Invalid conversations are formatted too. Other columns are
+    left out. An empty table gives no rows. A conversation is one text, so one task holds it; its cost is in proportion to its length.
     """
     t = template
-    row = F.struct(
-        F.col(turn).alias("turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-    )
-    chats = turns.groupBy(F.col(conv_id).alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("_turns"))
+    rows = turns.select(F.col(f"`{conv_id}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    parts = rows.withColumns({"head": F.concat(F.lit(t.start), escape_role(F.col("role")), F.lit(t.between)), "body": escape(F.col("text"))})
+    size = F.length("head") + F.length("body") + len(t.end)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     steps = [(a, b) for a, nexts in t.follows.items() for b in nexts]
-    moves = lambda a, b: F.concat(a, F.lit("\x00"), b).isin(*(f"{x}\x00{y}" for x, y in steps))
-    accepted = F.aggregate(
-        "_turns",
-        F.struct(F.lit("").alias("role"), F.lit(True).alias("ok")),
-        lambda s, x: F.struct(x["role"].alias("role"), (s["ok"] & moves(s["role"], x["role"])).alias("ok")),
-        lambda s: s["ok"] & s["role"].isin(*t.last),
-    )
-    head = lambda x: F.concat(F.lit(t.start), escape_role(x["role"]), F.lit(t.between))
-    parts = chats.select(
-        "conv_id",
-        accepted.alias("valid"),
-        F.transform("_turns", lambda x: F.struct(head(x).alias("head"), escape(x["text"]).alias("body"), x["role"].alias("role"))).alias("_parts"),
-    )
-    spans = F.aggregate(
-        F.transform("_parts", lambda p: F.struct(F.length(p["head"]).alias("head"), F.length(p["body"]).alias("body"), p["role"].alias("role"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,role:string,loss:boolean>>").alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + p["head"] + p["body"] + len(t.end)).alias("at"),
-            F.concat(s["out"], F.array(F.struct((s["at"] + p["head"]).alias("start"), p["body"].alias("length"), p["role"].alias("role"), p["role"].isin(*t.loss_roles).alias("loss")))).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    return parts.select("conv_id", F.concat_ws("", F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(t.end)))).alias("formatted"), spans.alias("segments"), "valid")
+    before = F.coalesce(F.lag("role").over(order), F.lit(""))
+    moved = F.concat(before, F.lit("\x00"), "role").isin(*(f"{x}\x00{y}" for x, y in steps))
+    ended = F.lead("role").over(order).isNotNull() | F.col("role").isin(*t.last)
+    stepped = parts.withColumns({"at": (F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)) - size).cast("int"), "ok": moved & ended})
+    chats = stepped.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "head", "body", "role"))).alias("_parts"), F.bool_and("ok").alias("valid"))
+    spans = F.transform("_parts", lambda p: F.struct((p["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"), p["role"].alias("role"), p["role"].isin(*t.loss_roles).alias("loss")))
+    return chats.select("conv_id", F.concat_ws("", F.transform("_parts", lambda p: F.concat(p["head"], p["body"], F.lit(t.end)))).alias("formatted"), spans.alias("segments"), "valid")
 
 
 def read_back(chats: DataFrame, template: Template = CHATML) -> DataFrame:
