@@ -3,7 +3,7 @@
 A byte-pair encoding is right if and only if every two tokens that stand side by side would also come
 out of encoding just those two. So the last token of each prefix follows from the last tokens of shorter
 prefixes, and one pass over a word gives the count at each of its prefixes. A text's index is the sum of
-its words' counts; a budget or a cut is looked up in it, and nothing is encoded again.
+its words' counts; ``prefix_index`` stores it, and a budget or a cut is then looked up in it, and nothing is encoded again.
 """
 
 from __future__ import annotations
@@ -12,19 +12,19 @@ import json
 import re
 import unicodedata
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 800_000
+#: Words that a Python worker remembers before it starts afresh, and the letters of a word up to which it is remembered.
+CACHE_WORDS, CACHED_LETTERS = 800_000, 64
 #: Pairs of tokens that it remembers.
 CACHE_PAIRS = 1_000_000
 #: White space that Python's split() cuts at and the tokenizer doesn't.
@@ -97,28 +97,31 @@ class PrefixCounter:
     def _ends(self, text: str) -> list[int]:
         """Counts at each byte's end of a word (in byte letters), every prefix encoded as a word of its own."""
         before = self._before(text)
-        return [self._closed(text[:i], before) for i in range(1, len(text) + 1)]
+        return [self._closed(text, i, before) for i in range(1, len(text) + 1)]
 
     def _before(self, text: str) -> list[tuple[int, int]]:
-        """The programme's cells of ``text`` from the empty prefix on. A prefix that another word has had is known."""
+        """The programme's cells of ``text`` from the empty prefix on. A short prefix that another word has had is known; a cell
+        needs no more of the text than the longest token, so that a word of any length costs in proportion to it."""
         cells, number, fits, out = self.cells, self.number, self.fits, [(-1, 0)]
         if len(cells) >= CACHE_WORDS:
             cells.clear()
         for i in range(1, len(text)):
-            head = text[:i]
-            if (cell := cells.get(head)) is None:
+            head = text[:i] if i <= CACHED_LETTERS else None
+            if head is None or (cell := cells.get(head)) is None:
                 for j in range(max(0, i - self.longest), i):
-                    if (x := number.get(head[j:])) is not None and (j == 0 or self._fits(out[j][0], x, fits)):
-                        cell = cells[head] = (x, out[j][1] + 1)
+                    if (x := number.get(text[j:i])) is not None and (j == 0 or self._fits(out[j][0], x, fits)):
+                        cell = (x, out[j][1] + 1)
                         break
+                if head is not None:
+                    cells[head] = cell
             out.append(cell)
         return out
 
-    def _closed(self, text: str, before: list[tuple[int, int]]) -> int:
-        """The count of ``text`` as a whole word: its last token bears the word's end."""
-        number, fits, text = self.number, self.fits, text + self.end
-        for j in range(max(0, len(text) - self.longest), len(text) - len(self.end)):
-            if (x := number.get(text[j:])) is not None and (j == 0 or self._fits(before[j][0], x, fits)):
+    def _closed(self, text: str, i: int, before: list[tuple[int, int]]) -> int:
+        """The count of the first ``i`` letters of ``text`` as a whole word: its last token bears the word's end."""
+        number, fits, end = self.number, self.fits, self.end
+        for j in range(max(0, i - self.longest), i):
+            if (x := number.get(text[j:i] + end)) is not None and (j == 0 or self._fits(before[j][0], x, fits)):
                 return before[j][1] + 1
         raise ValueError("a byte without a token")
 
@@ -171,7 +174,7 @@ class PrefixCounter:
                 for m in self.split.findall(piece):
                     if m == word:
                         text = self._letters(m)
-                        n += self._closed(text, self._before(text))
+                        n += self._closed(text, len(text), self._before(text))
                     else:  # the same word, with or without a comma behind it, is worked out once
                         n += self.totals[m]
         return n
@@ -197,6 +200,13 @@ class PrefixCounter:
         words = self.words(text or "")
         return words, list(accumulate(map(self.totals.__getitem__, words)))
 
+    def spans(self, text: str) -> Iterator[tuple[str, int]]:
+        """The words of a text and where each ends in it."""
+        at = 0
+        for word in self.words(text):
+            at = text.index(word, at) + len(word)
+            yield word, at
+
     def keep(self, text: str | None, budget: int) -> tuple[str, int]:
         """The longest prefix (white space between words as one space) of at most ``budget`` tokens, and its count."""
         words, ends = self.index(text)
@@ -220,9 +230,11 @@ class _Totals(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        n = self[word] = self.counter.total(word)
+        n = self.counter.total(word)
+        if len(word) <= CACHED_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = n
         return n
 
 
@@ -236,7 +248,8 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     """``df`` with the exact token count of ``text`` and whether it is over ``limit``. One pass, no shuffle.
 
     ``tokenizer``: a file that every executor has. Null and empty texts have 0 tokens. Repeated rows are
-    counted each. Columns of ``df`` that have the new columns' names are replaced.
+    counted each. Columns of ``df`` that have the new columns' names are replaced. An empty table gives no rows. Texts and words of any
+    length are read whole, in time and memory in proportion to it.
     """
     kept = df.drop(n_tokens, over)
     field = free_name(kept, "_n")
@@ -253,8 +266,47 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     return out.withColumnRenamed(field, n_tokens).withColumn(over, F.col(n_tokens) > limit)
 
 
+def prefix_index(df: DataFrame, tokenizer: str, text: str = "text", to: str = "prefix_index") -> DataFrame:
+    """``df`` with the stored index of ``text`` (a column ``to``, replaced if there): an array of (``end``, ``count``), for each word the number of
+    characters up to its end and the exact count of that prefix. Null and empty texts have an empty one. Written as a table, it answers
+    questions about budgets and cuts (``count_at``, ``cut_at``) without encoding anything again.
+    """
+    kept = df.drop(to)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(tokenizer)
+        for b in batches:
+            ends, counts, offsets = [], [], [0]
+            for t in b.column(text):
+                n = 0
+                for word, end in c.spans(t.as_py() or ""):
+                    n += c.totals[word]
+                    ends.append(end)
+                    counts.append(n)
+                offsets.append(len(ends))
+            entries = pa.StructArray.from_arrays([pa.array(ends, pa.int32()), pa.array(counts, pa.int32())], ["end", "count"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), entries)], [*b.schema.names, to])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(index, f"{types}, `{to}` array<struct<end:int,count:int>>")
+
+
+def _last(index: Column, within: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.filter(index, within), -1)
+
+
+def count_at(index: Column, end: Column) -> Column:
+    """The count of the words that end within the first ``end`` characters, by the stored index alone."""
+    return F.when(F.size(F.filter(index, lambda x: x["end"] <= end)) > 0, _last(index, lambda x: x["end"] <= end)["count"]).otherwise(F.lit(0)).cast("long")
+
+
+def cut_at(index: Column, budget: Column) -> Column:
+    """How many characters of a text are whole words of at most ``budget`` tokens together, by the stored index alone."""
+    return F.when(F.size(F.filter(index, lambda x: x["count"] <= budget)) > 0, _last(index, lambda x: x["count"] <= budget)["end"]).otherwise(F.lit(0)).cast("long")
+
+
 def within_budget(df: DataFrame, tokenizer: str, budget: int, text: str = "text", to: str = "kept_text") -> DataFrame:
-    """``df`` with ``text`` cut to the longest prefix of at most ``budget`` tokens, in column ``to``. Null gives an empty text."""
+    """``df`` with ``text`` cut to the longest prefix of at most ``budget`` tokens (which may end inside a word; white space between words as one space), in column ``to``. Null gives an empty text."""
     kept = df.drop(to)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
