@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name
 
-#: Pages that are learned from (those whose hashed ids are least), and pages composed from their blocks.
-SAMPLE_PAGES, COMPOSED_PAGES = 120, 420
+#: Pages that are learned from (those whose hashes are least), the most characters that such a page has, and pages composed from their blocks.
+SAMPLE_PAGES, SAMPLED_CHARS, COMPOSED_PAGES = 120, 200_000, 420
 PATH_BUCKETS, WORD_BUCKETS, PATH_DIM, WORD_DIM, HIDDEN = 512, 256, 16, 8, 16
 NUMBERS = 8
 EPOCHS, BATCH, RATE, SEED = 14, 30, 0.02, 7
@@ -371,7 +371,7 @@ def composed(texts: list[str], links: list[str], n: int, seed: int = SEED) -> li
             middle = wrap(one(["main", "div class=\"wrapper\"", "div class=\"page container\""]), middle)
         tail = []
         if rng.random() < 0.45:
-            comment = lambda: wrap(one(["div class=\"comment\"", "li class=\"comment\"", "article class=\"comment\""]), *([leaf(one(["span", "h4", "div class=\"author\"", "p class=\"meta\""]) if False else one(["h4", "div class=\"author\"", "p class=\"meta\""]), text(True), False)] if rng.random() < 0.6 else []), leaf("p", text(rng.random() < 0.3), False))
+            comment = lambda: wrap(one(["div class=\"comment\"", "li class=\"comment\"", "article class=\"comment\""]), *([leaf(one(["h4", "div class=\"author\"", "p class=\"meta\""]), text(True), False)] if rng.random() < 0.6 else []), leaf("p", text(rng.random() < 0.3), False))
             title = [leaf(one(["h2", "h3"]), text(True), False)] if rng.random() < 0.6 else []
             tail.append(wrap(one(["section class=\"comments\"", "div id=\"comments\"", "div class=\"comment-list\"", "ol class=\"comments discussion\"", "div class=\"responses replies\""]), *title, *(comment() for _ in range(int(rng.integers(1, 5))))))
         for make, chance in ((lambda: aside(["aside", "div class=\"sidebar\"", "div id=\"sidebar\"", "div class=\"widget\""], 1), 0.3), (share, 0.3), (advert, 0.2), (form, 0.15), (notice, 0.15)):
@@ -402,10 +402,12 @@ def train(pages: list[str], n_composed: int = COMPOSED_PAGES) -> Network:
     return Network().fit(own + made)
 
 
-def sample(pages: DataFrame, page_html: str, rows: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``rows`` pages, those whose hashed texts are least; very long ones teach nothing more and are left to others."""
-    short = pages.select(F.col(page_html).alias("h")).where("h IS NOT NULL AND length(h) < 50000")
-    return [r["h"] for r in short.orderBy(F.xxhash64("h"), "h").limit(rows).collect()]
+def sample(pages: DataFrame, page_html: str, rows: int = SAMPLE_PAGES, chars: int = SAMPLED_CHARS) -> list[str]:
+    """At most ``rows`` different pages of at most ``chars`` characters, those whose hashes are least. Hashes are chosen first, so that only these pages leave their tasks."""
+    short = pages.select(F.col(page_html).alias("h")).where(F.length("h") <= chars)
+    least = short.select(F.xxhash64("h").alias("k")).distinct().orderBy("k").limit(rows)
+    found = short.join(F.broadcast(least), F.xxhash64("h") == F.col("k")).groupBy("k").agg(F.min("h").alias("h"))
+    return [r["h"] for r in found.orderBy("k").collect()]
 
 
 def extract(pages: DataFrame, network: Network, page_html: str = "html", to: str = "text") -> DataFrame:
