@@ -19,6 +19,12 @@ def epoch(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) / F.lit(1e6)
 
 
+def local_time(utc: Column, zone: str) -> Column:
+    """Wall-clock time (without zone) of UTC seconds, whatever the session's zone is."""
+    wall = F.timestamp_add("MICROSECOND", (utc * 1e6).cast("bigint"), F.lit("1970-01-01").cast("timestamp_ntz"))
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), wall)
+
+
 def rounded(x: Column) -> Column:
     """Half to even, as a whole number."""
     return F.bround(x, 0).cast("bigint")
@@ -26,21 +32,20 @@ def rounded(x: Column) -> Column:
 
 def date_label(utc: Column, zone: str = LOCAL_ZONE) -> Column:
     """Local calendar day of UTC seconds; ``unknown`` for null and for clocks that were never set."""
-    local = F.from_utc_timestamp(F.timestamp_micros((utc * 1e6).cast("bigint")), zone)
-    return F.coalesce(F.when(F.year(local) >= MIN_CREATION_YEAR, F.date_format(local, "yyyy-MM-dd")), F.lit("unknown"))
+    local = local_time(utc, zone)
+    return F.coalesce(F.when(F.year(local) >= MIN_CREATION_YEAR, F.to_date(local).cast("string")), F.lit("unknown"))
 
 
 def creation_utc(local_digits: Column, zone: str = LOCAL_ZONE) -> Column:
     """UTC seconds of wall-clock digits (``yyyy-MM-dd HH:mm:ss``); null for clocks that were never set."""
-    wall = F.try_to_timestamp(local_digits)
-    return F.when(F.year(wall) >= MIN_CREATION_YEAR, F.unix_micros(F.to_utc_timestamp(wall, zone)) / F.lit(1e6))
+    wall = local_digits.try_cast("timestamp_ntz")
+    return F.when(F.year(wall) >= MIN_CREATION_YEAR, epoch(F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)))
 
 
 def wall_clock(utc: Column, fmt: str = "HH:mm", zone: str = LOCAL_ZONE) -> Column:
     """Local time of day; in an undated lane, the time into the recording."""
     at = F.when(utc < LANES_END, F.pmod(utc, F.lit(LANE_S))).otherwise(utc)
-    stamp = F.timestamp_micros((at * 1e6).cast("bigint"))
-    return F.date_format(F.when(utc < LANES_END, stamp).otherwise(F.from_utc_timestamp(stamp, zone)), fmt)
+    return F.date_format(F.when(utc < LANES_END, local_time(at, "UTC")).otherwise(local_time(at, zone)), fmt)
 
 
 def format_time(seconds: Column) -> Column:

@@ -7,20 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import nearest_after, runs
+from .intervals import in_range, nearest_after, runs
 from .moments import cooldown
-from .series import sliding_slope
 
 # Classes of the detector and thresholds of the events.
 PERSON, CAR, MOTORCYCLE, BUS, TRUCK = 0, 2, 3, 5, 7
 VEHICLES = (CAR, BUS, TRUCK)
 MIN_VEHICLE_HEIGHT = 0.08
-NEARBY_HEIGHT, NEARBY_S, SLOPE = 0.2, 0.3, 0.32
-EDGE, EGO_EDGE_SHARE, EGO_S, EGO_DRIFT, EGO_SIZE = 0.02, 0.6, 2.0, 0.04, 0.1
+MIN_BOX_HEIGHT, MIN_POINTS, MIN_TRACK_S = 0.05, 4, 0.6
+NEARBY_HEIGHT, NEARBY_AREA, NEARBY_S, SLOPE, SLOPE_POINTS, SLOPE_S = 0.11, 0.01, 0.3, 0.32, 8, 0.25
+EDGE, EGO_EDGE_SHARE, EGO_S, EGO_DRIFT, EGO_SIZE, EGO_POINTS = 0.02, 0.6, 2.0, 0.04, 0.1, 5
 OFFTRACK_SHARE, OFFTRACK_POINTS = 0.5, 3
 KERB_SHARE, KERB_FRAMES = 0.04, 4
 SWAP_MARGIN, SWAP_HOLD, SWAP_S, SWAP_SHARED = 1.15, 3, 3.0, 6
 CRASH_JOLT, CRASH_SPEED, CRASH_STOPPED, CRASH_COOLDOWN_S = 3.0, 30.0, 8.0, 15.0
+CRASH_SAMPLES, CRASH_BEFORE_S, CRASH_AFTER_S = 3, 4.0, (3.0, 10.0)
+THEMES = ("overtake", "overtaken", "catching_up", "duel", "kneepuck", "crash", "crash_other", "off_track", "own_off_track")
+MIN_CATCH_UP_S, MAX_SEGMENT_S = 1.5, 7.0
 MOUNTED_OVERLAP = 0.2
 BY = ("recording_id", "track_id")
 
@@ -37,6 +40,16 @@ def centre() -> Column:
     return (F.col("x1") + F.col("x2")) / 2 / F.greatest(F.col("frame_w"), F.lit(1))
 
 
+def middle() -> Column:
+    return (F.col("y1") + F.col("y2")) / 2 / F.greatest(F.col("frame_h"), F.lit(1))
+
+
+def inside(rect: tuple[float, float, float, float]) -> Column:
+    """Whether a box's centre is in a rectangle (left, top, right, bottom, in shares of the frame); its borders count."""
+    left, top, right, bottom = rect
+    return centre().between(left, right) & middle().between(top, bottom)
+
+
 def vehicles_in_view(points: DataFrame) -> DataFrame:
     """For each frame whether a vehicle fills enough of it."""
     seen = F.col("cls").isin(*VEHICLES) & (height() >= MIN_VEHICLE_HEIGHT)
@@ -44,23 +57,37 @@ def vehicles_in_view(points: DataFrame) -> DataFrame:
 
 
 def ego_tracks(points: DataFrame) -> DataFrame:
-    """Tracks that are the camera's own bike: long, at the frame's edge, unmoving and of one size."""
+    """Tracks that are the camera's own bike: of some points, long, at the frame's edge, moving neither way and of one size."""
     edge = (F.col("x1") <= EDGE * F.col("frame_w")) | (F.col("x2") >= (1 - EDGE) * F.col("frame_w")) | (F.col("y2") >= (1 - EDGE) * F.col("frame_h"))
+    high = F.greatest(F.col("y2") - F.col("y1"), F.lit(0.0))
     stats = points.groupBy(*BY).agg(
-        F.avg(edge.cast("double")).alias("e"), (F.max("t") - F.min("t")).alias("s"), F.stddev_pop(centre()).alias("d"), F.stddev_pop(height()).alias("hd"), F.avg(height()).alias("h")
-    )
-    return stats.where((F.col("e") >= EGO_EDGE_SHARE) & (F.col("s") >= EGO_S) & (F.col("d") < EGO_DRIFT) & (F.col("hd") < EGO_SIZE * F.col("h"))).select(*BY)
+        F.avg(edge.cast("double")).alias("e"), (F.max("t") - F.min("t")).alias("s"), F.count("*").alias("n"),
+        F.stddev_pop(centre()).alias("dx"), F.stddev_pop(middle()).alias("dy"), F.stddev_pop(high).alias("hd"), F.avg(high).alias("h"),
+    )
+    still = (F.col("dx") < EGO_DRIFT) & (F.col("dy") < EGO_DRIFT) & (F.col("hd") < EGO_SIZE * F.greatest("h", F.lit(1e-6)))
+    return stats.where((F.col("n") >= EGO_POINTS) & (F.col("e") >= EGO_EDGE_SHARE) & (F.col("s") >= EGO_S) & still).select(*BY)
 
 
 def rider_events(points: DataFrame) -> DataFrame:
-    """``nearby_rider`` runs, ``approaching_rider`` and ``receding_rider`` by the slope of the log of the box's area. Own bikes are left out."""
-    others = points.join(ego_tracks(points), list(BY), "left_anti")
-    near = runs(others.withColumn("_near", height() >= NEARBY_HEIGHT), BY, "t", "_near", "t", min_seconds=NEARBY_S)
-    out = near.select(*BY, F.lit("nearby_rider").alias("type"), "t_start", "t_end", F.lit(1.0).alias("score"))
-    slopes = sliding_slope(others.withColumn("_area", area()), BY, "t", "_area", "t")
+    """``nearby_rider`` runs, and an ``approaching_rider`` or ``receding_rider`` for each window of points over which the log of the box's area
+    has a steep slope (``merge_same_type`` joins them later). Own bikes, small boxes and short tracks are left out."""
+    others = points.join(ego_tracks(points), list(BY), "left_anti").where(height() >= MIN_BOX_HEIGHT)
+    track = Window.partitionBy(*BY)
+    others = others.withColumns({"_count": F.count("*").over(track), "_span": F.max("t").over(track) - F.min("t").over(track)})
+    others = others.where((F.col("_count") >= MIN_POINTS) & (F.col("_span") >= MIN_TRACK_S))
+    near = (height() >= NEARBY_HEIGHT) | (area() / F.greatest(F.col("frame_w") * F.col("frame_h"), F.lit(1)) >= NEARBY_AREA)
+    order = track.orderBy("t")
+    marked = others.withColumn("_near", near).withColumn("_run", F.row_number().over(order) - F.row_number().over(Window.partitionBy(*BY, "_near").orderBy("t")))
+    runs_ = marked.where("_near").groupBy(*BY, "_run").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.max(height()).alias("score"))
+    out = runs_.where(F.col("t_end") - F.col("t_start") >= NEARBY_S).select(*BY, F.lit("nearby_rider").alias("type"), "t_start", "t_end", "score")
+    # A track shorter than a window is one window.
+    last = order.rowsBetween(1 - SLOPE_POINTS, 0)
+    y = F.log(F.greatest(area(), F.lit(1.0)))
+    sloped = others.withColumns({"slope": F.regr_slope(y, F.col("t")).over(last), "t_start": F.min("t").over(last), "_n": F.row_number().over(order)})
+    whole = (F.col("_n") >= SLOPE_POINTS) | (F.col("_n") == F.col("_count"))
     kind = F.when(F.col("slope") >= SLOPE, "approaching_rider").when(F.col("slope") <= -SLOPE, "receding_rider")
-    moving = slopes.withColumn("type", kind).where("type IS NOT NULL").groupBy(*BY, "type").agg(F.min("t").alias("t_start"), F.max("t").alias("t_end"), F.max(F.abs("slope")).alias("score"))
-    return out.unionByName(moving)
+    moving = sloped.where(whole & (F.col("t") - F.col("t_start") >= SLOPE_S)).withColumn("type", kind).where("type IS NOT NULL")
+    return out.unionByName(moving.select(*BY, "type", "t_start", F.col("t").alias("t_end"), F.abs("slope").alias("score")))
 
 
 def off_track(points: DataFrame) -> DataFrame:
@@ -106,18 +133,20 @@ def passes(points: DataFrame) -> DataFrame:
 
 
 def crashes(speed: DataFrame, accel: DataFrame) -> DataFrame:
-    """Jolts of several times the usual acceleration with speed before and standstill after, not again within some seconds: ``recording_id``, ``t``.
+    """Jolts of several times the usual acceleration with speed before and standstill after, the next one some seconds later at the earliest: ``recording_id``, ``t``.
 
     ``speed``: recording_id, t, kmh; ``accel``: recording_id, t, ax, ay, az.
     """
-    g = F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2)
-    sized = accel.withColumn("g", g)
-    usual = sized.groupBy("recording_id").agg(F.percentile("g", F.lit(0.5)).alias("usual"))
-    jolts = sized.join(usual, "recording_id").where(F.col("g") >= CRASH_JOLT * F.col("usual")).groupBy("recording_id", F.floor("t").alias("_k")).agg(F.min(F.struct((-F.col("g")).alias("g"), "t"))["t"].alias("t"))
-    near = jolts.select("recording_id", "t").join(speed.withColumnRenamed("t", "ts"), "recording_id").where((F.col("ts") >= F.col("t") - 4) & (F.col("ts") <= F.col("t") + 10))
+    sized = accel.withColumn("g", F.sqrt(F.col("ax") ** 2 + F.col("ay") ** 2 + F.col("az") ** 2))
+    usual = sized.groupBy("recording_id").agg(F.percentile("g", F.lit(0.5)).alias("usual")).where("usual > 0")
+    jolts = sized.join(usual, "recording_id").where(F.col("g") >= CRASH_JOLT * F.col("usual")).select("recording_id", "t").distinct()
+    at, since = F.col("ts"), F.col("ts") - F.col("t")
+    near = in_range(jolts, speed.withColumnRenamed("t", "ts"), ["recording_id"], F.col("t") - CRASH_BEFORE_S, F.col("t") + CRASH_AFTER_S[1], at, CRASH_BEFORE_S + CRASH_AFTER_S[1])
+    before, after = since <= 0, since >= CRASH_AFTER_S[0]
     half = lambda c: F.percentile(F.when(c, F.col("kmh")), F.lit(0.5))
-    sides = near.groupBy("recording_id", "t").agg(half(F.col("ts") <= F.col("t")).alias("before"), half(F.col("ts") >= F.col("t") + 3).alias("after"))
-    found = sides.where((F.col("before") >= CRASH_SPEED) & (F.col("after") <= CRASH_STOPPED)).select("recording_id", "t", F.row_number().over(Window.partitionBy("recording_id").orderBy("t")).cast("long").alias("ordinal"))
+    sides = near.groupBy("recording_id", "t").agg(half(before).alias("before"), half(after).alias("after"), F.count_if(after).alias("n"))
+    stopped = (F.col("before") >= CRASH_SPEED) & (F.col("after") <= CRASH_STOPPED) & (F.col("n") >= CRASH_SAMPLES)
+    found = sides.where(stopped).select("recording_id", "t", F.row_number().over(Window.partitionBy("recording_id").orderBy("t")).cast("long").alias("ordinal"))
     return found.join(cooldown(found, ["recording_id"], "t", "ordinal", CRASH_COOLDOWN_S), ["recording_id", "ordinal"]).select("recording_id", "t")
 
 
@@ -135,3 +164,45 @@ def overtakes(events: DataFrame, by: Sequence[str] = ("day",)) -> DataFrame:
         found = found.select(*by, F.lit(theme).alias("theme"), "first", "second", F.col("_s").alias("utc_start"), F.greatest("_e", "_u").alias("utc_end"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _piece(recording: Column, lo: Column, hi: Column, most: float | None = MAX_SEGMENT_S) -> Column:
+    """A span of a recording from 0 on, of at most ``most`` seconds (its last ones)."""
+    lo = F.greatest(F.lit(0.0), lo)
+    return F.struct(recording.alias("recording_id"), (F.greatest(lo, hi - most) if most else lo).alias("t_start"), hi.alias("t_end"))
+
+
+def themed_moments(events: DataFrame, by: Sequence[str] = ("day",)) -> DataFrame:
+    """Moments: by, ``theme``, ``utc_start``, ``utc_end``, ``score``, ``segments`` and ``ordinals`` (of their events).
+
+    ``events``: by, ordinal, recording_id, facing, type, t_start, t_end, utc_offset, score. Handovers between cameras come first; an event that
+    is in none, and not of a type with a theme of its own, is ``action``. ``moments.suppress`` then drops repeats.
+    """
+    clocked = events.withColumns({"utc_start": F.col("utc_offset") + F.col("t_start"), "utc_end": F.col("utc_offset") + F.col("t_end")})
+    pairs = overtakes(clocked, by).select(*by, "theme", "first", "second")
+    side = lambda name: clocked.select(*by, F.col("ordinal").alias(name), F.struct("recording_id", "t_start", "t_end", "utc_offset", "score").alias(f"_{name}"))
+    both = pairs.join(side("first"), [*by, "first"]).join(side("second"), [*by, "second"])
+    a, b = F.col("_first"), F.col("_second")
+    handed = both.select(
+        *by, "theme", _piece(a["recording_id"], a["t_start"] - 1.0, a["t_end"] + 0.5).alias("_a"), _piece(b["recording_id"], b["t_start"] - 0.3, b["t_start"] + 3.0, None).alias("_b"),
+        a["utc_offset"].alias("_u"), b["utc_offset"].alias("_v"), (a["score"] + b["score"]).alias("score"), F.array("first", "second").alias("ordinals"),
+    ).select(*by, "theme", (F.col("_u") + F.col("_a.t_start")).alias("utc_start"), (F.col("_v") + F.col("_b.t_end")).alias("utc_end"), "score", F.array("_a", "_b").alias("segments"), "ordinals")
+    used = pairs.select(*by, F.explode(F.array("first", "second")).alias("ordinal")).distinct()
+    free = clocked.join(used, [*by, "ordinal"], "left_anti")
+    long = F.col("t_end") - F.col("t_start")
+    # theme: which events, seconds before and after, what the score is multiplied by
+    rules = [
+        ("catching_up", (F.col("facing") == "front") & (F.col("type") == "approaching_rider") & (long >= MIN_CATCH_UP_S), 1.0, 1.0, long),
+        ("duel", F.col("type") == "rider_pass", 2.0, 2.0, F.lit(1.0)),
+        ("kneepuck", F.col("type") == "kneepuck_visible", 1.5, 1.5, F.lit(1.0)),
+        ("crash_other", F.col("type") == "rider_down", 4.0, 3.0, F.lit(5.0)),
+        ("off_track", F.col("type") == "off_track", 2.0, 2.0, F.lit(2.0)),
+        ("own_off_track", F.col("type") == "own_off_track", 5.0, 3.0, F.lit(4.0)),
+    ]
+    chain = lambda value, rest: F.coalesce(*(F.when(check, value(name, before, after, times)) for name, check, before, after, times in rules), rest)
+    peak = (F.col("t_start") + F.col("t_end")) / 2
+    piece = chain(lambda name, before, after, _: _piece(F.col("recording_id"), F.col("t_start") - before, F.col("t_end") + after, None if name == "own_off_track" else MAX_SEGMENT_S), _piece(F.col("recording_id"), peak - 3.0, peak + 3.0))
+    single = free.select(
+        *by, chain(lambda name, *_: F.lit(name), F.lit("action")).alias("theme"), piece.alias("_a"), "utc_offset", (F.col("score") * chain(lambda _n, _b, _a, times: times, F.lit(1.0))).alias("score"), F.array("ordinal").alias("ordinals")
+    )
+    return handed.unionByName(single.select(*by, "theme", (F.col("utc_offset") + F.col("_a.t_start")).alias("utc_start"), (F.col("utc_offset") + F.col("_a.t_end")).alias("utc_end"), "score", F.array("_a").alias("segments"), "ordinals"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import colour
 
 EARTH_M = 6_371_000.0
+# Fixed values of corners: the percentile, what it is where a session has no such values, degrees of lean, rows looked back.
+CORNER_SHARE, PLAIN_ACC, LEAST_LEAN, CORNER_ROWS = 0.6, 0.4, 5.0, 25
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -87,26 +90,38 @@ def track_map(df: DataFrame, by: Sequence[str], lat: str, lon: str) -> DataFrame
     return df.withColumns({"x": part(lon), "y": 1 - part(lat)})
 
 
-def corners(df: DataFrame, by: Sequence[str], t: str, speed: str, long_acc: str, lean: str, percentile: float = 0.6) -> DataFrame:
-    """Corners of each lap: ``t_start``, ``t_end``, ``entry``, ``minimum``, ``max_lean``.
+def corners(df: DataFrame, by: Sequence[str], lap: str, t: str, speed: str, long_acc: str, lean: str, whole: Column) -> DataFrame:
+    """Corners of the laps that are ``whole`` (neither out nor in): by, lap, ``corner``, ``t_start``, ``t_end``, ``before``, ``entry``, ``minimum``, ``max_lean``.
 
-    A corner begins when braking or leaning goes over its own lap's percentile and ends when both fall under it; the
-    steps depend on order, so a lap is one group in pandas.
+    What counts as braking, driving on and leaning are percentiles of the whole session ``by``. A corner begins with braking, or with leaning
+    where none came before; it is entered when the bike leans, and left when it drives on, or is upright again and faster than at its slowest.
+    These steps depend on order, so a lap is one group in pandas.
     """
-    names = {c: df.schema[c].dataType.simpleString() for c in by}
-    schema = ", ".join(f"`{c}` {k}" for c, k in names.items()) + ", corner int, t_start double, t_end double, entry double, minimum double, max_lean double"
-
-    def lap(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(t, kind="stable").reset_index(drop=True)
-        brake, tilt = (-g[long_acc]).clip(lower=0), g[lean].abs()
-        level_b, level_t = brake.quantile(percentile), tilt.quantile(percentile)
-        inside = (tilt > level_t) | (brake > level_b)
-        turned = tilt > level_t
-        number = (inside & ~inside.shift(fill_value=False)).cumsum()
-        rows = []
-        for k, part in g[inside].groupby(number[inside]):
-            if turned.loc[part.index].any():
-                rows.append((*key, len(rows), part[t].iloc[0], part[t].iloc[-1], part[speed].iloc[0], part[speed].min(), part[lean].abs().max()))
-        return pd.DataFrame(rows, columns=[*by, "corner", "t_start", "t_end", "entry", "minimum", "max_lean"])
-
-    return df.groupBy(*by).applyInPandas(lap, schema)
+    level = lambda x: F.percentile(x, F.lit(CORNER_SHARE))
+    acc = F.col(long_acc)
+    session = df.groupBy(*by).agg(
+        F.coalesce(level(F.when(acc > 0, acc)), F.lit(PLAIN_ACC)).alias("_drive"), F.coalesce(level(F.when(acc < 0, -acc)), F.lit(PLAIN_ACC)).alias("_brake"), F.greatest(F.lit(LEAST_LEAN), level(F.abs(lean))).alias("_lean")
+    )
+    keys = [*by, lap]
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", corner int, t_start double, t_end double, before double, entry double, minimum double, max_lean double"
+
+    def found(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(t, kind="stable")
+        at, v, a, tilt = (g[c].to_numpy(float) for c in (t, speed, long_acc, lean))
+        tilt = np.abs(tilt)
+        braking, leaning, driving = a < -g["_brake"].iloc[0], tilt >= g["_lean"].iloc[0], a > g["_drive"].iloc[0]
+        begin = lambda mask, k: k + int(mask[k:].argmax()) if mask[k:].any() else None
+        rows, k = [], 1
+        while (start := begin(braking | leaning, k)) is not None:
+            enter = begin(leaning, start + 1) if braking[start] else start
+            if enter is None:
+                break
+            slowest = np.minimum.accumulate(v[enter:])
+            out = begin(np.concatenate([np.zeros(enter + 1, bool), (driving[enter:] | (~leaning[enter:] & (v[enter:] > slowest)))[1:]]), enter + 1)
+            if out is None:
+                break
+            rows.append((*key, len(rows), at[start], at[out], v[max(0, start - CORNER_ROWS) : start + 1].max(), v[enter], slowest[out - enter], tilt[enter : out + 1].max()))
+            k = out + 1
+        return pd.DataFrame(rows, columns=[*keys, "corner", "t_start", "t_end", "before", "entry", "minimum", "max_lean"])
+
+    return df.where(whole).join(session, list(by)).groupBy(*keys).applyInPandas(found, schema)

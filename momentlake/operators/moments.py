@@ -6,10 +6,12 @@ dealt out by Spark and are independent of each other.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAD_S, MAX_LEN_S, MAX_CLIPS, MERGE_GAP_S, LONGEST_S = 10.0, 24.0, 12, 8.0, 40.0
@@ -18,6 +20,8 @@ MAX_OVERLAP = 0.5
 SWITCH_RATIO = 0.5
 SMOOTH_TAU_S, MAX_PAN_PER_S = 0.35, 0.6
 MIN_PIECE_S = 8.0
+# Moments that a theme needs for shorts of its own, of which themes with other numbers.
+LEAST_MOMENTS, LEAST_BY_THEME = 2, {"crash": 1, "crash_other": 1, "off_track": 1, "own_off_track": 1}
 
 
 def per_group(df: DataFrame, by: Sequence[str], added: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
@@ -36,35 +40,45 @@ def per_group(df: DataFrame, by: Sequence[str], added: str, step: Callable[[pd.D
 def clip_windows(events: DataFrame, by: Sequence[str], start: str, end: str, score: str, tie: str, duration: float | None = None, pad: float = PAD_S, max_len: float = MAX_LEN_S, max_clips: int = MAX_CLIPS, merge_gap: float = MERGE_GAP_S) -> DataFrame:
     """Windows around the best peaks: ``w_start``, ``w_end``, ``w_score``, ``n_events``.
 
-    Best first; a peak joins the first window that it is near enough to and that stays short enough, else it opens a new one, up to ``max_clips``.
+    Best first, a peak has a window of ``pad`` seconds to each side (a second at least, ``max_len`` in all at most), which holds every event that touches
+    it. It joins the first window that it is near enough to and that stays short enough, else it is one of its own, up to ``max_clips``.
     """
-    longest = max(max_len, LONGEST_S)
+    longest, half = max(max_len, LONGEST_S), min(pad, max(1.0, max_len / 2))
+    end_of_all = float("inf") if duration is None else duration
 
     def step(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([score, start, tie], ascending=[False, True, True], kind="stable")
-        windows: list[list[float]] = []
-        for s, e, v in zip(g[start], g[end], g[score]):
-            peak, half = (s + e) / 2, min(max_len, max(e - s, 0) + 2 * pad) / 2
-            lo, hi = max(0.0, peak - half), peak + half if duration is None else min(duration, peak + half)
-            for w in windows:
-                apart = max(w[0] - hi, lo - w[1])
-                if apart <= merge_gap and max(w[1], hi) - min(w[0], lo) <= longest:
-                    w[:] = [min(w[0], lo), max(w[1], hi), max(w[2], v), w[3] + 1]
-                    break
-            else:
-                if len(windows) < max_clips:
-                    windows.append([lo, hi, v, 1])
-        out = pd.DataFrame(sorted(windows), columns=["w_start", "w_end", "w_score", "n_events"])
+        s, e, v = (g[c].to_numpy(float) for c in (start, end, score))
+        lo = np.maximum(0.0, (s + e) / 2 - half)
+        hi = np.minimum(end_of_all, np.maximum((s + e) / 2 + half, lo + 1.0))
+        over = np.maximum(0.0, hi - lo - max_len) / 2
+        lo, hi = lo + over, hi - over
+        spans: list[list[float]] = []
+        members: list[np.ndarray] = []
+        for k in range(len(g)):
+            touched = (e >= lo[k]) & (s <= hi[k])
+            touched[k] |= not touched.any()
+            joined = np.array(spans).reshape(-1, 2)
+            fits = (np.maximum(lo[k], joined[:, 0]) - np.minimum(hi[k], joined[:, 1]) <= merge_gap) & (np.maximum(hi[k], joined[:, 1]) - np.minimum(lo[k], joined[:, 0]) <= longest)
+            if fits.any():
+                w = int(fits.argmax())
+                spans[w] = [min(lo[k], spans[w][0]), max(hi[k], spans[w][1])]
+                members[w] = members[w] | touched
+            elif len(spans) < max_clips:
+                spans.append([lo[k], hi[k]])
+                members.append(touched)
+        rows = sorted((a, b, v[m].max(), int(m.sum())) for (a, b), m in zip(spans, members))
+        out = pd.DataFrame(rows, columns=["w_start", "w_end", "w_score", "n_events"])
         return out.astype({"w_start": float, "w_end": float, "w_score": float, "n_events": "int64"})
 
     return per_group(events, by, "w_start double, w_end double, w_score double, n_events long", step)
 
 
-def pack_next_fit(moments: DataFrame, by: Sequence[str], moment_id: str, seconds: str, score: str, limit: float = PACK_S) -> DataFrame:
-    """``moment_id`` and ``bin``: best first into the open bin, a new one when it is full. A moment over the limit has a bin of its own."""
+def pack_next_fit(moments: DataFrame, by: Sequence[str], moment_id: str, seconds: str, score: str, limit: float = PACK_S, best_first: bool = True) -> DataFrame:
+    """``moment_id`` and ``bin``: best first (or least first) into the open bin, a new one when it is full. A moment over the limit has a bin of its own."""
 
     def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, moment_id], ascending=[False, True], kind="stable")
+        g = g.sort_values([score, moment_id], ascending=[not best_first, True], kind="stable")
         bins, k, used = [], 0, 0.0
         for s in g[seconds]:
             if used > 0 and used + s > limit:
@@ -76,16 +90,46 @@ def pack_next_fit(moments: DataFrame, by: Sequence[str], moment_id: str, seconds
     return per_group(moments, by, f"`{moment_id}` {moments.schema[moment_id].dataType.simpleString()}, bin int", step)
 
 
-def suppress(moments: DataFrame, by: Sequence[str], moment_id: str, start: str, end: str, score: str, most: float = MAX_OVERLAP) -> DataFrame:
-    """``moment_id`` of the rows that stay: best first, a row goes if more than ``most`` of the shorter of it and a kept one is shared."""
+def plan_shorts(moments: DataFrame, by: Sequence[str], moment_id: str, theme: str, start: str, seconds: str, score: str, limit: float = PACK_S, most_action: int = 0) -> DataFrame:
+    """Which moments each short shows: by, ``series``, ``bin``, ``moment_id``, ``place`` (by time).
+
+    The series ``action`` has all moments, best first, in ``most_action`` shorts at most (0: in all). Each theme with enough moments has a series in order of time.
+    """
+    mixed = pack_next_fit(moments, by, moment_id, seconds, score, limit).withColumn("series", F.lit("action"))
+    mixed = mixed.where(F.col("bin") < most_action) if most_action > 0 else mixed
+    enough = F.lit(LEAST_MOMENTS)
+    for name, n in LEAST_BY_THEME.items():
+        enough = F.when(F.col(theme) == name, n).otherwise(enough)
+    themed = moments.where(F.col(theme) != "action").withColumn("_n", F.count("*").over(Window.partitionBy(*by, theme))).where(F.col("_n") >= enough)
+    own = pack_next_fit(themed, [*by, theme], moment_id, seconds, start, limit, best_first=False).withColumn("series", F.col(theme))
+    planned = mixed.select(*by, "series", "bin", moment_id).unionByName(own.select(*by, "series", "bin", moment_id))
+    timed = planned.join(moments.select(*by, moment_id, F.col(start).alias("_start")), [*by, moment_id])
+    place = F.row_number().over(Window.partitionBy(*by, "series", "bin").orderBy("_start", moment_id))
+    return timed.select(*by, "series", "bin", moment_id, place.alias("place"))
+
+
+def suppress(moments: DataFrame, by: Sequence[str], moment_id: str, start: str, end: str, score: str, most: float = MAX_OVERLAP, theme: str | None = None, ranks: Sequence[str] = ()) -> DataFrame:
+    """``moment_id`` of the rows that stay: best first, a row goes if more than ``most`` of the shorter of it and a kept one is shared.
+
+    With ``theme`` the order is that of ``ranks`` first, ``action`` last of all; a row only goes for one of its own theme, but ``action`` for any.
+    """
 
     def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, moment_id], ascending=[False, True], kind="stable")
-        kept: list[tuple[float, float]] = []
+        place = {t: i for i, t in enumerate(ranks)}
+        late = g[theme].map(lambda t: (t == "action", place.get(t, len(place)))) if theme else pd.Series([(False, 0)] * len(g), index=g.index)
+        g = g.assign(_late=late).sort_values(["_late", score, moment_id], ascending=[True, False, True], kind="stable")
+        kept: dict[object, list[tuple[float, float]]] = {}
+        longest: dict[object, float] = {}
         ids = []
-        for i, s, e in zip(g[moment_id], g[start], g[end]):
-            if all(min(e, b) - max(s, a) <= most * max(min(e - s, b - a), 1e-9) for a, b in kept):
-                kept.append((s, e))
+        for i, s, e, t in zip(g[moment_id], g[start], g[end], g[theme] if theme else [None] * len(g)):
+            clash = False
+            for other in kept if theme and t == "action" else [t] if t in kept else []:
+                spans = kept[other]  # in order of start: only those near enough to be shared are looked at
+                for a, b in spans[bisect_left(spans, (s - longest[other],)) : bisect_left(spans, (e,))]:
+                    clash = clash or min(e, b) - max(s, a) > most * min(e - s, b - a)
+            if not clash:
+                insort(kept.setdefault(t, []), (s, e))
+                longest[t] = max(longest.get(t, 0.0), e - s)
                 ids.append(i)
         return pd.DataFrame({moment_id: pd.Series(ids, dtype=g[moment_id].dtype)})
 
@@ -129,13 +173,13 @@ def smooth_limited(series: DataFrame, by: Sequence[str], t: str, tie: str, value
 
 
 def cooldown(hits: DataFrame, by: Sequence[str], t: str, tie: str, seconds: float) -> DataFrame:
-    """The hits that come more than ``seconds`` after the last accepted one."""
+    """The hits that come ``seconds`` or more after the last accepted one."""
 
     def step(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([t, tie], kind="stable")
         ids, last = [], None
         for at, i in zip(g[t], g[tie]):
-            if last is None or at - last > seconds:
+            if last is None or at - last >= seconds:
                 ids.append(i)
                 last = at
         return pd.DataFrame({tie: pd.Series(ids, dtype=g[tie].dtype)})

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .intervals import in_range
 
-SPEED_PAD_S, NEAREST_S, MIN_TRACK_KMH = 0.5, 5.0, 40.0
+SPEED_PAD_S, NEAREST_S, MIN_TRACK_KMH, MOVING_PAD_S = 0.5, 5.0, 40.0, 0.15
 SLOPE_POINTS = 8
 
 
@@ -50,17 +50,34 @@ def median_or_nearest(spans: DataFrame, samples: DataFrame, by: Sequence[str], s
     return joined.select(span_id, F.coalesce("_median", "_near").alias("value")).withColumn("kept", F.coalesce(F.col("value") >= least, F.lit(True)))
 
 
+def moving_or_nearest(events: DataFrame, samples: DataFrame, by: Sequence[str], s0: str, s1: str, t: str, value: str, event_id: str, threshold: float, pad: float = MOVING_PAD_S, width: float = 3600.0) -> DataFrame:
+    """``event_id`` and ``moving``: whether the median of the samples in the padded span is ``threshold`` at least.
+
+    With fewer than two of them the sample of the recording that is nearest to the middle decides (ties: the earlier, then the lower); without any, and
+    for a threshold of 0 or less, an event counts as moving.
+    """
+    if threshold <= 0:
+        return events.select(event_id, F.lit(True).alias("moving"))
+    inside = in_range(events, samples, by, F.col(s0) - pad, F.col(s1) + pad, F.col(t), width).groupBy(event_id).agg(F.percentile(value, F.lit(0.5)).alias("_median"), F.count(value).alias("_n"))
+    known = events.join(inside, event_id, "left").where("_n IS NULL OR _n < 2").select(*by, event_id, ((F.col(s0) + F.col(s1)) / 2).alias(t))
+    sides = asof(known, samples, by, t, value, event_id)
+    after = F.col("before_t").isNull() | (F.col("after_t") - F.col(t) < F.col(t) - F.col("before_t"))
+    nearest = sides.select(event_id, F.when(after, F.col("after_v")).otherwise(F.col("before_v")).alias("_nearest"))
+    out = events.select(event_id).join(inside, event_id, "left").join(nearest, event_id, "left")
+    return out.select(event_id, F.coalesce(F.when(F.col("_n") >= 2, F.col("_median")).otherwise(F.col("_nearest")) >= threshold, F.lit(True)).alias("moving"))
+
+
 def asof(probes: DataFrame, points: DataFrame, by: Sequence[str], t: str, value: str, probe_id: str) -> DataFrame:
     """``probe_id`` with the last point at or before it (``before_t``, ``before_v``) and the first at or after it (``after_t``, ``after_v``).
 
-    One sort of both together; no join on ranges. Points at a probe's time count on both sides.
+    One sort of both together; no join on ranges. Points at a probe's time count on both sides; of several at one time the one of the least value counts.
     """
     a = points.select(*by, F.col(t).alias("_t"), F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_point"))
     b = probes.select(*by, F.col(t).alias("_t"), probe_id, F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_point"))
     both = a.unionByName(b)
     point = F.when(F.col("_point") == 1, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    back = Window.partitionBy(*by).orderBy(F.col("_t"), F.desc("_point")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_point")).rowsBetween(0, Window.unboundedFollowing)
+    back = Window.partitionBy(*by).orderBy(F.col("_t"), F.desc("_point"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_point"), F.col("_v")).rowsBetween(0, Window.unboundedFollowing)
     out = both.withColumn("_b", F.last(point, ignorenulls=True).over(back)).withColumn("_a", F.first(point, ignorenulls=True).over(ahead)).where("_point = 0")
     return out.select(*by, probe_id, F.col("_t").alias(t), F.col("_b.t").alias("before_t"), F.col("_b.v").alias("before_v"), F.col("_a.t").alias("after_t"), F.col("_a.v").alias("after_v"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import intervals as I
 from ..operators import laps as L
-from ..operators import learn, moments, rank, series
+from ..operators import detect, learn, moments, rank, series
 from ..sources import records
 from ..streaming import sessions as streams
 
@@ -194,10 +194,10 @@ def span_share_padded(spark, d):
 
 def _votes(spark, d):
     vote = F.pmod(F.length("text"), F.lit(3)) - 1
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", vote.alias("vote"), F.split(F.lower(F.substring("text", 1, 40)), " ").alias("tags"))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", vote.alias("vote"), F.split(F.lower("text"), " ").alias("tags"))
 
 
-_VOTES = "vo as (select conv_id, turn, role, length(text) % 3 - 1 vote, string_split(lower(text[1:40]), ' ') tags from conversations), la as (select * from (select *, row_number() over (partition by conv_id order by turn desc, role desc) n from vo) where n = 1)"
+_VOTES = "vo as (select conv_id, turn, role, length(text) % 3 - 1 vote, string_split(lower(text), ' ') tags from conversations), la as (select * from (select *, row_number() over (partition by conv_id order by turn desc, role desc) n from vo) where n = 1)"
 
 
 @query(f"with {_VOTES} select conv_id, turn, role, vote from la")
@@ -590,6 +590,101 @@ def stream_sessions(spark, d):
     return _session_rows(found)
 
 
+@query(f"""with {EV}, a as (select r, i, t s, e from ev where y = 'click'), b as (select r, t, v from ev where y = 'view'),
+m as (select a.i, median(v) x, count(*) n from a join b on a.r = b.r and b.t between a.s - 7200 and a.e + 7200 group by a.i),
+n as (select i, v x from (select a.i, v, row_number() over (partition by a.i order by abs(b.t - (s + e) / 2), b.t, v) k from a join b on a.r = b.r) where k = 1)
+select i, coalesce(case when m.n >= 2 then m.x else n.x end >= 15, true) moving from a left join m using (i) left join n using (i)""")
+def event_is_moving(spark, d):
+    e = events(spark, d)
+    a = e.where("y = 'click'").select("r", "i", F.col("t").alias("s0"), F.col("e").alias("s1"))
+    b = e.where("y = 'view'").select("r", F.col("t").alias("bt"), F.col("v").alias("bv"))
+    return series.moving_or_nearest(a, b, ["r"], "s0", "s1", "bt", "bv", "i", 15, pad=7200, width=DAY / 4)
+
+
+_BOXES = f"{EV}, bx as (select r recording_id, y track_id, t / 3600 t, 30.0::double x1, 30 + v x2, 20.0::double y1, 20 + v y2, 100 w, 100 h, i from ev)"
+
+
+def _boxes(spark, d):
+    """Boxes whose sides are an event's value, a track for each user and type, an hour for a second."""
+    return events(spark, d).select(
+        F.col("r").alias("recording_id"), F.col("y").alias("track_id"), (F.col("t") / HOUR).alias("t"), F.lit(30.0).alias("x1"), (30 + F.col("v")).alias("x2"), F.lit(20.0).alias("y1"), (20 + F.col("v")).alias("y2"),
+        F.lit(100).alias("frame_w"), F.lit(100).alias("frame_h"), F.lit(3).alias("cls"),
+    )
+
+
+@query(f"""with {_BOXES}, g as (select recording_id, track_id, count(*) n, max(t) - min(t) s, avg(case when x1 <= 2 or x2 >= 98 or y2 >= 98 then 1.0::double else 0 end) e, stddev_pop((x1 + x2) / 200) dx, stddev_pop((y1 + y2) / 200) dy, stddev_pop(y2 - y1) hd, avg(y2 - y1) hm from bx group by all)
+select recording_id, track_id from g where n >= 5 and s >= 2 and e >= 0.6 and dx < 0.04 and dy < 0.04 and hd < 0.1 * greatest(hm, 1e-6)""")
+def ego_tracks(spark, d):
+    """Boxes moved to the left edge and made of nearly one size."""
+    return detect.ego_tracks(_boxes(spark, d).withColumns({"x1": F.lit(1.0), "x2": 21 + F.col("x2") / 100, "y2": 60 + F.col("y2") / 100}))
+
+
+ORACLES["ego_tracks"] = ORACLES["ego_tracks"].replace("from bx group", "from (select * replace (1.0::double as x1, 21 + x2 / 100 as x2, 60 + y2 / 100 as y2) from bx) group")
+
+
+@query(f"""with {_BOXES}, o as (select *, count(*) over k n, max(t) over k - min(t) over k s from bx where (y2 - y1) / h >= 0.05 window k as (partition by recording_id, track_id)),
+p as (select *, (y2 - y1) / h >= 0.11 or (x2 - x1) * (y2 - y1) / (w * h) >= 0.01 near from o where n >= 4 and s >= 0.6),
+q as (select *, row_number() over (partition by recording_id, track_id order by t) - row_number() over (partition by recording_id, track_id, near order by t) run from p),
+a as (select recording_id, track_id, 'nearby_rider' "type", min(t) t_start, max(t) t_end, max((y2 - y1) / h) score from q where near group by recording_id, track_id, run having max(t) - min(t) >= 0.3),
+l as (select *, regr_slope(ln(greatest((x2 - x1) * (y2 - y1), 1)), t) over f sl, min(t) over f t0, row_number() over (partition by recording_id, track_id order by t) m from p window f as (partition by recording_id, track_id order by t rows between 7 preceding and current row)),
+b as (select recording_id, track_id, case when sl >= 0.32 then 'approaching_rider' else 'receding_rider' end "type", t0 t_start, t t_end, abs(sl) score from l where (m >= 8 or m = n) and t - t0 >= 0.25 and abs(sl) >= 0.32)
+select recording_id, track_id, "type", round(t_start, 6) t_start, round(t_end, 6) t_end, round(score, 6) score from (select * from a union all select * from b)""")
+def rider_events(spark, d):
+    found = detect.rider_events(_boxes(spark, d))
+    return found.select("recording_id", "track_id", "type", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), F.round("score", 6).alias("score"))
+
+
+_CAMS = f"""{EV}, ca as (select r "day", i ordinal, case when i % 2 = 0 then 'front' else 'rear' end facing, case y when 'click' then 'approaching_rider' when 'view' then 'receding_rider' when 'purchase' then 'own_off_track' else 'rider_pass' end "type", t / 3600 s, t / 3600 + v / 10 e, v score from ev)"""
+
+
+def _cameras(spark, d):
+    kind = F.when(F.col("y") == "click", "approaching_rider").when(F.col("y") == "view", "receding_rider").when(F.col("y") == "purchase", "own_off_track").otherwise("rider_pass")
+    facing = F.when(F.col("i") % 2 == 0, "front").otherwise("rear")
+    return events(spark, d).select(
+        F.col("r").alias("day"), F.col("i").alias("ordinal"), facing.alias("recording_id"), facing.alias("facing"), kind.alias("type"), (F.col("t") / HOUR).alias("t_start"), (F.col("t") / HOUR + F.col("v") / 10).alias("t_end"), F.lit(0.0).alias("utc_offset"), F.col("v").alias("score")
+    )
+
+
+@query(f"""with {_CAMS}, h as (select a."day", case when a.facing = 'front' then 'overtake' else 'overtaken' end theme, a.ordinal x, b.ordinal z, a.s, a.e, b.s bs, a.score + b.score score, row_number() over (partition by a.ordinal order by abs(b.s - a.e), b.ordinal) k
+from ca a join ca b on a."day" = b."day" and a."type" = 'approaching_rider' and b."type" = 'receding_rider' and a.facing <> b.facing and b.s between a.e - 1.5 and a.e + 5),
+u as (select * from h where k = 1), us as (select x o from u union select z from u),
+f as (select *, case when facing = 'front' and "type" = 'approaching_rider' and e - s >= 1.5 then 'catching_up' when "type" = 'rider_pass' then 'duel' when "type" = 'own_off_track' then 'own_off_track' else 'action' end theme from ca where ordinal not in (select o from us)),
+g as (select *, case theme when 'catching_up' then s - 1 when 'duel' then s - 2 when 'own_off_track' then s - 5 else (s + e) / 2 - 3 end lo, case theme when 'catching_up' then e + 1 when 'duel' then e + 2 when 'own_off_track' then e + 3 else (s + e) / 2 + 3 end hi from f)
+select "day", theme, round(greatest(s - 1, e + 0.5 - 7), 6) utc_start, round(bs + 3, 6) utc_end, round(score, 6) score, x "first" from u
+union all select "day", theme, round(case when theme = 'own_off_track' then lo else greatest(lo, hi - 7) end, 6), round(hi, 6), round(score * case theme when 'catching_up' then e - s when 'own_off_track' then 4 else 1 end, 6), ordinal from g""")
+def themed_moments(spark, d):
+    found = detect.themed_moments(_cameras(spark, d))
+    return found.select("day", "theme", F.round("utc_start", 6).alias("utc_start"), F.round("utc_end", 6).alias("utc_end"), F.round("score", 6).alias("score"), F.get("ordinals", F.lit(0)).alias("first"))
+
+
+def _deduped(spark, d):
+    m = detect.themed_moments(_cameras(spark, d)).withColumn("id", F.get("ordinals", F.lit(0)))
+    kept = moments.suppress(m, ["day"], "id", "utc_start", "utc_end", "score", theme="theme", ranks=detect.THEMES)
+    return m.join(kept, ["day", "id"], "left_semi")
+
+
+@query()
+def dedupe_themes(spark, d):
+    return _deduped(spark, d).select("day", "theme", "id", "score")
+
+
+@query()
+def plan_shorts(spark, d):
+    """Deduped moments of a user's day as series of shorts."""
+    m = _deduped(spark, d).withColumn("seconds", F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["t_end"] - x["t_start"]))
+    return moments.plan_shorts(m, ["day"], "id", "theme", "utc_start", "seconds", "score")
+
+
+@query()
+def corners(spark, d):
+    """A customer's orders as a ride: prices as speed, price changes as acceleration and lean; laps end with orders of status F."""
+    o = orders(spark, d)
+    w = Window.partitionBy("c").orderBy("o", "k")
+    ride = o.withColumns({"a": F.coalesce(F.col("p") - F.lag("p").over(w), F.lit(0.0)) / 1e4, "tilt": F.col("p") / 1e4})
+    numbered = L.lap_numbers(ride, ["c"], "o", "k", F.col("st") == "F").withColumn("lap", F.floor(F.col("lap") / 4))
+    return L.corners(numbered, ["c"], "lap", "o", "p", "a", "tilt", F.lit(True))
+
+
 _FLAG = f"""with {EV}, m as (select *, max(e) over (partition by r, y order by t, i rows between unbounded preceding and 1 preceding) pm from ev),
 g as (select *, sum(case when t > pm + 3600 then 1 else 0 end) over (partition by r, y order by t, i rows unbounded preceding) k from m),
 s as (select r, y, min(t) t, max(e) e, max(v) v, min(i) i from g group by r, y, k),

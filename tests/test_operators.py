@@ -132,7 +132,7 @@ def test_packing_suppression_and_cooldown(spark):
     spans = spark.createDataFrame([("d", 1, 0.0, 10.0, 3.0), ("d", 2, 5.0, 15.0, 2.0), ("d", 3, 5.1, 15.1, 1.0), ("d", 4, 4.9, 14.0, 0.5)], "d string, i int, a double, b double, v double")
     assert [i for (i,) in values(moments.suppress(spans, ["d"], "i", "a", "b", "v"), "i")] == [1, 2]
     hits = spark.createDataFrame([("d", t, int(t)) for t in (0.0, 4.0, 6.0, 11.0, 12.0)], "d string, t double, i int")
-    assert [i for (i,) in values(moments.cooldown(hits, ["d"], "t", "i", 5.0), "i")] == [0, 6, 12]
+    assert [i for (i,) in values(moments.cooldown(hits, ["d"], "t", "i", 5.0), "i")] == [0, 6, 11]  # exactly 5 seconds are enough
 
 
 def test_focus_holds_its_subject(spark):
@@ -213,3 +213,52 @@ def test_a_drained_stream_is_read_from_files(spark, tmp_path):
     assert sorted(r["id"] for r in rows.collect()) == list(range(20)) and rows.inputFiles()
     total = sessions.drained(spark, source().groupBy().count(), "counted", "complete")
     assert [r["count"] for r in total.collect()] == [20] and total.inputFiles()
+
+
+def test_windows_hold_every_event_that_touches_them(spark):
+    """A window's width doesn't depend on its event's length, and a window near the start is a second long at least."""
+    rows = [("d", 1, 50.0, 52.0, 5.0), ("d", 2, 44.0, 45.0, 1.0), ("d", 3, 0.0, 0.0, 2.0), ("d", 4, 90.0, 99.0, 3.0)]
+    e = spark.createDataFrame(rows, "d string, i int, s double, e double, v double")
+    found = sorted(tuple(r) for r in moments.clip_windows(e, ["d"], "s", "e", "v", "i", duration=100.0, pad=6.0).select("w_start", "w_end", "w_score", "n_events").collect())
+    assert found == [(0.0, 6.0, 2.0, 1), (38.5, 57.0, 5.0, 2), (88.5, 100.0, 3.0, 1)]
+    short = moments.clip_windows(e, ["d"], "s", "e", "v", "i", duration=100.0, pad=6.0, max_len=1.0, merge_gap=0.0)
+    assert max(r["w_end"] - r["w_start"] for r in short.collect()) <= 1.0
+
+
+def test_themes_only_suppress_action(spark):
+    rows = [(1, "duel", 0.0, 10.0, 1.0), (2, "overtake", 0.0, 10.0, 0.5), (3, "action", 1.0, 9.0, 9.0), (4, "duel", 1.0, 9.0, 0.5), (5, "action", 20.0, 30.0, 1.0)]
+    m = spark.createDataFrame([("d", *r) for r in rows], "d string, i int, theme string, a double, b double, v double")
+    assert [i for (i,) in values(moments.suppress(m, ["d"], "i", "a", "b", "v", theme="theme", ranks=detect.THEMES), "i")] == [1, 2, 5]
+
+
+def test_shorts_of_themes_with_enough_moments(spark):
+    rows = [(1, "duel", 30.0, 2.0), (2, "duel", 10.0, 1.0), (3, "overtake", 0.0, 9.0), (4, "off_track", 40.0, 0.1)]
+    m = spark.createDataFrame([("d", i, t, s, 30.0, v) for i, t, s, v in rows], "d string, i int, theme string, s double, n double, v double")
+    got = sorted((r["series"], r["bin"], r["i"], r["place"]) for r in moments.plan_shorts(m, ["d"], "i", "theme", "s", "n", "v", limit=60.0).collect())
+    assert set(got) == {
+        ("action", 0, 3, 1), ("action", 0, 1, 2), ("action", 1, 2, 1), ("action", 1, 4, 2), ("duel", 0, 2, 1), ("duel", 0, 1, 2), ("off_track", 0, 4, 1)
+    }
+
+
+def test_corners_by_brake_and_lean(spark):
+    """Braking, then leaning, then driving on; a whole session sets the levels."""
+    acc = [0, 0, -1, -2, 0, 0, 0, 1, 0.1, 0.1, 0, 0]
+    lean = [0, 0, 0, 10, 40, 50, 45, 30, 2, 1, 0, 0]
+    speed = [90, 100, 95, 80, 60, 50, 55, 70, 80, 90, 95, 99]
+    df = spark.createDataFrame([("s", 1, float(k), float(v), float(a), float(n)) for k, (v, a, n) in enumerate(zip(speed, acc, lean))], "s string, lap int, t double, v double, a double, n double")
+    (c,) = laps.corners(df, ["s"], "lap", "t", "v", "a", "n", F.lit(True)).collect()
+    assert (c["t_start"], c["t_end"], c["before"], c["entry"], c["minimum"], c["max_lean"]) == (3.0, 7.0, 100.0, 60.0, 50.0, 50.0)
+
+
+def test_labels_do_not_depend_on_the_sessions_zone(spark):
+    df = spark.createDataFrame([(1_700_000_000.0, "2023-11-14 23:13:20"), (5.0, "1999-01-01 00:00:00"), (None, "no clock")], "u double, w string")
+    shown = df.select(S.date_label(F.col("u")), S.wall_clock(F.col("u")), S.creation_utc(F.col("w")))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        seen = []
+        for z in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            seen.append([tuple(r) for r in shown.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert seen[0] == seen[1] == seen[2] == [("2023-11-14", "23:13", 1_700_000_000.0), ("unknown", "00:00", None), ("unknown", None, None)]
