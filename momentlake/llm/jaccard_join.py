@@ -32,6 +32,8 @@ RECALL = 0.9995
 PRIOR_LINKS = 20
 #: Classes and words in a block; two blocks meet in a task.
 BLOCK, BLOCK_WORDS = 256, 1_000_000
+#: Classes with copies or links up to which they are broadcast to the rows.
+BROADCAST_ROWS = 500_000
 #: Links are counted by similarity, in so many steps from the threshold to 1.
 STEPS = 8
 _SEED = 20_240_229
@@ -138,7 +140,7 @@ def word_hashes(text: Column) -> Column:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, size: int = SHINGLE) -> DataFrame:
     """``_class`` (md5 of the text, binary) with ``copy_id`` (least id of the texts equal to it), ``class_id`` (least id of all
     texts that links reach from it), ``n_links`` (other classes whose shingle sets have at least ``threshold`` of
-    Jaccard similarity with its own) and ``n_rows`` (rows with this text and id ``copy_id``).
+    Jaccard similarity with its own) ``n_rows`` (rows with this text and id ``copy_id``) and ``n_all`` (rows with this text).
 
     Null and empty texts are one class; texts without words have no links. A text of fewer than ``size`` words is one
     shingle. A null id is no text's least id while another row of the text has one, and a text without any id has links
@@ -163,8 +165,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     signed = rows.select(word_hashes(F.col("_text")).alias("_words"), "_class", "_id").mapInArrow(sign, f"_class binary, _id {id_type}, _size long, _signature array<bigint>")
     # A class's rows are summed on the map side first, so a text that a third of all rows share is no burden.
     counted = signed.groupBy("_class", "_size", "_signature", "_id").agg(F.count("*").alias("n"))
-    reps = counted.groupBy("_class", "_size", "_signature").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("least"))
-    reps = cut(reps.select("_class", "_size", "_signature", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows")))
+    reps = counted.groupBy("_class", "_size", "_signature").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "n")).alias("least"), F.sum("n").alias("n_all"))
+    reps = cut(reps.select("_class", "_size", "_signature", F.col("least._id").alias("copy_id"), F.col("least.n").alias("n_rows"), "n_all"))
     depth, before, verified, links = DEPTH, None, None, None
     while True:
         found, verified = _verified(rows, reps, depth, before, verified, threshold, size)
@@ -180,8 +182,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grouped = roots.join(reps.select(F.col("_class").alias("node"), "copy_id"), "node")
     firsts_ = grouped.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNull(), "copy_id", "node")).alias("least")).select("root", F.col("least.copy_id").alias("class_id"), F.col("least.node").alias("keeper"))
     ids = grouped.select("node", "root").join(firsts_, "root").select(F.col("node").alias("_class"), "class_id", "keeper")
-    out = reps.select("_class", "copy_id", "n_rows").join(counts, "_class", "left").join(ids, "_class", "left")
-    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows", F.coalesce("keeper", "_class").alias("keeper"))
+    out = reps.select("_class", "copy_id", "n_rows", "n_all").join(counts, "_class", "left").join(ids, "_class", "left")
+    return out.select("_class", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_rows", "n_all", F.coalesce("keeper", "_class").alias("keeper"))
 
 
 def class_of(text: Column) -> Column:
@@ -284,13 +286,18 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **o
 
     Rows with one id and one text are one row; which of them stays, if their other columns differ, is by the least hash of the whole row.
     """
-    found = cut(near_duplicates(docs, text, doc_id, **options).select("_class", "keeper", F.col("copy_id").alias("_id"), "n_rows"))
+    found = cut(near_duplicates(docs, text, doc_id, **options).select("_class", "keeper", "copy_id", "n_rows", "n_all"))
     key, own = free_name(docs, "_class_key"), [F.col(f"`{c}`") for c in docs.columns]
-    keyed = docs.withColumn(key, class_of(docs[text]))
-    alone = found.where("_class = keeper")
-    kept = keyed.join(alone, F.col(key).eqNullSafe(alone["_class"]) & F.col(f"`{doc_id}`").eqNullSafe(alone["_id"]), "left_semi")
-    if alone.where("n_rows > 1").isEmpty():
+    of = free_name(docs, "_of")
+    # Texts without copies and links stay; the others are written and counted, so that texts needn't be shuffled while these are few.
+    several = found.where("_class <> keeper OR n_all > 1").select(F.col("_class").alias(key), F.struct("keeper", "copy_id", "n_rows").alias(of))
+    several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
+    keyed = docs.withColumn(key, class_of(docs[text])).join(several, key, "left")
+    least = (F.col(of)["keeper"] == F.col(key)) & F.col(of)["copy_id"].eqNullSafe(F.col(f"`{doc_id}`"))
+    kept = keyed.where(F.col(of).isNull() | least)
+    if found.where("_class = keeper AND n_rows > 1").isEmpty():
         return kept.select(*own)
+    twice = F.coalesce(F.col(of)["n_rows"] > 1, F.lit(False))
     row = F.struct(*own)
-    once = kept.groupBy(key, doc_id).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
-    return once.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    once = kept.where(twice).groupBy(key).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return kept.where(~twice).select(*own).unionByName(once.select(*(F.col("_row")[c].alias(c) for c in docs.columns)))

@@ -531,3 +531,130 @@ def test_backward_pass_equals_differences():
 
 def test_digest_of_items(spark):
     assert spark.range(1).select(decontamination.digest(F.array(F.lit("10"), F.lit("2"))).alias("x")).first()["x"] == hashlib.sha256(b"10,2").hexdigest()
+
+
+# -- what the operators have in common
+
+
+def test_scores_equal_the_machine_by_hand(spark):
+    """Twenty texts: kernels by their definition, the hyperplane, the largest margins and the curves."""
+    from itertools import combinations
+
+    docs, labels = toy(spark)
+    model = toxicity.train(docs, labels)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(17).collect()] + ["Idiot, idiot!", "a b", "mo-ron ixdiot"]
+
+    def phi(s, n):
+        out = collections.Counter()
+        for at in combinations(range(len(s)), n):
+            out["".join(s[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    def like(s, t):
+        total = 0.0
+        for n in toxicity.ORDERS:
+            a, b = phi(s, n), phi(t, n)
+            norm = np.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+            total += sum(a[k] * b[k] for k in a) / norm if norm else 0.0
+        return (total / len(toxicity.ORDERS)) ** toxicity.POWER
+
+    def margin(word):
+        strings = toxicity.strings_of(word)
+        values = [sum(w * like(s, m) for w, m in zip(model.weights, model.landmarks)) + model.bias for s in strings]
+        return max([min(max(v, toxicity.FLOOR), toxicity.CLIP) for v in values], default=toxicity.FLOOR)
+
+    want = []
+    for text in texts:
+        by_string = {}
+        for w in toxicity.words_in(text):
+            key = "".join(re.findall(r"[^\W\d_]+", w.lower()))
+            by_string[key] = max(by_string.get(key, -9.0), margin(w))
+        tops = (sorted(by_string.values(), reverse=True) + [toxicity.FLOOR] * 3)[: toxicity.TOP]
+        z = max(model.first[0] * tops[0] + model.first[1], float(np.dot(model.curve[:-1], tops)) + model.curve[-1])
+        want.append(1 / (1 + np.exp(-z)))
+    got = by_id(toxicity.score(docs_of(spark, texts), model), "score")
+    assert np.allclose([got[i] for i in range(20)], want, atol=1e-3)
+
+
+def test_inserted_letters_are_tolerated(spark):
+    model = toxicity.train(*toy(spark))
+    words = [w[:i] + x + w[i:] for w in ("idiot", "scumbag") for i in range(2, len(w)) for x in "kw"]
+    scores = by_id(toxicity.score(docs_of(spark, [f"then {w} here" for w in words] + ["then stone here", "the others"]), model), "score")
+    assert np.mean([scores[i] >= toxicity.PREDICT_FROM for i in range(len(words))]) >= 0.7 and max(scores[len(words)], scores[len(words) + 1]) < toxicity.PREDICT_FROM
+
+
+def test_a_long_word_is_counted_in_proportion(library):
+    import tracemalloc
+
+    word = "abcdefghij" * 20_000
+    tracemalloc.start()
+    n = token_counts.PrefixCounter(WORD_BPE).count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(library.encode(word, add_special_tokens=False).ids) and peak < 200_000_000
+
+
+def test_the_stored_index_answers_questions(spark, library):
+    texts = ["The  antidisestablishment of\ttokenization, don't stop", "", None, "one"]
+    df = token_counts.prefix_index(docs_of(spark, texts).withColumn("prefix_index", F.lit("clash")), WORD_BPE)
+    asked = df.select("doc_id", "text", *(token_counts.cut_at(F.col("prefix_index"), F.lit(b)).alias(f"b{b}") for b in range(16)), token_counts.count_at(F.col("prefix_index"), F.length("text")).alias("all")).collect()
+    for r in asked:
+        whole = library.encode(r["text"] or "", add_special_tokens=False).ids
+        assert (r["all"] or 0) == len(whole)
+        for b in range(16):
+            head = (r["text"] or "")[: r[f"b{b}"]]
+            rest = (r["text"] or "")[len(head) :].split()
+            assert len(library.encode(head, add_special_tokens=False).ids) <= b
+            assert not rest or len(library.encode(head + " " + rest[0], add_special_tokens=False).ids) > b
+
+
+def test_a_long_list_of_hosts_and_a_join_beyond_the_limit(spark):
+    E = url_filters.Entry
+    entries = [E(f"h{i}.example.{('com', 'net')[i % 2]}", ("", "/a", "/ab/")[i % 3], ("block", "allow")[i % 5 == 0], i % 7 == 0) for i in range(100_000)]
+    urls = [f"https://{('www.', '')[i % 2]}H{i * 37 % 120_000}.example.com{('/', '/a/b', '/ab/c', '')[i % 4]}" for i in range(400)] + [None, "", "x"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "i int, url string, rule string")
+    cols = ("i", "host", "path", "rule", "verdict")
+    listed = sorted(tuple(r) for r in url_filters.url_verdicts(df, entries).select(*cols).collect())
+    joined = sorted(tuple(r) for r in url_filters.url_verdicts(df, entries, max_bytes=10).select(*cols).collect())
+    assert listed == joined and len({r[4] for r in listed}) == 2 and any(r[3] for r in listed)
+    some = [e for e in entries if any(e.host in r[1] for r in listed if r[0] < 40)]
+    assert [r[1:] for r in listed[:40]] == [plain_verdict(u, some) for u in urls[:40]]
+
+
+def test_more_n_grams_than_are_broadcast(spark):
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(rng.choice(["the", "of", "a", "Zoë", "x1"], n))
+    items = [(1, word(20)), (2, word(14)), (3, "only three words"), (4, "one")]
+    texts = [word(30) + " " + items[k % 4][1] + " " + word(k) for k in range(20)] + [None, "", "ONE", "only, three; WORDS", "one " * 40]
+    df, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id int, text string")
+    cols = ("doc_id", "n_words", "n_hit", "items", "spans")
+    small, large = (sorted(tuple(r) for r in decontamination.find_hits(df, bench, broadcast_bytes=b).select(*cols).collect()) for b in (1 << 27, 0))
+    assert small == large
+    for i, n, hit, found, spans in small:
+        assert (n, hit, found) == plain_hits(texts[i], items) and sum(b - a for a, b in spans) == hit
+
+
+def test_a_long_conversation_is_formatted(spark):
+    df = spark.range(20_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("<|t"), F.col("id")).alias("text"))
+    r = chat_format.read_back(chat_format.format_chats(df)).selectExpr("valid", "size(turns) n", "loss_text").first()
+    assert r["valid"] and r["n"] == 20_000 and r["loss_text"] == "".join(f"<|t{i}" for i in range(1, 20_000, 2))
+
+
+def test_the_role_machine(spark):
+    rows = [(1, "system user assistant"), (2, "user assistant user"), (3, "assistant user assistant"), (4, "user user assistant"), (5, "user assistant user assistant"), (6, "user system assistant")]
+    df = spark.createDataFrame([(c, k, r, "") for c, roles in rows for k, r in enumerate(roles.split())], "conv_id int, turn int, role string, text string")
+    assert by_id(chat_format.format_chats(df), "valid", "conv_id") == {1: True, 2: False, 3: False, 4: False, 5: True, 6: False}
+
+
+def test_ratio_by_hand(spark):
+    """The mean over words and neighbours of the log of two smoothed shares."""
+    texts = ["aa bb cc dd ee ff gg hh ii jj kk", "aa bb aa bb xx yy zz xx yy qq", None]
+    docs, trusted = docs_of(spark, texts), spark.createDataFrame([(0,)], "doc_id long")
+    table = {w: h for w, h in docs.select(F.explode(quality_rules.words_of(F.col("text"))).alias("w")).distinct().select("w", F.xxhash64("w")).collect()}
+    pairs = {(a, b): h for a, b, h in spark.createDataFrame([(a, b, table[a], table[b]) for t in texts if t for a, b in zip(t.split(), t.split()[1:])], "a string, b string, x long, y long").select("a", "b", F.xxhash64("x", "y")).collect()}
+    grams = [[h % quality_rules.BUCKETS for h in [*(table[w] for w in t.split()), *(pairs[p] for p in zip(t.split(), t.split()[1:]))]] if t else [] for t in texts]
+    raw, target = collections.Counter(g for gs in grams for g in gs), collections.Counter(grams[0])
+    corpus = lambda g: (raw[g] + 1) / (sum(raw.values()) + quality_rules.BUCKETS)
+    gain = lambda g: np.log((target[g] + quality_rules.PRIOR * corpus(g)) / (sum(target.values()) + quality_rules.PRIOR)) - np.log(corpus(g))
+    got = by_id(quality_rules.quality(docs, trusted), "llr")
+    assert got[2] is None and all(got[i] == pytest.approx(np.mean([gain(g) for g in grams[i]]), abs=1e-9) for i in (0, 1))
