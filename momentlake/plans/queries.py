@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import intervals as I
 from ..operators import laps as L
-from ..operators import detect, learn, moments, rank, series
+from ..operators import cascade, detect, learn, moments, rank, series
 from ..sources import records
 from ..streaming import sessions as streams
 
@@ -685,6 +685,84 @@ def corners(spark, d):
     return L.corners(numbered, ["c"], "lap", "o", "p", "a", "tilt", F.lit(True))
 
 
+def _pieces(spark, d):
+    """A purchase and the two hours before it as two pieces of a moment."""
+    e = events(spark, d).where("y = 'purchase'")
+    piece = lambda a, b: F.struct(F.col("r").alias("recording_id"), a.alias("t_start"), b.alias("t_end"))
+    return cascade.pieces(e.select("i", F.array(piece(F.col("t") - 3 * HOUR, F.col("t") - HOUR), piece(F.col("t"), F.col("t") + 6 * HOUR)).alias("segments")), [], "i")
+
+
+_PIECES = f"{EV}, pc as (select r, i, 0 piece, t - 10800 a, t - 3600 b from ev where y = 'purchase' union all select r, i, 1, t, t + 21600 from ev where y = 'purchase')"
+
+
+def _samples(spark, d):
+    return events(spark, d).where("y <> 'purchase'").select(F.col("r").alias("recording_id"), F.col("t").alias("at"), F.col("v").alias("x"))
+
+
+@query(f"""with {_PIECES}, m as (select pc.i, piece, b - a s, avg(v) x from pc join ev on pc.r = ev.r and ev.y <> 'purchase' and ev.t between a and b group by all) select i, round(sum(x * s) / sum(s), 6) mean from m group by i""")
+def weighted_segment_mean(spark, d):
+    return cascade.weighted_mean(_pieces(spark, d), _samples(spark, d), "i", "at", "x", width=4 * HOUR).withColumn("mean", F.round("mean", 6))
+
+
+@query(f"""with {_PIECES} select pc.i, round(median(v), 6) median from pc join ev on pc.r = ev.r and ev.y <> 'purchase' and ev.t between a and b group by pc.i""")
+def pooled_segment_median(spark, d):
+    return cascade.pooled_median(_pieces(spark, d), _samples(spark, d), "i", "at", "x", width=4 * HOUR).withColumn("median", F.round("median", 6))
+
+
+@query(f"""with {EV}, x as (select i, case when i % 5 <> 0 then v * 3 end speed, case when i % 3 = 0 then v / 40 end riding, case when i % 4 <> 0 then v end motion, i % 2 riders, i % 7 = 0 gps, v / 50 vehicles, (i % 11) / 100.0 kerb, i % 13 = 0 lamp from ev),
+p as (select *, case when riding is not null and not gps then case when riding >= 0.5 then 'track' when motion < 2.5 then 'stopped' else 'slow' end when speed is not null then case when speed < 15 then 'stopped' when speed < 40 then 'slow' else 'track' end
+when motion < 2.5 then 'stopped' when motion >= 8 and riders >= 1 then 'track' else 'slow' end pace from x)
+select i, pace, case when vehicles >= 0.5 then 'car in view' when riders = 0 and kerb < 0.04 then 'no rider or kerb in view' when lamp then 'red signal lamp (session over)' when pace = 'stopped' then 'standing still' when pace = 'slow' then 'below 40 km/h' end drop_reason from p""")
+def drop_reasons(spark, d):
+    """Pace and reason to leave out, of events whose values stand for speed, riding, motion and shares."""
+    i, v = F.col("i"), F.col("v")
+    x = events(spark, d).select("i", F.when(i % 5 != 0, v * 3).alias("speed"), F.when(i % 3 == 0, v / 40).alias("riding"), F.when(i % 4 != 0, v).alias("motion"), (i % 2).alias("riders"), (i % 7 == 0).alias("gps"), (v / 50).alias("vehicles"), ((i % 11) / 100).alias("kerb"), (i % 13 == 0).alias("lamp"))
+    x = x.withColumn("pace", cascade.pace(F.col("gps"), F.col("speed"), F.col("riding"), F.col("motion"), F.col("riders")))
+    reason = cascade.drop_reason(F.col("vehicles"), F.col("riders"), F.col("kerb"), F.col("lamp"), F.col("pace"))
+    return cascade.with_reason(x.withColumn("why", F.array().cast("array<string>")), reason).select("i", "pace", "drop_reason")
+
+
+@query(f"""with {EV}, w as (select r, i, t s, t + 7200 + v * 60 e, i % 3 - 1 vote from ev), o as (select a.i, b.vote, b.i inherited_from, row_number() over (partition by a.i order by (least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) desc, b.i) n
+from w a join w b on a.r = b.r and a.i % 3 = 1 and b.i % 3 <> 1 and least(a.e, b.e) > greatest(a.s, b.s) and (least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) >= 0.5) select i, vote, inherited_from from o where n = 1""")
+def inherited_votes(spark, d):
+    e = events(spark, d).withColumn("w", F.col("e") + 7200)
+    votes = e.where("i % 3 <> 1").select("i", (F.col("i") % 3 - 1).alias("vote"))
+    return cascade.inherited_votes(e.select("r", "i", "t", "w"), votes, ["r"], "i", "t", "w", "vote", width=4 * HOUR)
+
+
+@query("""with n as (select o_orderkey k, o_totalprice + 1 p, o_custkey c from orders where o_custkey % 5 = 0 and o_orderkey % 2 = 0), b as (select o_orderkey k, o_totalprice p, o_custkey c from orders)
+select k, p, c from b where c not in (select c from n) union all select k, p, c from n""")
+def replace_by_key(spark, d):
+    old = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"), F.col("o_custkey").alias("c"))
+    return cascade.replace_by_key(old, old.where("c % 5 = 0 AND k % 2 = 0").withColumn("p", F.col("p") + 1), ["c"])
+
+
+@query(f"with {EV}, n as (select *, lead(t) over (partition by r, y order by t) x from ev) select i from n where x is null or x - t > 30000 / greatest(v, 1)")
+def finish_passes(spark, d):
+    return cascade.finish_passes(events(spark, d), ["r", "y"], "t", F.col("v"), 30000.0).select("i")
+
+
+@query(f"with {EV}, l as (select i, v, coalesce(lag(v) over w, v) a, coalesce(lead(v) over w, v) b from ev window w as (partition by r order by t, i)) select i, list_sort([v, a, b])[2] m from l")
+def median_of_three(spark, d):
+    return events(spark, d).select("i", cascade.median_of_three(["r"], "t", "i", "v").alias("m"))
+
+
+@query(f"with {EV}, n as (select r, y, count(*) n, min(i) f from ev group by r, y) select r, y, n from (select *, row_number() over (partition by r order by n desc, f, y) k from n) where k = 1")
+def first_mode(spark, d):
+    return cascade.first_mode(events(spark, d), ["r"], "y", "i")
+
+
+@query(f"with {EV}, g as (select r, count(*) filter (v > 25) u, count(*) filter (v < 15) d from ev group by r) select r, u + d votes, case when u + d >= 5 and u >= 0.62 * (u + d) then 'positive' when u + d >= 5 and d >= 0.62 * (u + d) then 'negative' end side from g")
+def facing_majority(spark, d):
+    return cascade.majority(events(spark, d).withColumn("f", F.col("v") - 20), ["r"], "f", 5.0, 5)
+
+
+@query(f"with {EV}, g as (select r, floor(t / 86400)::bigint \"second\", max(v) filter (y = 'click') riders, max(v) filter (y = 'view') kerbs from ev where y in ('click', 'view') group by all) select r, \"second\", coalesce(riders, 0) riders, coalesce(kerbs, 0) kerbs from g")
+def per_second_side_by_side(spark, d):
+    most = lambda y: events(spark, d).where(F.col("y") == y).groupBy("r", F.floor(F.col("t") / DAY).alias("second")).agg(F.max("v").alias("value"))
+    return cascade.per_second(["r"], riders=most("click"), kerbs=most("view"))
+
+
 _FLAG = f"""with {EV}, m as (select *, max(e) over (partition by r, y order by t, i rows between unbounded preceding and 1 preceding) pm from ev),
 g as (select *, sum(case when t > pm + 3600 then 1 else 0 end) over (partition by r, y order by t, i rows unbounded preceding) k from m),
 s as (select r, y, min(t) t, max(e) e, max(v) v, min(i) i from g group by r, y, k),
