@@ -171,9 +171,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     while True:
         found, verified = _verified(rows, reps, depth, before, verified, threshold, size)
         links = found if links is None else links.unionByName(found)
-        steps = np.zeros(STEPS)
-        for r in links.select(F.posexplode("steps").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():  # STEPS rows
-            steps[r["k"]] = r["n"] / 2
+        sums = links.agg(*(F.coalesce(F.sum(F.get("steps", F.lit(k))), F.lit(0)).alias(str(k)) for k in range(STEPS))).first()
+        steps = np.array(sums, float) / 2  # each link is two classes'
         if depth == 1 or recall_of(depth, steps, depth, threshold) >= RECALL:
             break
         before, depth = depth, max([k for k in range(1, depth) if recall_of(k, steps, depth, threshold) >= RECALL], default=1)
@@ -209,10 +208,13 @@ def _verified(rows: DataFrame, reps: DataFrame, depth: int, before: int | None,
     members = entries.select("_class", "node").join(groups.select("node", "tree", blocks.alias("_blocks")), "node")
     members = members.select("_class", "node", "tree", F.pmod(F.xxhash64("_class", F.lit(2)), F.col("_blocks")).cast("int").alias("_mine"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     tasks = cut(members.select("_class", "node", "tree", "_mine", F.least("_mine", "_other").alias("_low"), F.greatest("_mine", "_other").alias("_high")))
-    # One text of each class that has candidates; only these go to the tasks.
-    wanted = tasks.select("_class").distinct().join(reps.select("_class", F.col("copy_id").alias("_id"), "_signature"), "_class")
-    own = rows.join(wanted.select(F.col("_class").alias("_c"), F.col("_id").alias("_i"), "_signature"), (F.col("_class") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i")))
-    sets = own.select("_class", "_signature", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_signature").alias("_signature"), F.first("_words").alias("_words"))
+    # One text of each class that has candidates; only these go to the tasks. Texts needn't be shuffled while such classes are few.
+    wanted = cut(tasks.select("_class").distinct().join(reps.select("_class", F.col("copy_id").alias("_id"), "_signature"), "_class"))
+    ids = wanted.select(F.col("_class").alias("_c"), F.col("_id").alias("_i"))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    own = rows.join(ids, (F.col("_class") == F.col("_c")) & F.col("_id").eqNullSafe(F.col("_i")), "left_semi")
+    words = own.select("_class", word_hashes(F.col("_text")).alias("_words")).groupBy("_class").agg(F.first("_words").alias("_words"))
+    sets = words.join(wanted.select("_class", "_signature"), "_class")
 
     def verify(group: pa.Table) -> pa.Table:
         g = group.combine_chunks().to_batches()[0]
