@@ -22,6 +22,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 #: Words that a Python worker remembers before it starts afresh.
@@ -181,7 +182,8 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: What is told of each piece besides its document's id.
+PIECE = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", size: int = 1024, most_segments: int = 64, closing_id: int | None = 0) -> DataFrame:
@@ -190,8 +192,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
     A document is its ids and then ``closing_id``; every id lies in one piece. Null and empty texts are
     the closing id alone. Whole multiples of ``size`` are sequences of their own; what is left of each document is packed with
     others, every token bearing loss, at most ``most_segments`` to a sequence. A sequence that isn't full
-    has a power of two as its length. Repeated rows are packed each. An empty table gives no rows.
+    has a power of two as its length. Repeated rows are packed each. An empty table gives no rows. Ids of any type, null ones too, are given
+    back as ``doc_id``; other columns are left out. A text of any length is encoded whole, one at a time.
     """
+    id_type = docs.schema[doc_id].dataType
+    own_type = to_arrow_type(id_type)
     closing = b"" if closing_id is None else array("I", [closing_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,9 +219,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
             rests.clear()
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*rows)) or [()] * 7
+            ids_, *cols = list(zip(*rows)) or [()] * 7
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            return pa.RecordBatch.from_arrays([pa.array(ids_, own_type), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *PIECE])
 
         for b in batches:
             for doc, value in zip(b.column(0).to_pylist(), b.column(1)):
@@ -235,7 +240,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id:
         flush()
         yield out()
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text")).mapInArrow(run, f"doc_id {id_type.simpleString()}, {', '.join(f'{c} long' for c in PIECE)}")
 
 
 def pack_examples(examples: DataFrame, example_id: str, tokens: str, segments: str, loss_tokens: str, limits: tuple[int, int, int] = (4096, 64, 4096)) -> DataFrame:
