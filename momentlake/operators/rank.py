@@ -14,6 +14,8 @@ EXPLORE = 0.1
 NEVER_SKIP = ("crash", "own_off_track")
 BLEND_FROM, BLEND_FULL = 30, 200
 ROUND_SIZE = 15
+#: Patterns that are tried on each row; more are joined by their text.
+FEW_PATTERNS = 1000
 
 
 def latest(df: DataFrame, by: Sequence[str], order: str, tie: str) -> DataFrame:
@@ -123,8 +125,17 @@ def chapter_at(chapters: DataFrame, probes: DataFrame, by: Sequence[str], offset
     return probes.join(ends, list(by)).where(inside).withColumn("_n", F.row_number().over(pick)).where("_n = 1").drop("_n", "_first", "_last")
 
 
-def longest_match(df: DataFrame, patterns: DataFrame, text: str, row_id: str, pattern: str = "pattern", value: str = "value") -> DataFrame:
-    """``row_id`` and the ``value`` of the longest pattern that ``text`` contains (ties: the pattern that sorts first). ``patterns`` is a short list of settings."""
-    hit = F.contains(F.col(text), F.col(pattern))
-    found = df.join(F.broadcast(patterns), hit)  # as many rows as settings are typed in by hand
+def longest_match(df: DataFrame, patterns: DataFrame, text: str, row_id: str, pattern: str = "pattern", value: str = "value", few: int = FEW_PATTERNS) -> DataFrame:
+    """``row_id`` and the ``value`` of the longest pattern that ``text`` contains (ties: the pattern that sorts first).
+
+    Up to ``few`` patterns are broadcast and tried on each row; more are met by their text, with every part of a row's text that has the length of a pattern.
+    """
+    listed = patterns.select(F.col(pattern).alias(pattern), F.col(value).alias(value)).where(F.length(pattern) > 0)
+    if listed.limit(few + 1).count() <= few:
+        found = df.join(F.broadcast(listed), F.contains(F.col(text), F.col(pattern)))
+    else:
+        lengths = [r["n"] for r in listed.select(F.length(pattern).alias("n")).distinct().collect()]  # no more than the longest pattern has letters
+        parts = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n))))
+        every = F.array_distinct(F.flatten(F.filter(F.array(*map(parts, lengths)), lambda x: x.isNotNull())))
+        found = df.withColumn("_part", F.explode(every)).join(listed, F.col("_part") == F.col(pattern))
     return found.groupBy(row_id).agg(F.min(F.struct((-F.length(pattern)).alias("n"), F.col(pattern).alias("p"), F.col(value).alias("v"))).alias("b")).select(row_id, F.col("b.p").alias(pattern), F.col("b.v").alias(value))

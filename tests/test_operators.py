@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentlake.functions import scalars as S
-from momentlake.operators import detect, intervals, laps, learn, moments, rank, series
+from momentlake.operators import cascade, detect, intervals, laps, learn, moments, rank, series
 from momentlake.streaming import sessions
 from momentlake.sources import records
 
@@ -262,3 +262,22 @@ def test_labels_do_not_depend_on_the_sessions_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert seen[0] == seen[1] == seen[2] == [("2023-11-14", "23:13", 1_700_000_000.0), ("unknown", "00:00", None), ("unknown", None, None)]
+
+
+def test_many_patterns_match_as_few_do(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["src12", "xsrc1y", "rc", "", None, "aaaa"])], "i int, t string")
+    patterns = spark.createDataFrame([("src1", "a"), ("src12", "b"), ("rc", "c"), ("a", "d"), ("aa", "e"), ("", "f")], "pattern string, value string")
+    few, many = (sorted(tuple(r) for r in rank.longest_match(df, patterns, "t", "i", few=n).collect()) for n in (100, 0))
+    assert few == many == [(0, "src12", "b"), (1, "src1", "a"), (2, "rc", "c"), (5, "aa", "e")]
+
+
+def test_reasons_are_noted_and_rows_stay(spark):
+    df = spark.createDataFrame([(1, 0.9, ["a"]), (2, 0.1, ["b"]), (3, None, None)], "i int, v double, why array<string>")
+    out = cascade.with_reason(df, cascade.drop_reason(F.col("v"), F.lit(1), F.lit(0.0), F.lit(False), F.lit("track")))
+    assert sorted((r["i"], r["drop_reason"], r["why"]) for r in out.collect()) == [(1, "car in view", ["a", "left out: car in view"]), (2, None, ["b"]), (3, None, None)]
+
+
+def test_recordings_that_must_not_be_together(spark):
+    pieces = spark.createDataFrame([("d", 1, "x"), ("d", 1, "y"), ("d", 2, "x"), ("d", 2, "z")], "d string, m int, recording_id string")
+    flagged = spark.createDataFrame([("d", "y", "x")], "d string, a string, b string")
+    assert sorted((r["m"], r["recording_id"]) for r in cascade.not_together(pieces, flagged, ["d"], "m").collect()) == [(2, "x"), (2, "z")]
