@@ -51,7 +51,7 @@ CHUNK = 1 << 15
 #: The margin of a text without words, and the least and most that a string can have.
 FLOOR, CLIP = -1.0, 1.5
 #: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 450_000
+CACHE_WORDS = 300_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -399,6 +399,7 @@ def with_tops(docs: DataFrame, model: Model, text: str = "text", to: str = "tops
                     out += known.tops(s)
             lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * TOP, np.array(out, float))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, to])
+        _own.clear()  # the worker lives on, and what comes next needs its memory
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{types}, `{to}` array<double>")
