@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 #: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Examples that are packed together. More gives a better fit and needs more memory.
 WINDOW = 512
 #: Each partition numbers its sequences from its number times this.
