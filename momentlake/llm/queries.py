@@ -12,6 +12,7 @@ from . import html_extract
 from .chat_format import format_chats, read_back
 from .common import table
 from .decontamination import digest, find_hits
+from .filter_audit import audit, cells
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .quality_rules import quality
@@ -97,13 +98,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, [*URL_RULES, *(Entry(h, "", "block", rule=False) for h in URL_HOSTS)]).drop("url")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(cells(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters, op11_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that DuckDB can compute from the tables. The others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_sharding": OP5_SQL, "op10_url_filters": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_sharding": OP5_SQL, "op10_url_filters": OP10_SQL, "op11_filter_audit": OP11_SQL}
 
 
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
@@ -141,6 +146,22 @@ s as (select depth, shard, sum(n_bytes)::bigint shard_bytes, count(*) shard_rows
 r as (select l.*, shard_bytes, shard_rows, row_number() over (partition by doc_id order by depth) k from l join s using (depth, shard) where shard_bytes <= {SHARD_BYTES} or depth = 60)
 select doc_id, n_bytes, shard, depth, shard_bytes, shard_rows from r where k = 1
 """
+OP11_SQL = r"""
+with l as (select doc_id, coalesce(max((quality = 1)::int), 0) good, coalesce(max((toxic = 1)::int), 0) toxic from labels group by doc_id),
+d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') w from documents),
+f as (select part, coalesce(good, 0) good, coalesce(toxic, 0) toxic,
+             [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), regexp_matches(t, '[#$%&*|]'),
+              coalesce(d.doc_id > min(d.doc_id) over (partition by t), false)] x from d left join l using (doc_id)),
+c as (select part, x, count(*) n, sum(good) good, sum(toxic) toxic from f group by all),
+a as (select unnest(range(5)) i),
+o as (select [a.i, b.i, c.i, d.i, e.i] p from a, a b, a c, a d, a e where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s as (select list_aggregate(list_transform(p, lambda i: 'ABCDE'[i + 1]), 'string_agg', '') filter_order, k step, p[k] f, p[1:k - 1] b from o, (select unnest(range(1, 6)) k)),
+r as (select part, filter_order, step::int step, s.f, x[s.f + 1] fails, list_bool_or(list_transform(b, lambda i: x[i + 1])) gone, x, n, good, toxic from c, s),
+t as (select part, filter_order, step, f, coalesce(sum(n) filter (not fails and not coalesce(gone, false)), 0)::bigint kept, coalesce(sum(n) filter (fails and not coalesce(gone, false)), 0)::bigint removed,
+             coalesce(sum(n) filter (fails and gone), 0)::bigint redundant, coalesce(sum(n) filter (fails and len(list_filter(x, lambda y: y)) = 1), 0)::bigint unique_fails,
+             coalesce(sum(good) filter (fails and not coalesce(gone, false)), 0)::bigint good_lost, coalesce(sum(toxic) filter (fails and not coalesce(gone, false)), 0)::bigint toxic_lost from r group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint shapley from t
+"""
 _RULES = ", ".join(f"('{e.host}', '{e.path}', '{e.verdict}')" for e in URL_RULES)
 OP10_SQL = f"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
