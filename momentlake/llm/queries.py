@@ -13,6 +13,7 @@ from .chat_format import format_chats, read_back
 from .common import table
 from .decontamination import digest, find_hits
 from .filter_audit import audit, cells
+from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_join
 from .packing import pack_documents
 from .quality_rules import quality
@@ -102,13 +103,18 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(cells(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "labels")))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters, op11_filter_audit)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters, op11_filter_audit, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Those that DuckDB can compute from the tables. The others are tested against brute force."""
-    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_sharding": OP5_SQL, "op10_url_filters": OP10_SQL, "op11_filter_audit": OP11_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op5_sharding": OP5_SQL, "op10_url_filters": OP10_SQL, "op11_filter_audit": OP11_SQL, "op12_hard_negatives": OP12_SQL}
 
 
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
@@ -162,6 +168,14 @@ t as (select part, filter_order, step, f, coalesce(sum(n) filter (not fails and
              coalesce(sum(good) filter (fails and not coalesce(gone, false)), 0)::bigint good_lost, coalesce(sum(toxic) filter (fails and not coalesce(gone, false)), 0)::bigint toxic_lost from r group by all)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) over (partition by part, f))::bigint shapley from t
 """
+_CLEAN = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+OP12_SQL = f"""
+with v as (select vec_id i, case when vec_id % 7 = 0 then (label + 1) % 10 else label end l, list_transform(embedding, lambda x: floor(256 * x::double)) e from embeddings where label is not null and {_CLEAN}),
+s as (select a.i a, b.i, a.l = b.l same, list_dot_product(a.e, b.e)::bigint s from v a join v b on a.i % 100 = 0 and a.i <> b.i and len(a.e) = len(b.e)),
+p as (select a, i p, s ps from (select *, row_number() over (partition by a order by s desc, i) k from s where same) where k <= 5),
+n as (select p.a, p, ps, i n, s, row_number() over (partition by p.a, p order by s desc, i) k from p join s on p.a = s.a and not same and 80 * ps <= 100 * s and 100 * s <= 100 * ps)
+select a anchor_id, p positive_id, k::int "rank", n negative_id, ps positive_score, s negative_score from n where k <= 5
+"""
 _RULES = ", ".join(f"('{e.host}', '{e.path}', '{e.verdict}')" for e in URL_RULES)
 OP10_SQL = f"""
 with p as (select page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
