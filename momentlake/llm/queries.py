@@ -15,6 +15,7 @@ from .decontamination import digest, find_hits
 from .filter_audit import audit, cells
 from .hard_negatives import hard_negatives
 from .jaccard_join import jaccard_join
+from .nearest import nearest
 from .packing import pack_documents
 from .quality_rules import quality
 from .sharding import hash_bits, shard
@@ -108,8 +109,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters, op11_filter_audit, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_decontamination, op2_chat_format, op3_jaccard_join, op4_packing, op5_sharding, op6_html_extract, op7_quality_rules, op8_toxicity, op9_token_counts, op10_url_filters, op11_filter_audit, op12_hard_negatives, op13_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
