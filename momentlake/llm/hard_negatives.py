@@ -22,7 +22,7 @@ DIGIT_BITS, FEW = 5, 20
 
 def whole_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products of rows of whole numbers, exactly; what 64 bits can't hold is the nearest number that they can."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2.0**53:
+    if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1] < 2.0**53:
         return (a @ b.T).astype(np.int64)
     ints = np.frompyfunc(int, 1, 1)
     return np.clip(ints(a) @ ints(b).T, -(2**63) + 1, 2**63 - 1).astype(np.int64)

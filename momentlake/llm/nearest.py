@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .vectors import BLOCK, cell_count, finite, matrix, meet
+from .vectors import BLOCK, cell_count, finite, matrix, meet, stretches
 
 #: Rows that the index is fitted on, at most, and the share of them held back to measure recall.
 SAMPLE_ROWS, HELD_BACK = 8192, 0.125
@@ -95,6 +95,7 @@ def balanced_parts(links: np.ndarray, x: np.ndarray, parts: int, rounds: int = 8
     n = len(links)
     of = np.zeros(n, dtype=np.int64)
     for level in range(int(np.log2(parts))):
+        halved = of.copy()
         for part in range(1 << level):
             inside = np.flatnonzero(of == part)
             place = np.full(n, -1)
@@ -111,8 +112,9 @@ def balanced_parts(links: np.ndarray, x: np.ndarray, parts: int, rounds: int = 8
                 v = 0.5 * v + 0.5 * np.bincount(a, (v / root)[b], len(inside)) / root
                 v /= max(np.linalg.norm(v), 1e-300)
             order = np.argsort(v / root, kind="stable")
-            of[inside] = 2 * part
-            of[inside[order[len(order) // 2 :]]] = 2 * part + 1
+            halved[inside] = 2 * part
+            halved[inside[order[len(order) // 2 :]]] = 2 * part + 1
+        of = halved
     most = int(np.ceil(n / parts * (1 + SLACK)))
     sizes = np.bincount(of, minlength=parts)
     for _ in range(rounds):
@@ -194,6 +196,47 @@ def fit(sample: np.ndarray, rows: int, k: int, seed: int = 1) -> Router | None:
     return router
 
 
+@dataclass
+class Index:
+    """Routers by length of vectors, and the rows that they were fitted on: ids and vectors."""
+
+    routers: dict[int, Router]
+    samples: dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def once(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by id, equal ones once."""
+    order = np.argsort(ids, kind="stable")
+    if (ids[order][1:] == ids[order][:-1]).any():
+        order = np.array(list({(i, rows[j].tobytes()): j for i, j in zip(ids[order], order)}.values()))
+    return ids[order], rows[order]
+
+
+def best_of(ids: np.ndarray, rows: np.ndarray, asks: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query its number, and the ids and scores of its k best rows, none under its floor.
+
+    A product's last bits depend on where a row lies in it. What comes near the k-th is summed again, in one order for all.
+    """
+    step = max(1, BLOCK // len(ids))
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = np.abs(queries).sum(axis=1) * np.abs(rows).max()
+        for i in range(0, len(queries), step):
+            for q, s in enumerate(queries[i : i + step] @ rows.T, i):
+                sure = np.isfinite(bound[q])
+                near = np.flatnonzero((ids != asks[q]) & (s >= floors[q] - 1e-12 * bound[q])) if floors is not None and sure else np.flatnonzero(ids != asks[q])
+                if len(near) > k and sure:
+                    near = near[s[near] >= np.partition(s[near], len(near) - k)[len(near) - k] - 1e-12 * bound[q]]
+                exact = (rows[near] * queries[q]).sum(axis=1)
+                best = np.lexsort((ids[near], -exact))[:k]
+                yield q, ids[near][best], exact[best]
+
+
+def _answers(asks: np.ndarray, found: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    out = [(np.full(len(i), asks[q]), i, s) for q, i, s in found]
+    query, ids, score = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(ids, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+
+
 def _shown(part: pa.RecordBatch, routers: dict[int, Router], cells: dict[int, np.ndarray], asks: bool, salt: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows with the cell that they are filed in, or queries with every cell that they are to meet. ``cells``: the first cell of each part, and one past the last."""
     dims = part.column("_dim").to_numpy()
@@ -213,33 +256,16 @@ def _shown(part: pa.RecordBatch, routers: dict[int, Router], cells: dict[int, np
         else:
             place = first[of] + salt[mine] % many
         out = some.take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([out.column("_id"), out.column("_dim"), pa.array(place, pa.int32()), out.column("_vector")], names=["_id", "_dim", "_cell", "_vector"])
+        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("_id", "_dim", "_vector")), pa.array(place, pa.int32()), *(out.column(c) for c in ("_floor",) if asks)], names=["_id", "_dim", "_vector", "_cell", *(["_floor"] if asks else [])])
 
 
 def _nearest(k: int):
     def hold(part: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        ids = part.column("_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        return ids[order], matrix(part.column("_vector"), dim)[order]
+        return once(part.column("_id").to_numpy(), matrix(part.column("_vector"), dim))  # equal rows lie in one cell
 
     def answer(held: tuple, part: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-        ids, rows = held
-        asks, queries = part.column("_id").to_numpy(), matrix(part.column("_vector"), dim)
-        step, out = max(1, BLOCK // len(ids)), []
-        with np.errstate(over="ignore", invalid="ignore"):
-            bound = np.abs(queries).sum(axis=1) * np.abs(rows).max()
-            for i in range(0, len(queries), step):
-                rough = queries[i : i + step] @ rows.T
-                for q, s in enumerate(rough, i):
-                    # A product's last bits depend on where a row lies in it. What comes near the k-th is summed again, in one order for all.
-                    near = np.flatnonzero(ids != asks[q])
-                    if len(near) > k and np.isfinite(bound[q]):
-                        near = near[s[near] >= np.partition(s[near], len(near) - k)[len(near) - k] - 1e-12 * bound[q]]
-                    exact = (rows[near] * queries[q]).sum(axis=1)
-                    best = np.lexsort((ids[near], -exact))[:k]
-                    out.append((np.full(len(best), asks[q]), ids[near][best], exact[best]))
-        query, found, score = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(found, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "vec_id", "score"])
+        asks = part.column("_id").to_numpy()
+        return _answers(asks, best_of(*held, asks, matrix(part.column("_vector"), dim), k, part.column("_floor").to_numpy()))
 
     return hold, answer
 
@@ -250,47 +276,76 @@ def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return kept.select(F.col(vec_id).cast("long").alias("_id"), F.size(vector).alias("_dim"), F.col(vector).alias("_vector"))
 
 
-def fitted(rows: DataFrame, total: int, k: int, most: int = SAMPLE_ROWS) -> dict[int, Router]:
+def fitted(rows: DataFrame, total: int, k: int, most: int = SAMPLE_ROWS) -> Index:
     """A router for each length of vectors, from at most ``most`` rows in all: those whose ids have the least hashes."""
-    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).select("_dim", "_vector").collect()
-    found = {}
-    for dim in {r["_dim"] for r in sample}:
-        vectors = np.array([r["_vector"] for r in sample if r["_dim"] == dim], dtype=np.float64)
-        if router := fit(vectors, round(total * len(vectors) / len(sample)), k):
-            found[dim] = router
-    return found
-
-
-def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", routers: dict[int, Router] | None = None) -> DataFrame:
+    sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).collect()
+    index = Index({}, {})
+    for dim in sorted({r["_dim"] for r in sample}):
+        mine = [r for r in sample if r["_dim"] == dim]
+        vectors = np.array([r["_vector"] for r in mine], dtype=np.float64)
+        index.samples[dim] = once(np.array([r["_id"] for r in mine]), vectors)
+        if router := fit(vectors, round(total * len(mine) / len(sample)), k):
+            index.routers[dim] = router
+    return index
+
+
+def nearest(df: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", index: Index | None = None) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id``, ``score``: the k rows of the largest inner product found for each query, ties to the smaller id.
 
     Rows with a null id, or a vector that is null, empty, zero or holds null or non-finite components take no part; vectors of another
-    length never meet. Rows with the query's own id are no candidates; an id that several rows have is a candidate for each, and a query for each, whose
-    equal rows are one. Scores are sums of products as doubles, in one order for all pairs. Few rows (under 2 * PART_ROWS of a length) are one part, searched
-    whole. All rows are filed; parts larger than a cell are dealt over several, all of which a query of that part meets.
+    length never meet. Rows with the query's own id are no candidates. Equal rows are one; an id with several vectors is a candidate for each, and a query
+    for each, whose answers are one. Scores are sums of products as doubles, in one order for all pairs. Few rows (under 2 * PART_ROWS of a
+    length) are one part, searched whole. All rows are filed; parts larger than a cell are dealt over several, all of which a query of that part meets.
+
+    The rows that the index was fitted on are candidates of every query, which meets them first: what scores less than
+    its k-th best there can't be among its k nearest, and isn't handed on from the cells.
     """
     rows = usable(df, vec_id, vector)
     total = df.count()
-    routers = fitted(rows, total, k) if routers is None else routers
+    index = fitted(rows, total, k) if index is None else index
     count = cell_count(total)
     size = -(-total // count) if total else 1
-    cells = {d: np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(r.shares * total / size)).astype(np.int64))]) for d, r in routers.items()}
+    cells = {d: np.concatenate([[0], np.cumsum(np.maximum(1, np.ceil(r.shares * total / size)).astype(np.int64))]) for d, r in index.routers.items()}
 
     def place(asks: bool):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
                     plain = {int(d): np.array([0, count]) for d in np.unique(batch.column("_dim").to_numpy()) if int(d) not in cells}
-                    yield from _shown(batch, routers, cells | plain, asks, batch.column("_salt").to_numpy())
+                    yield from _shown(batch, index.routers, cells | plain, asks, batch.column("_salt").to_numpy())
 
         return step
 
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query's best of the fitted rows."""
+        for batch in batches:
+            for (dim,), part in stretches(batch, ["_dim"]):
+                if dim in index.samples:
+                    asks = part.column("_id").to_numpy()
+                    yield _answers(asks, best_of(*index.samples[dim], asks, matrix(part.column("_vector"), dim), k))
+
+    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.full(batch.num_rows, -np.inf)
+            dims, asks = batch.column("_dim").to_numpy(), batch.column("_id").to_numpy()
+            for dim in {int(d) for d in np.unique(dims)} & index.samples.keys():
+                mine = np.flatnonzero(dims == dim)
+                vectors = matrix(batch.column("_vector").take(pa.array(mine)), dim)
+                for q, _, s in best_of(*index.samples[dim], asks[mine], vectors, k):
+                    if len(s) == k:
+                        out[mine[q]] = s[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "_floor"])
+
     kind = df.schema[vector].dataType.simpleString()
-    schema = f"_id long, _dim int, _cell int, _vector {kind}"
+    schema = f"_id long, _dim int, _vector {kind}, _cell int"
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)))
-    asked = usable(df.where(is_query), vec_id, vector).withColumn("_salt", F.lit(0).cast("long"))
+    asked = usable(df.where(is_query), vec_id, vector)
+    floored = asked.withColumn("_salt", F.lit(0).cast("long")).mapInArrow(floors, f"_id long, _dim int, _vector {kind}, _salt long, _floor double")
     most = max([count, *(int(c[-1]) for c in cells.values())])
     hold, answer = _nearest(k)
-    met = meet(salted.mapInArrow(place(False), schema), asked.mapInArrow(place(True), schema), most, hold, answer, "query_id long, vec_id long, score double")
+    answers = "query_id long, vec_id long, score double"
+    met = meet(salted.mapInArrow(place(False), schema), floored.mapInArrow(place(True), f"{schema}, _floor double"), most, hold, answer, answers)
+    every = met.unionByName(asked.mapInArrow(first, answers))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    once = every.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"])
+    return once.select("query_id", "rank", "vec_id", "score")
