@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import iou, shorter_share
+from .common import checkpoint_folder
 
 MERGE_GAP_S = 1.0
 HANDOVER_BEFORE_S, HANDOVER_AFTER_S = 1.5, 5.0
@@ -97,7 +98,7 @@ def nearest_after(firsts: DataFrame, seconds: DataFrame, by: Sequence[str], at:
 
 
 def overlap_pairs(df: DataFrame, by: Sequence[str], start: str, end: str, row_id: str, least: float = INHERIT_IOU, share: str = "iou", width: float = 3600.0) -> DataFrame:
-    """Pairs ``a`` < ``b`` of rows of a group whose overlap is at least ``least`` (of the union, or of the shorter span with ``share="shorter"``)."""
+    """Pairs ``a`` < ``b`` of rows of a group whose overlap is at least ``least`` (of the union, of the shorter span with ``share="shorter"``, in seconds with ``share="seconds"``)."""
     binned = df.select(*by, F.col(row_id).alias("i"), F.col(start).alias("s"), F.col(end).alias("e")).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
     a, b = binned.alias("a"), binned.alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*by, "_bin")]
@@ -106,7 +107,7 @@ def overlap_pairs(df: DataFrame, by: Sequence[str], start: str, end: str, row_id
         cond = cond & c
     # Both spans are in the bin where the later one begins; a pair is taken there only.
     there = F.col("a._bin") == F.floor(F.greatest("a.s", "b.s") / width)
-    value = (iou if share == "iou" else shorter_share)(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
+    value = {"iou": iou, "shorter": shorter_share, "seconds": lambda a0, a1, b0, b1: F.least(a1, b1) - F.greatest(a0, b0)}[share](F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"))
     pairs = a.join(b, cond & (F.col("a.i") < F.col("b.i")) & there & (value >= least) & (value > 0))
     return pairs.select(*(F.col(f"a.{c}").alias(c) for c in by), F.col("a.i").alias("a"), F.col("b.i").alias("b"), value.alias("overlap"))
 
@@ -124,11 +125,7 @@ def best_overlap(spans: DataFrame, sources: DataFrame, by: Sequence[str], s0: st
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``root`` (the least node that links reach) for every node of ``pairs``; labels spread and jump until they stay, each round checkpointed."""
-    spark = pairs.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-"))
+    checkpoint_folder(pairs.sparkSession)
     both = pairs.select(F.col(a).alias("node"), F.col(b).alias("other")).unionByName(pairs.select(F.col(b).alias("node"), F.col(a).alias("other"))).distinct().checkpoint()
     labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("root")).checkpoint()
     while True:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import explore_draw
+from .common import checkpoint_folder
 
 EXPLORE = 0.1
 NEVER_SKIP = ("crash", "own_off_track")
@@ -64,9 +64,7 @@ def blend_weight(votes: Column) -> Column:
 
 def _places(df: DataFrame, score: str, tie: str) -> DataFrame:
     """``df`` with ``_i``, the 0-based place of a row among all, and ``_n``, their number: places in ranges of the ranking, moved by the rows in the ranges before."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-"))
+    checkpoint_folder(df.sparkSession)
     # Written first: ranges are sampled, and must be the same for the counts and the places.
     ranged = df.repartitionByRange(F.desc(score), F.col(tie)).withColumn("_p", F.spark_partition_id()).checkpoint()
     before, total = [], 0

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.common import checkpoint_folder
+
 
 def sessions(events: DataFrame, by: Sequence[str], ts: str, value: str, gap: str = "12 hours") -> DataFrame:
     """Runs of events with less than ``gap`` between them: start, end (``gap`` after the last), count, best value. For batch and stream."""
@@ -48,10 +49,7 @@ def cooled(hits: DataFrame, by: str, t: str, seconds: float) -> DataFrame:
 
 def drained(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a stream over finite input gives, written to the shared folder by the executors, batch by batch, and read from there."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="momentlake-"))
-    folder = f"{sc.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     batches: list[int] = []
 
     def write(rows: DataFrame, batch: int) -> None:
