@@ -67,16 +67,17 @@ def moving_or_nearest(events: DataFrame, samples: DataFrame, by: Sequence[str],
     return out.select(event_id, F.coalesce(F.when(F.col("_n") >= 2, F.col("_median")).otherwise(F.col("_nearest")) >= threshold, F.lit(True)).alias("moving"))
 
 
-def asof(probes: DataFrame, points: DataFrame, by: Sequence[str], t: str, value: str, probe_id: str) -> DataFrame:
+def asof(probes: DataFrame, points: DataFrame, by: Sequence[str], t: str, value: str, probe_id: str, latest_before: bool = False) -> DataFrame:
     """``probe_id`` with the last point at or before it (``before_t``, ``before_v``) and the first at or after it (``after_t``, ``after_v``).
 
-    One sort of both together; no join on ranges. Points at a probe's time count on both sides; of several at one time the one of the least value counts.
+    One sort of both together; no join on ranges. Points at a probe's time count on both sides; of several at one time the one of the least value counts
+    (before the probe the one of the greatest, with ``latest_before``).
     """
     a = points.select(*by, F.col(t).alias("_t"), F.lit(None).cast(probes.schema[probe_id].dataType).alias(probe_id), F.col(value).cast("double").alias("_v"), F.lit(1).alias("_point"))
     b = probes.select(*by, F.col(t).alias("_t"), probe_id, F.lit(None).cast("double").alias("_v"), F.lit(0).alias("_point"))
     both = a.unionByName(b)
     point = F.when(F.col("_point") == 1, F.struct(F.col("_t").alias("t"), F.col("_v").alias("v")))
-    back = Window.partitionBy(*by).orderBy(F.col("_t"), F.desc("_point"), F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy(*by).orderBy(F.col("_t"), F.desc("_point"), F.asc("_v") if latest_before else F.desc("_v")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*by).orderBy(F.col("_t"), F.col("_point"), F.col("_v")).rowsBetween(0, Window.unboundedFollowing)
     out = both.withColumn("_b", F.last(point, ignorenulls=True).over(back)).withColumn("_a", F.first(point, ignorenulls=True).over(ahead)).where("_point = 0")
     return out.select(*by, probe_id, F.col("_t").alias(t), F.col("_b.t").alias("before_t"), F.col("_b.v").alias("before_v"), F.col("_a.t").alias("after_t"), F.col("_a.v").alias("after_v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align
+from ..operators import align, telemetry
 from ..operators import intervals as I
 from .queries import DAY, EV, HOUR, _DAILY, _HOURLY, _hourly, events, query
 
@@ -101,3 +101,69 @@ def envelopes(spark, d):
     w = Window.partitionBy("r").orderBy("t", "i")
     e = events(spark, d).select("r", "v", (F.row_number().over(w) - 1).alias("n"))
     return align.envelope(e, ["r"], "n", "v", rate=16, hz=4, least=2).withColumn("level", F.round("level", 6))
+
+
+_TRACK = f"{EV}, tr as (select r, i, t / 86400 t, 56 + v / 1000 lat, 10 + (i % 97) / 1000.0::double lon, v * 2 kmh from ev)"
+
+
+def _track(spark, d):
+    i, v = F.col("i"), F.col("v")
+    return events(spark, d).select("r", "i", (F.col("t") / DAY).alias("t"), (56 + v / 1000).alias("lat"), (10 + (i % 97) / 1000).alias("lon"), (v * 2).alias("kmh"))
+
+
+def _sql_gradient(x: str, t: str = "t") -> str:
+    b, a = f"({t} - lag({t}) over w)", f"(lead({t}) over w - {t})"
+    back, ahead = f"({x} - lag({x}) over w) / nullif({b}, 0)", f"(lead({x}) over w - {x}) / nullif({a}, 0)"
+    return f"case when {b} is null then {ahead} when {a} is null then {back} else ({back} * {a} + {ahead} * {b}) / nullif({a} + {b}, 0) end"
+
+
+@query(f"""with {_TRACK}, q as (select distinct on (r, t) * from tr order by r, t, i), g as (select *, row_number() over (partition by r order by t) n, count(*) over (partition by r) many, max(t) over (partition by r) - min(t) over (partition by r) span,
+median(lat) over (partition by r) la, median(lon) over (partition by r) lo from q),
+k as (select *, greatest(1, round_even(3 * many / nullif(span, 0), 0))::bigint k, (lat - la) * 111320 no, (lon - lo) * 111320 * cos(radians(la)) ea from g),
+s as (select *, avg(no) over f sn, avg(ea) over f se from k window f as (partition by r order by n rows between k // 2 preceding and k - 1 - k // 2 following)),
+h as (select *, atan2({_sql_gradient('se')}, {_sql_gradient('sn')}) h from s window w as (partition by r order by n)),
+d as (select *, h - lag(h) over (partition by r order by n) d from h),
+u as (select *, sum(coalesce(d - 2 * pi() * floor((d + pi()) / (2 * pi())), 0)) over (partition by r order by n rows unbounded preceding) u from d),
+y as (select *, case when kmh < 15 then 0 else degrees({_sql_gradient('u')}) end y from u window w as (partition by r order by n))
+select i, case when many < 3 or span <= 0 then 0 else round(avg(y) over (partition by r order by n rows between k // 2 preceding and k - 1 - k // 2 following), 4) end yaw from y""")
+def yaw_rates(spark, d):
+    """Turn rates of users' tracks, days for seconds, means over three days."""
+    return telemetry.yaw_rates(_track(spark, d), ["r"], "t", "i", "lat", "lon", "kmh", smooth=3.0).select("i", F.round("yaw", 4).alias("yaw"))
+
+
+@query(f"""with {EV}, p as (select r, i, t / 43200 s, 1 + i % 5 n, row_number() over (partition by r order by t, i) o from ev where i % 9 <> 0),
+g as (select *, lead(s) over (partition by r order by o) - s gap from p), x as (select *, unnest(range(n)) j from g)
+select r, i, j::int place, round(s + j * case when gap > 0 and gap <= 3 then gap else 1.0::double end / n, 6) utc from x""")
+def packet_times(spark, d):
+    """Events as packets of one to five samples, half days for seconds; every ninth has no stamp."""
+    e = events(spark, d)
+    i = F.col("i")
+    w = Window.partitionBy("r").orderBy("t", "i")
+    points = F.transform(F.sequence(F.lit(0), (i % 5).cast("int")), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    packets = e.select("r", F.row_number().over(w).alias("o"), F.when(i % 9 != 0, F.col("t") / (12 * HOUR)).alias("s"), points.alias("points"))
+    return telemetry.spread(packets, ["r"], "o", "s", "points").select("r", F.col("point.i").alias("i"), "place", F.round("utc", 6).alias("utc"))
+
+
+@query(f"""with {EV}, p as (select r, case when y = 'purchase' then t end s, row_number() over (partition by r order by t, i) o, count(*) over (partition by r) many, max(t) over (partition by r) - min(t) over (partition by r) du from ev)
+select r, round(min(s) - (arg_min(o, o) filter (s is not null) - 1) * case when any_value(du) > 0 and any_value(many) > 1 then any_value(du) / any_value(many) else 1 end, 3) start_utc from p group by r having count(s) > 0""")
+def stamps_carried_back(spark, d):
+    """Only purchases have a stamp; a user's first one is carried back to the user's first event."""
+    e = events(spark, d)
+    w = Window.partitionBy("r").orderBy("t", "i")
+    packets = e.select("r", F.row_number().over(w).alias("o"), F.when(F.col("y") == "purchase", F.col("t")).alias("s"))
+    spans = e.groupBy("r").agg((F.max("t") - F.min("t")).alias("duration"))
+    return telemetry.start_by_stamps(packets, ["r"], "o", "s", spans).select("r", F.round("start_utc", 3).alias("start_utc"))
+
+
+@query(f"""with {_TRACK}, q as (select distinct on (r, t) r, t, lat, lon from tr order by r, t, lat, lon), m as (select *, median(lat) over (partition by r) y0 from q),
+s as (select r, t, sqrt(((lat - lag(lat) over w) * 111320) ** 2 + ((lon - lag(lon) over w) * 111320 * cos(radians(y0))) ** 2) d from m window w as (partition by r order by t)),
+y as (select r, t, sum(coalesce(d, 0)) over (partition by r order by t rows unbounded preceding) way from s), e as (select r, max(way) fin from y group by r),
+c as (select r, i, t / 86400 t from ev where y = 'purchase'),
+b as (select c.r, c.i, c.t, y.t t0, y.way w0 from c asof left join y on c.r = y.r and c.t >= y.t), a as (select c.i, y.t t1, y.way w1 from c asof left join y on c.r = y.r and c.t <= y.t),
+g as (select b.r, b.i, w0 + coalesce((b.t - t0) / nullif(t1 - t0, 0), 0) * (w1 - w0) + 5000 way from b join a using (i)), h as (select g.* from g join e on g.r = e.r where way <= fin),
+p as (select h.r, h.i, h.way, y.t t0, y.way w0 from h asof left join y on h.r = y.r and h.way >= y.way), n as (select h.i, y.t t1, y.way w1 from h asof left join y on h.r = y.r and h.way <= y.way)
+select i, round(t0 + coalesce((way - w0) / nullif(w1 - w0, 0), 0) * (t1 - t0), 6) utc from p join n using (i)""")
+def along_track(spark, d):
+    """When a user's track is five kilometres further than at each purchase."""
+    crossings = events(spark, d).where("y = 'purchase'").select("r", "i", (F.col("t") / DAY).alias("c"))
+    return telemetry.along_track(_track(spark, d), crossings, ["r"], "t", "lat", "lon", "c", "i", 5000.0).select("i", F.round("utc", 6).alias("utc"))
