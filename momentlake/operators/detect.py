@@ -17,7 +17,7 @@ MIN_VEHICLE_HEIGHT = 0.08
 MIN_BOX_HEIGHT, MIN_POINTS, MIN_TRACK_S = 0.05, 4, 0.6
 NEARBY_HEIGHT, NEARBY_AREA, NEARBY_S, SLOPE, SLOPE_POINTS, SLOPE_S = 0.11, 0.01, 0.3, 0.32, 8, 0.25
 EDGE, EGO_EDGE_SHARE, EGO_S, EGO_DRIFT, EGO_SIZE, EGO_POINTS = 0.02, 0.6, 2.0, 0.04, 0.1, 5
-OFFTRACK_SHARE, OFFTRACK_POINTS = 0.5, 3
+OFFTRACK_SHARE, ONTRACK_SHARE, OFFTRACK_POINTS, OFFTRACK_HEIGHT, OFFTRACK_LEAST = 0.5, 0.2, 3, 0.06, 6
 KERB_SHARE, KERB_FRAMES = 0.04, 4
 SWAP_MARGIN, SWAP_HOLD, SWAP_S, SWAP_SHARED = 1.15, 3, 3.0, 6
 CRASH_JOLT, CRASH_SPEED, CRASH_STOPPED, CRASH_COOLDOWN_S = 3.0, 30.0, 8.0, 15.0
@@ -91,10 +91,15 @@ def rider_events(points: DataFrame) -> DataFrame:
 
 
 def off_track(points: DataFrame) -> DataFrame:
-    """Runs of points off the track, of tracks that were on it before."""
-    w = Window.partitionBy(*BY).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    off = F.col("offtrack") >= OFFTRACK_SHARE
-    marked = points.withColumn("_off", off & F.coalesce(F.max((~off).cast("int")).over(w) == 1, F.lit(False)))
+    """Runs of points off the track, of tracks that were clearly on it before: ``BY``, ``t_start``, ``t_end``, ``n``.
+
+    Only other bikes' and riders' boxes that are large enough count, and tracks with enough of them; between on and off a run ends, but the track isn't on the road yet.
+    """
+    size = Window.partitionBy(*BY)
+    large = points.where(height() >= OFFTRACK_HEIGHT).join(ego_tracks(points), list(BY), "left_anti").withColumn("_count", F.count("*").over(size)).where(F.col("_count") >= OFFTRACK_LEAST)
+    before = Window.partitionBy(*BY).orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    was_on = F.coalesce(F.max((F.col("offtrack") < ONTRACK_SHARE).cast("int")).over(before) == 1, F.lit(False))
+    marked = large.withColumns({"_off": F.col("offtrack") >= OFFTRACK_SHARE, "_was": was_on}).withColumn("_off", F.col("_off") & F.col("_was"))
     return runs(marked, BY, "t", "_off", "t", min_count=OFFTRACK_POINTS)
 
 

@@ -172,17 +172,17 @@ def smooth_limited(series: DataFrame, by: Sequence[str], t: str, tie: str, value
     return per_group(series, by, f"`{tie}` {series.schema[tie].dataType.simpleString()}, smooth double", step)
 
 
-def cooldown(hits: DataFrame, by: Sequence[str], t: str, tie: str, seconds: float) -> DataFrame:
-    """The hits that come ``seconds`` or more after the last accepted one."""
+def cooldown(hits: DataFrame, by: Sequence[str], t: str, tie: str, seconds: float, strict: bool = False) -> DataFrame:
+    """The hits that come ``seconds`` or more after the last accepted one of their group, with ``strict`` more than that: ``by`` and ``tie``."""
 
     def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([t, tie], kind="stable")
-        ids, last = [], None
-        for at, i in zip(g[t], g[tie]):
-            if last is None or at - last >= seconds:
-                ids.append(i)
+        g = g.sort_values([t, tie] if t != tie else [t], kind="stable")
+        rows, last = [], None
+        for n, at in enumerate(g[t]):
+            if last is None or (at - last > seconds if strict else at - last >= seconds):
+                rows.append(n)
                 last = at
-        return pd.DataFrame({tie: pd.Series(ids, dtype=g[tie].dtype)})
+        return g.iloc[rows][[tie]]
 
     return per_group(hits, by, f"`{tie}` {hits.schema[tie].dataType.simpleString()}", step)
 

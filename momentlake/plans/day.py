@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, telemetry
+from ..operators import align, detect, incidents, mount, telemetry, votes
 from ..operators import intervals as I
-from .queries import DAY, EV, HOUR, _DAILY, _HOURLY, _hourly, events, query
+from .queries import DAY, EV, HOUR, _DAILY, _HOURLY, _hourly, events, query, table
 
 _CLOCKS = f"""{EV}, k as (select r, i, t, t + 43200 + v * 60 w, case when i % 11 = 0 then (i % 7) / 2.0::double end lg, i % 5 fx from ev),
 m as (select *, max(w) over (partition by r order by t, i rows between unbounded preceding and 1 preceding) pm from k),
@@ -167,3 +167,83 @@ def along_track(spark, d):
     """When a user's track is five kilometres further than at each purchase."""
     crossings = events(spark, d).where("y = 'purchase'").select("r", "i", (F.col("t") / DAY).alias("c"))
     return telemetry.along_track(_track(spark, d), crossings, ["r"], "t", "lat", "lon", "c", "i", 5000.0).select("i", F.round("utc", 6).alias("utc"))
+
+
+_SHAPES = f"""{EV}, sh as (select r recording_id, y track_id, i, t / 3600 t, 30.0::double x1, 30 + case when i % 4 < 2 then v else 3 * v end x2, 20.0::double y1, 20 + case when i % 4 < 2 then 2 * v else v / 2 end y2, 3 cls, (i % 10) / 10.0::double offtrack from ev),
+eg as (select recording_id, track_id from sh group by all having count(*) >= 5 and max(t) - min(t) >= 2 and avg(case when x1 <= 2 or x2 >= 98 or y2 >= 98 then 1.0::double else 0 end) >= 0.6 and stddev_pop((x1 + x2) / 200) < 0.04 and stddev_pop((y1 + y2) / 200) < 0.04 and stddev_pop(y2 - y1) < 0.1 * greatest(avg(y2 - y1), 1e-6)),
+la as (select *, count(*) over (partition by recording_id, track_id) many, row_number() over (partition by recording_id, track_id order by t, x1, x2, y1, y2) n from sh where (y2 - y1) / 100 >= 0.06 and not exists (select 1 from eg where eg.recording_id = sh.recording_id and eg.track_id = sh.track_id)),
+bi as (select * from la where many >= 6)"""
+
+
+def _shapes(spark, d):
+    """Boxes of a user's events, a track for each type: tall or wide by id, an hour for a second."""
+    i, v = F.col("i"), F.col("v")
+    tall = i % 4 < 2
+    return events(spark, d).select(
+        F.col("r").alias("recording_id"), F.col("y").alias("track_id"), (F.col("t") / HOUR).alias("t"), F.lit(30.0).alias("x1"), (30 + F.when(tall, v).otherwise(3 * v)).alias("x2"), F.lit(20.0).alias("y1"), (20 + F.when(tall, 2 * v).otherwise(v / 2)).alias("y2"),
+        F.lit(100).alias("frame_w"), F.lit(100).alias("frame_h"), F.lit(3).alias("cls"), ((i % 10) / 10).alias("offtrack"),
+    )
+
+
+_LYING = _SHAPES.replace("30 + case when i % 4 < 2 then v else 3 * v end x2", "case when floor(t / 1209600) % 2 = 0 then 40.0::double else 70 end x2").replace("20 + case when i % 4 < 2 then 2 * v else v / 2 end y2", "case when floor(t / 1209600) % 2 = 0 then 60 else 40 end + (i % 10) / 10.0::double y2")
+
+
+def _lying(spark, d):
+    """Shapes that change for long: tall in one fortnight, wide in the next."""
+    tall = F.floor(F.col("t") * HOUR / (14 * DAY)) % 2 == 0
+    return _shapes(spark, d).withColumns({"x2": F.when(tall, 40.0).otherwise(70.0), "y2": F.when(tall, 60.0).otherwise(40.0) + F.col("offtrack")})
+
+
+@query(f"""with {_LYING}, a as (select *, (x2 - x1) / greatest(y2 - y1, 1) a, y2 - y1 h from bi),
+f as (select *, list(a) over b la, list(h) over b lh, list(a) over f fa, list(h) over f fh from a window b as (partition by recording_id, track_id order by n rows between 5 preceding and 1 preceding), f as (partition by recording_id, track_id order by n rows between current row and 7 following))
+select recording_id, track_id, round(t, 6) t from f where n > 5 and n + 8 <= many and list_min(fa) >= 1.5 * list_median(la) and list_median(fa) >= 1.8 * list_median(la) and list_median(fh) <= 0.65 * list_median(lh)""")
+def bike_down_hits(spark, d):
+    """Points from which on boxes lie, before the cooldown."""
+    return incidents.bike_down_hits(_lying(spark, d)).select("recording_id", "track_id", F.round("t", 6).alias("t"))
+
+
+@query(f"""with {_SHAPES}, w as (select *, offtrack >= 0.5 f, coalesce(max((offtrack < 0.2)::int) over (partition by recording_id, track_id order by t rows between unbounded preceding and 1 preceding) = 1, false) was from bi),
+n as (select *, row_number() over (partition by recording_id, track_id order by t) - row_number() over (partition by recording_id, track_id, f and was order by t) g from w)
+select recording_id, track_id, round(min(t), 6) t_start, round(max(t), 6) t_end, count(*) n from n where f and was group by recording_id, track_id, g having count(*) >= 3""")
+def off_track_spans(spark, d):
+    found = detect.off_track(_shapes(spark, d))
+    return found.select("recording_id", "track_id", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "n")
+
+
+_MOUNT = """fr as (select label r, vec_id i, vec_id / 10.0::double t, list_transform(embedding, lambda x: x > -0.05) fx, abs(embedding[1]) * 4 st from embeddings),
+vo as (select r, p, avg((fx[p])::int) s, count(*) n from (select r, fx, unnest(range(1, 65)) p from fr where st >= 0.3) group by r, p), ow as (select r, p from vo where n >= 25 and p > 32 and s >= 0.6),
+en as (select r from ow group by r having count(*) >= 2),
+ho as (select fr.r, i, t, st >= 0.3 and avg((fx[p])::int) >= 0.5 rides from fr join ow on fr.r = ow.r join en on en.r = fr.r group by fr.r, i, t, st)"""
+
+
+@query(f"with {_MOUNT} select r, (floor(t) + 0.5) t, round(avg(rides::int), 6) share from ho group by r, floor(t)")
+def riding_shares(spark, d):
+    """Vectors as pictures: a label is a recording, a component a block, ten vectors a second."""
+    e = table(spark, d, "embeddings")
+    frames = e.select(F.col("label").alias("r"), (F.col("vec_id") / 10).alias("t"), F.transform("embedding", lambda x: x.cast("double") > -0.05).alias("fx"), (F.abs(F.get("embedding", F.lit(0)).cast("double")) * 4).alias("st"))
+    return mount.riding(frames, ["r"], "t", "fx", "st").withColumn("share", F.round("share", 6))
+
+
+@query(f"""with {EV}, cl as (select r, i, t s, t + 7200 + v * 60 e from ev), vo as (select i * 10 q, i, i % 3 - 1 vote, i % 5 <> 0 sp from ev where i % 4 = 1),
+pa as (select a.i a, b.i b from cl a join cl b on a.r = b.r and a.i <> b.i where least(a.e, b.e) > greatest(a.s, b.s) and (least(a.e, b.e) - greatest(a.s, b.s)) / (greatest(a.e, b.e) - least(a.s, b.s)) >= 0.5),
+al as (select q, i + 1 o from vo union all select q, i - 2 from vo), re as (select q, vote, i, null::bigint f from vo
+union all select distinct q, vote, o, f from (select q, vote, b o, i f from vo join pa on a = i where sp union all select vo.q, vote, o, i from vo join al on al.q = vo.q where o in (select i from ev)))
+select q, i, vote, f inherited_from from re""")
+def spread_votes(spark, d):
+    """A vote on every fourth event reaches what overlaps it (unless its id ends in 0 or 5) and two neighbours by id."""
+    e = events(spark, d)
+    i = F.col("i")
+    clips = e.select("r", "i", "t", (F.col("t") + 7200 + F.col("v") * 60).alias("w"))
+    votes_ = e.where("i % 4 = 1").select((i * 10).alias("q"), "i", (i % 3 - 1).alias("vote"), (i % 5 != 0).alias("sp"))
+    also = votes_.select("q", (i + 1).alias("i")).unionByName(votes_.select("q", (i - 2).alias("i")))
+    return votes.spread_votes(votes_, clips, ["r"], "i", "t", "w", "q", also, "sp", width=4 * HOUR).select("q", "i", "vote", "inherited_from")
+
+
+@query("""with f as (select doc_id, lang, '/out/' || source || '/' || lang || '/d' || doc_id || '.mp4' path from documents), o as (select distinct lang, '/out/' || source folder, 'd' || substr(doc_id::varchar, 1, 1) prefix from documents where doc_id % 50 = 0)
+select doc_id from f where not exists (select 1 from o where o.lang = f.lang and starts_with(path, folder || '/') and starts_with(split_part(path, '/', 5), prefix))""")
+def forgotten_files(spark, d):
+    """Files of documents in folders of their source; every fiftieth takes away those of its source and language whose number begins alike."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    files = docs.select("doc_id", "lang", F.concat(F.lit("/out/"), "source", F.lit("/"), "lang", F.lit("/d"), "doc_id", F.lit(".mp4")).alias("path"))
+    orders = docs.where("doc_id % 50 = 0").select("lang", F.concat(F.lit("/out/"), "source").alias("folder"), F.concat(F.lit("d"), F.substring(F.col("doc_id").cast("string"), 1, 1)).alias("name_prefix"))
+    return votes.forget(files, orders, ["lang"]).select("doc_id")
