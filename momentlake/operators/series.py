@@ -112,9 +112,11 @@ def moving_average(by: Sequence[str], t: str, tie: str, value: str, k: int) -> C
 
 
 def lag_correlation(a: DataFrame, b: DataFrame, by: Sequence[str], k: str, va: str, vb: str, most: int) -> DataFrame:
-    """Correlation of two series at each lag from -most to most steps: ``lag``, ``r``, ``n``."""
+    """Correlation of two series at each lag from -most to most steps: ``lag``, ``r`` (null where one of them doesn't vary), ``n``."""
+    # corr() fails on a series that doesn't vary.
+    r = F.try_divide(F.covar_pop(va, vb), F.stddev_pop(va) * F.stddev_pop(vb))
     shifted = b.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn(k, F.col(k) - F.col("lag"))
-    return a.join(shifted, [*by, k]).groupBy(*by, "lag").agg(F.corr(va, vb).alias("r"), F.count("*").alias("n"))
+    return a.join(shifted, [*by, k]).groupBy(*by, "lag").agg(r.alias("r"), F.count("*").alias("n"))
 
 
 def offset_grid(a: DataFrame, b: DataFrame, by: Sequence[str], k: str, va: str, vb: str, offsets: Sequence[int]) -> DataFrame:

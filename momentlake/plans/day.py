@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import align, detect, incidents, mount, telemetry, votes
+from ..operators import align, detect, incidents, linking, mount, telemetry, votes
 from ..operators import intervals as I
+from ..operators.common import checkpoint_folder
+from ..sources import records, tail
+from ..streaming import sessions as streams
 from .queries import DAY, EV, HOUR, _DAILY, _HOURLY, _hourly, events, query, table
 
 _CLOCKS = f"""{EV}, k as (select r, i, t, t + 43200 + v * 60 w, case when i % 11 = 0 then (i % 7) / 2.0::double end lg, i % 5 fx from ev),
@@ -247,3 +252,42 @@ def forgotten_files(spark, d):
     files = docs.select("doc_id", "lang", F.concat(F.lit("/out/"), "source", F.lit("/"), "lang", F.lit("/d"), "doc_id", F.lit(".mp4")).alias("path"))
     orders = docs.where("doc_id % 50 = 0").select("lang", F.concat(F.lit("/out/"), "source").alias("folder"), F.concat(F.lit("d"), F.substring(F.col("doc_id").cast("string"), 1, 1)).alias("name_prefix"))
     return votes.forget(files, orders, ["lang"]).select("doc_id")
+
+
+@query("select distinct conv_id, turn, role, (length(text) % 3 - 1)::int vote from conversations where conv_id is not null and text is not null")
+def received_votes(spark, d):
+    """Votes written as change files by the executors, and read from there by a stream that takes whole lines."""
+    folder = f"{checkpoint_folder(spark)}/changes-{uuid.uuid4().hex}"
+    said = table(spark, d, "conversations").where("conv_id IS NOT NULL AND text IS NOT NULL").select("conv_id", "turn", "role", (F.pmod(F.length("text"), F.lit(3)) - 1).alias("vote"))
+    said.select(F.to_json(F.struct("conv_id", "turn", "role", "vote"), {"ignoreNullFields": "false"}).alias("value")).write.text(folder)
+    tail.register(spark)
+    lines = spark.readStream.format("appended_lines").option("ending", ".txt").load(folder)
+    got = streams.drained(spark, lines, f"votes_{uuid.uuid4().hex}")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in said.schema)
+    return records.vote_lines(got, schema, unique=("conv_id", "turn", "role", "vote"))
+
+
+def _hits(spark, d):
+    """A user's events as lines in the picture, an hour for a frame."""
+    i, v = F.col("i"), F.col("v")
+    return events(spark, d).select("r", F.floor(F.col("t") / HOUR).alias("f"), F.floor(F.col("t") / HOUR).cast("double").alias("t"), F.least(v / 50, F.lit(1.0)).alias("row"), ((i % 5) * 2.0).alias("angle"), ((i % 10) / 10).alias("run"))
+
+
+@query()
+def line_passes(spark, d):
+    return linking.line_passes(_hits(spark, d), ["r"], "f", "t", "row", "angle", "run", fps=1.0, gap=48.0)
+
+
+@query()
+def edge_passes(spark, d):
+    h = _hits(spark, d)
+    last = F.max("f").over(Window.partitionBy("r"))
+    first = F.min("f").over(Window.partitionBy("r"))
+    framed = h.withColumn("_first", first).withColumns({"last": last - F.col("_first"), "f": F.col("f") - F.col("_first")}).drop("_first")
+    return linking.edge_passes(framed, ["r"], "f", "t", "row", "angle", "run", "last", fps=0.05, gap=96.0, rise_s=120.0, same=12.0)
+
+
+@query()
+def incident_events(spark, d):
+    """Riders down and bikes off the track, of shapes that lie every other fortnight."""
+    return incidents.incidents(_lying(spark, d))

@@ -29,15 +29,15 @@ def votes_once(votes: DataFrame, ts: str, key: Sequence[str], late: str = "1 day
     return votes.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def cooled(hits: DataFrame, by: str, t: str, seconds: float) -> DataFrame:
-    """Hits of a stream that come more than ``seconds`` after the last accepted one of their key. Rows of a key must come in order."""
+def cooled(hits: DataFrame, by: str, t: str, seconds: float, strict: bool = False) -> DataFrame:
+    """Hits of a stream that come ``seconds`` or more after the last accepted one of their key, with ``strict`` more than that: ``moments.cooldown`` of a stream. Rows of a key must come in order."""
     kind = hits.schema[by].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
         out = []
         for at in sorted(x for f in frames for x in f[t]):
-            if last is None or at - last > seconds:
+            if last is None or (at - last > seconds if strict else at - last >= seconds):
                 last = float(at)
                 out.append(last)
         if last is not None:
