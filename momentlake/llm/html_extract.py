@@ -32,13 +32,21 @@ EPOCHS, BATCH, RATE, SEED = 14, 30, 0.02, 7
 STRETCH = 512
 
 _SKIP = ("script", "style", "noscript", "template", "svg", "title", "iframe", "object")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>" % "|".join(_SKIP), re.S | re.I)
+_SKIPPED = re.compile(r"(%s)\b" % "|".join(_SKIP), re.I)
+_SKIP_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
+_NAME_ENDS, _TAG_ENDS = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|\d+", re.I)
 _INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag closes an open one of these in front of it.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What training asks about a block's surroundings.
+_AROUND = frozenset(("article", "nav", "aside", "footer", "form"))
+#: What is remembered of attributes and words: not those that are longer.
+REMEMBERED = 200
+#: Characters of pages that are parsed at once.
+PARSED_CHARS = 1 << 22
 _BLOCKS_IN_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
@@ -47,20 +55,99 @@ class Block:
     text: str
     path: tuple[int, ...]
     link: float
-    tags: tuple[str, ...]
+    depth: int
+    around: frozenset[str]
+
+
+@dataclass
+class _Open:
+    """An open element, with what it and those around it say of a block's path; inline ones add nothing."""
+
+    tag: str
+    path: tuple[int, ...] = ()
+    depth: int = 0
+    around: frozenset[str] = frozenset()
 
 
-@lru_cache(maxsize=50_000)
 def _path_parts(tag: str, attributes: str) -> tuple[int, ...]:
+    return (_parts_known if len(attributes) <= REMEMBERED else _parts)(tag, attributes)
+
+
+def _parts(tag: str, attributes: str) -> tuple[int, ...]:
     names = [tag] + [f".{n.lower()}" for m in _NAMED.finditer(attributes) for n in _NAME.findall(m[1] or m[2] or m[3] or "")]
     return tuple(zlib.crc32(n.encode()) % PATH_BUCKETS for n in names)
 
 
+_parts_known = lru_cache(maxsize=50_000)(_parts)
+
+
+class _Next:
+    """Where a pattern comes next. A place that was looked for from further ahead isn't looked for again."""
+
+    def __init__(self, pattern: re.Pattern, page: str):
+        self.pattern, self.page, self.since, self.found = pattern, page, 0, -1
+
+    def __call__(self, at: int) -> int:
+        if not self.since <= at <= self.found:
+            m = self.pattern.search(self.page, at)
+            self.since, self.found = at, m.start() if m else len(self.page)
+        return self.found
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Markup of a page in order: start, end, name in small letters (empty for comments, declarations and elements whose content is no text), whether it closes, attributes.
+
+    One pass: a page of n characters takes time in proportion to n, however its tags and quotes are broken. What isn't closed
+    by > outside of quotes is text; comments and elements without an end go on to the page's end.
+    """
+    last, quotes = page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+    name_end, tag_end = _Next(_NAME_ENDS, page), _Next(_TAG_ENDS, page)
+    dead: set[int] = set()  # quotes that lead to no end
+    at = page.find("<")
+    while at >= 0:
+        stop, name, closes, attributes = -1, "", False, ""
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4) + 3
+            stop = len(page) if stop < 3 else stop
+        elif at >= last:
+            at = page.find("<!--", at)  # the only markup that needs no >
+            continue
+        elif skipped := _SKIPPED.match(page, at + 1):
+            found = _SKIP_ENDS[skipped[1].lower()].search(page, page.find(">", at) + 1)
+            stop = found.end() if found else len(page)
+        elif page[at + 1] in "!?":
+            stop = page.find(">", at + 2) + 1
+        else:
+            closes = page[at + 1] == "/"
+            first = at + 1 + closes
+            if page[first : first + 1].isascii() and page[first : first + 1].isalpha():
+                start = place = name_end(first)
+                seen = []
+                while True:
+                    place = tag_end(place)
+                    if place >= len(page):
+                        break
+                    if page[place] == ">":
+                        name, attributes, stop = page[first:start].lower(), page[start:place], place + 1
+                        break
+                    if place in dead or place == quotes[page[place]]:
+                        break
+                    seen.append(place)
+                    place = page.find(page[place], place + 1) + 1
+                if stop < 0:
+                    dead.update(seen)
+        if stop >= 0:
+            yield at, stop, name, closes, attributes
+        at = page.find("<", stop if stop >= 0 else at + 1)
+
+
 def blocks_of(page: str | None) -> list[Block]:
-    """Leaf blocks of a page: text between block tags, references decoded, white space as one space. Null and empty pages have none."""
+    """Leaf blocks of a page: text between block tags, references decoded, white space as one space. Null and empty pages have none; a page of any length and nesting is read in one pass."""
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[_Open] = []
+    places: dict[str, list[int]] = {}  # of each open tag in the stack
+    outer: list[int] = []  # those of block tags
     parts: list[str] = []
     linked = 0
     links = 0
@@ -69,33 +156,33 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tags = tuple(t for t, _ in stack if t not in _INLINE)
-            path = tuple(dict.fromkeys(x for t, p in stack if t not in _INLINE for x in p))
-            out.append(Block(text, path, min(1.0, linked / len(text)), tags))
+            top = stack[-1] if stack else _Open("")
+            out.append(Block(text, top.path, min(1.0, linked / len(text)), top.depth, top.around))
         parts.clear()
         linked = 0
 
+    def drop(i: int) -> None:
+        while len(stack) > i:
+            places[stack.pop().tag].pop()
+        while outer and outer[-1] >= i:
+            outer.pop()
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, tag, closes, attributes in tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             linked += len(piece) if links else 0
-        at = m.end()
-        if not m[2]:
+        at = end
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[0][1] == "/":
+        if closes:
             if tag == "a":
                 links = 0
             if tag not in _INLINE:
                 close()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in _INLINE and stack[i][0] not in _INLINE:
-                    break
+            if (mine := places.get(tag)) and (tag not in _INLINE or not outer or mine[-1] > outer[-1]):
+                drop(mine[-1])
             continue
         if tag == "br":
             parts.append(" ")
@@ -103,16 +190,23 @@ def blocks_of(page: str | None) -> list[Block]:
             close()
             links = 0
             ends = _CLOSES.get(tag, ()) or (("p",) if tag in _BLOCKS_IN_P else ())
-            for i in range(len(stack) - 1, max(-1, len(stack) - 6), -1):
-                if stack[i][0] in ends:
-                    del stack[i:]
+            for i in reversed(outer) if ends else ():
+                if stack[i].tag in ends:
+                    drop(i)
                     break
-                if stack[i][0] not in _INLINE and stack[i][0] not in ("td", "th", "p"):
+                if stack[i].tag not in ("td", "th", "p"):
                     break
         elif tag == "a":
             links = 1
         if tag not in _VOID:
-            stack.append((tag, _path_parts(tag, m[3] or "")))
+            top = stack[-1] if stack else _Open("")
+            places.setdefault(tag, []).append(len(stack))
+            if tag in _INLINE:
+                stack.append(_Open(tag, top.path, top.depth, top.around))
+            else:
+                outer.append(len(stack))
+                more = tuple(dict.fromkeys(x for x in _path_parts(tag, attributes) if x not in top.path))
+                stack.append(_Open(tag, top.path + more, top.depth + 1, top.around | {tag} if tag in _AROUND else top.around))
     parts.append(page[at:])
     close()
     return out
@@ -129,15 +223,21 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     numbers = np.zeros((n, NUMBERS), np.float32)
     for i, b in enumerate(blocks):
         size = len(b.text)
-        numbers[i] = (np.log1p(size) / 6, b.link, min(1, len(words[i]) / 24), b.text[-1] in ".!?…:\"”", b.text[:1].isupper(), len(b.tags) / 10, i / max(1, n - 1), 1.0)
+        numbers[i] = (np.log1p(size) / 6, b.link, min(1, len(words[i]) / 24), b.text[-1] in ".!?…:\"”", b.text[:1].isupper(), b.depth / 10, i / max(1, n - 1), 1.0)
     return np.array(path, np.int64), path_of, np.array(word, np.int64), word_of, numbers
 
 
-@lru_cache(maxsize=200_000)
 def _word_bucket(word: str) -> int:
+    return _bucket_known(word) if len(word) <= REMEMBERED else _bucket(word)
+
+
+def _bucket(word: str) -> int:
     return zlib.crc32(word.lower().encode()) % WORD_BUCKETS
 
 
+_bucket_known = lru_cache(maxsize=200_000)(_bucket)
+
+
 class Network:
     """Embeddings, an LSTM in each direction, a logistic unit. Sequences of a batch are padded at the end."""
 
@@ -386,7 +486,7 @@ def composed(texts: list[str], links: list[str], n: int, seed: int = SEED) -> li
 def train(pages: list[str], n_composed: int = COMPOSED_PAGES) -> Network:
     """Learns from pages with an ``article`` element (what is in it is main text) and from pages composed of their blocks."""
     parsed = [blocks_of(p) for p in pages]
-    own = [(b, np.array(["article" in x.tags and not {"nav", "aside", "footer", "form"} & set(x.tags) for x in b])) for b in parsed if any("article" in x.tags for x in b)]
+    own = [(b, np.array([x.around == {"article"} for x in b])) for b in parsed if any("article" in x.around for x in b)]
     texts = [x.text for b in parsed for x in b if x.link < 0.5] or ["Text of a page.", "Another text, a little longer than the first one."]
     links = [x.text for b in parsed for x in b if x.link >= 0.5] or ["Home", "About"]
     made = []
@@ -410,6 +510,16 @@ def sample(pages: DataFrame, page_html: str, rows: int = SAMPLE_PAGES, chars: in
     return [r["h"] for r in found.orderBy("k").collect()]
 
 
+def _stretches(part: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of runs of equal parts, at most ``most`` rows each."""
+    ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+    start = 0
+    for end in ends:
+        for at in range(start, end, most):
+            yield at, min(most, end - at)
+        start = end
+
+
 def extract(pages: DataFrame, network: Network, page_html: str = "html", to: str = "text") -> DataFrame:
     """``pages`` with the main text in column ``to`` (replaced if there): main blocks in page order, joined by two line ends.
 
@@ -422,8 +532,10 @@ def extract(pages: DataFrame, network: Network, page_html: str = "html", to: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            # Whole pages, a few million characters of them at once.
+            sizes = np.cumsum([len(h.as_py() or "") for h in whole.column(page_html)])
+            part = sizes // PARSED_CHARS if len(sizes) else sizes
+            for b in (whole.slice(*x) for x in _stretches(part, 512)):
                 parsed = [blocks_of(h.as_py()) for h in b.column(page_html)]
                 texts = ["\n\n".join(x.text for x, p in zip(blocks, chances) if p >= 0.5) for blocks, chances in zip(parsed, shared.value.label(parsed))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, field])

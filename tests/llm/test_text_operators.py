@@ -467,6 +467,24 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 <div class="ad">Buy this now.</div><article><h1>A title &amp; more</h1><p><b>First   paragraph<br>goes on.<p>Second one is <i>here</i>, it has some words.</p></article><footer>&copy; nobody</footer></body></html>"""
 
 
+@pytest.mark.parametrize("page", ["<svg " * 200_000, '<a "' * 250_000, '<a "' * 250_000 + ">", "<a " * 300_000 + '">', "<a" * 400_000 + ' ">', "<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<div>t" * 100_000, "<!--" * 200_000, "<script>" + "</script " * 100_000])
+def test_broken_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.process_time()
+    html_extract.blocks_of(page)
+    assert time.process_time() - began < 8  # 0.1 to 2 seconds; the square of the length would be hours
+
+
+def test_broken_markup_is_text():
+    texts = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert texts("<p>a <b c") == ["a <b c"] and texts("<p>a <b c='>") == ["a <b c='>"] and texts("a <!-- b") == ["a"] and texts("x<svg>y") == ["x"]
+    assert texts("<p title='a > b'>c") == ["c"] and texts("1 < 2 <p>3") == ["1 < 2", "3"]
+    # However many inline elements lie between, a paragraph ends at the next one.
+    nested = html_extract.blocks_of("<article><p>" + "<b>" * 30 + "one" + "<p>two")
+    assert [b.text for b in nested] == ["one", "two"] and nested[0].depth == nested[1].depth
+
+
 def test_blocks_of_a_page():
     assert [b.text for b in html_extract.blocks_of(PAGE)] == ["Home", "Blog", "Buy this now.", "A title & more", "First paragraph goes on.", "Second one is here, it has some words.", "© nobody"]
     assert html_extract.blocks_of(None) == html_extract.blocks_of("") == [] and html_extract.blocks_of("<p>a < b<!-- x")[0].text == "a < b"
