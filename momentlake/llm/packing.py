@@ -27,6 +27,8 @@ from tokenizers import Tokenizer
 
 #: Words that a Python worker remembers before it starts afresh.
 CACHE_WORDS = 150_000
+#: Words that are longer are encoded each time, so that what is remembered has a bound.
+REMEMBERED_LETTERS = 64
 #: Examples that are packed together. More gives a better fit and needs more memory.
 WINDOW = 512
 #: Each partition numbers its sequences from its number times this.
@@ -166,7 +168,9 @@ class _Known(dict):
             raise _Run
         if len(self) >= CACHE_WORDS:
             self.clear()
-        self[word] = out = array("I", self.ids.words.encode_ordinary(self.before + word)).tobytes()
+        out = array("I", self.ids.words.encode_ordinary(self.before + word)).tobytes()
+        if len(word) <= REMEMBERED_LETTERS:
+            self[word] = out
         return out
 
 

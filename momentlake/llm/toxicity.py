@@ -52,6 +52,8 @@ CHUNK = 1 << 15
 FLOOR, CLIP = -1.0, 1.5
 #: Words that a Python worker remembers before it starts afresh.
 CACHE_WORDS = 300_000
+#: Words that are longer are remembered for one batch only.
+REMEMBERED_LETTERS = 64
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -349,9 +351,12 @@ class _Margins(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
+        self.model, self.long = model, []
 
     def learn(self, words: set[str]) -> None:
+        for w in self.long:
+            self.pop(w, None)
+        self.long = [w for w in words if len(w) > REMEMBERED_LETTERS]
         new = {w for w in words if w not in self}
         if len(self) + len(new) > CACHE_WORDS:
             self.clear()

@@ -676,3 +676,11 @@ def test_ratio_by_hand(spark):
     gain = lambda g: np.log((target[g] + quality_rules.PRIOR * corpus(g)) / (sum(target.values()) + quality_rules.PRIOR)) - np.log(corpus(g))
     got = by_id(quality_rules.quality(docs, trusted), "llr")
     assert got[2] is None and all(got[i] == pytest.approx(np.mean([gain(g) for g in grams[i]]), abs=1e-9) for i in (0, 1))
+
+
+def test_long_words_are_not_remembered():
+    ids = packing.word_ids(BYTE_BPE)
+    long = ["".join(chr(97 + (i * k) % 26) for i in range(20_000)) for k in range(1, 8)]
+    text = " ".join([*long, "short"])
+    assert array("I", ids.encode(text)).tolist() == ids.whole.encode(text, add_special_tokens=False).ids
+    assert all(len(w) <= packing.REMEMBERED_LETTERS for known in (ids.first, ids.later) for w in known)
