@@ -782,4 +782,5 @@ def flagship_top_moments(spark, d):
     return a.join(near, "i", "left").select("r", "i", F.round("v", 6).alias("v"), F.coalesce("n", F.lit(0)).alias("n"), F.row_number().over(w).alias("place")).where("place <= 3")
 
 
-from . import day as _day  # noqa: E402, F401  its queries register themselves
+from . import day as _day  # noqa: E402, F401  their queries register themselves
+from . import moments_day as _moments_day  # noqa: E402, F401
