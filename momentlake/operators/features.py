@@ -133,17 +133,17 @@ def pace(least_kmh: float = TRACK_KMH) -> tuple[Column, Column]:
     still, streams = F.col("motion") < STILL_MOTION, (F.col("motion") >= TRACK_MOTION) & (F.col("riders") >= 1)
     whole = lambda c: F.bround(c, 0).cast("bigint").cast("string")
     rides = F.concat(F.lit("riding "), whole(F.col("riding_share") * 100), F.lit("% of the time"))
-    paced = F.concat(F.when(F.coalesce(F.col("from_log"), F.lit(False)), "RaceBox").otherwise("GPS"), F.lit(" "), whole(F.col("speed_kmh")), F.lit(" km/h"))
+    paced = F.concat(F.when(F.coalesce(F.col("from_log"), F.lit(False)), "log").otherwise("GPS"), F.lit(" "), whole(F.col("speed_kmh")), F.lit(" km/h"))
     cases = [
         (F.col("gate").isNotNull() & ~own, F.lit("slow"), F.col("gate")),
         (F.col("riding_share").isNotNull() & ~own, F.when(F.col("riding_share") >= RIDING_LEAST, "track").when(still, "stopped").otherwise("slow"), rides),
         (F.col("speed_kmh").isNotNull(), F.when(F.col("speed_kmh") < min(STOPPED_KMH, least_kmh), "stopped").when(F.col("speed_kmh") < least_kmh, "slow").otherwise("track"), paced),
         (still, F.lit("stopped"), F.lit("no GPS, the picture stands still")),
         (streams, F.lit("track"), F.concat(F.lit("no GPS, a rider in view while the picture streams past (motion "), whole(F.col("motion")), F.lit(")"))),
-        (F.col("unplaced").isNotNull(), F.col("unplaced"), F.lit("no GPS, not placed on RaceBox")),
+        (F.col("unplaced").isNotNull(), F.col("unplaced"), F.lit("no GPS, not placed on the log")),
         (F.col("motion").isNull(), F.lit(None).cast("string"), F.lit("pace not stored")),
     ]
-    kind, why = F.lit("slow"), F.lit("no GPS, RaceBox or bike in view says track")
+    kind, why = F.lit("slow"), F.lit("no GPS, log or bike in view says track")
     for test, value, text in reversed(cases):
         held = F.coalesce(test, F.lit(False))
         kind, why = F.when(held, value).otherwise(kind), F.when(held, text).otherwise(why)
@@ -195,7 +195,7 @@ def moment_features(rows: DataFrame, moment_id: str, types: DataFrame | None = N
     hour = F.when(F.col("utc_start") >= LANES_END, F.hour(local_time(F.col("utc_start"), "Europe/Copenhagen")))
     fields = [F.col("theme"), F.col("event_types"), F.round(seconds, 2).alias("duration"), F.size("segments").alias("pieces"), F.col("cameras"), F.array_contains("event_types", "kneepuck").alias("kneepuck"), F.col("riders")]
     fields += [F.round(c, n).alias(c) for c, n in digits.items()]
-    fields += [F.col("pace"), F.when(F.col("pace").isNotNull(), F.col("pace_from")).alias("pace_from"), F.coalesce("red_lamp", F.lit(False)).alias("red_lamp"), F.coalesce("gps", F.lit(False)).alias("gopro_gps"), hour.alias("hour")]
+    fields += [F.col("pace"), F.when(F.col("pace").isNotNull(), F.col("pace_from")).alias("pace_from"), F.coalesce("red_lamp", F.lit(False)).alias("red_lamp"), F.coalesce("gps", F.lit(False)).alias("own_gps"), hour.alias("hour")]
     return out.select(moment_id, F.to_json(F.struct(*fields)).alias("features"))
 
 

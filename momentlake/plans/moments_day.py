@@ -54,7 +54,7 @@ rs as (select p.i, median(e.v * 3) speed, median(e.v / 3) mot from ru p join ev
 rc as (select p.i, max(e.i % 3) rid from ru p join ev e on e.r = p.r and e.y = 'click' and e.t / 3600 between a - 0.5 and b + 0.5 group by p.i),
 al as (select mo.*, aa.* exclude (i), action_density, sa.* exclude (i), turn_rate_max, cornering_share, lean_max, vehicle_share, riding_share, motion,
   case when riding is not null and mo.r % 5 <> 0 then case when riding >= 0.5 then 'track' when mot < 4 then 'stopped' else 'slow' end when speed is not null then case when speed < 10 then 'stopped' when speed < 40 then 'slow' else 'track' end when mot < 4 then 'stopped' when mot >= 10 and rid >= 1 then 'track' when mot is null then null else 'slow' end pace,
-  case when riding is not null and mo.r % 5 <> 0 then 'riding ' || round_even(riding * 100, 0)::bigint || '% of the time' when speed is not null then case when mo.r % 3 = 0 then 'RaceBox' else 'GPS' end || ' ' || round_even(speed, 0)::bigint || ' km/h' when mot is null then 'pace not stored' else '?' end pace_from
+  case when riding is not null and mo.r % 5 <> 0 then 'riding ' || round_even(riding * 100, 0)::bigint || '% of the time' when speed is not null then case when mo.r % 3 = 0 then 'log' else 'GPS' end || ' ' || round_even(speed, 0)::bigint || ' km/h' when mot is null then 'pace not stored' else '?' end pace_from
   from mo left join aa using (i) left join ad using (i) left join sa using (i) left join ta using (i) left join la using (i) left join va using (i) left join ra using (i) left join ma using (i) left join rr using (i) left join rs using (i) left join rc using (i))"""
 _NUMBERS = "kerb_share nearest_rider rider_share group_share closing action_density speed_kmh speed_max speed_min speed_change brake_g accel_g turn_rate_max cornering_share lean_max vehicle_share riding_share motion".split()
 
