@@ -77,6 +77,7 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_text:
         hits = probes(scanned, lengths, True).join(F.broadcast(grams), same, "left").where(F.col("_item").isNotNull() | (F.col("_start") < 0))
         slim = hits.select("_row", F.when(F.col("_start") < 0, base).alias("_base"), _span().alias("_span"), "_item")
     else:
+        scanned = cut(scanned)  # three branches read it: its rows are numbered once
         met = probes(scanned.select("_row", "_words"), lengths, False).select("_row", "_start", "_key").join(grams.select(F.col("_filed").alias("_key")).distinct(), "_key", "left_semi")
         found = met.join(scanned.select("_row", "_words"), "_row").select("_row", "_start", "_key", F.slice("_words", F.col("_start") + 1, n).alias("_own_gram"))
         hits = found.join(grams, (F.col("_key") == F.col("_filed")) & (F.slice("_own_gram", 1, F.size("_gram")) == F.col("_gram")))
