@@ -507,29 +507,53 @@ def same_footage_components(spark, d):
     return I.components(I.overlap_pairs(e, ["r"], "t", "w", "i", 0.3, share="shorter", width=4 * HOUR))
 
 
-@query()
+@query(f"""with recursive {EV}, e as (select r, i, t / 3600 s, t / 3600 + v / 60 e, v from ev), w0 as (select *, greatest(0, (s + e) / 2 - 10) lo, greatest((s + e) / 2 + 10, greatest(0, (s + e) / 2 - 10) + 1) hi from e),
+w as (select r, i, v, lo + greatest(0, hi - lo - 24) / 2 lo, hi - greatest(0, hi - lo - 24) / 2 hi, row_number() over (partition by r order by v desc, s, i) n from w0),
+o as (select w.r, w.n, w.lo, w.hi, list(e.i) m from w join e on e.r = w.r and e.e >= w.lo and e.s <= w.hi group by all),
+x as (select r, n, [{{'lo': lo, 'hi': hi, 'm': m}}] spans from o where n = 1 union all
+      select r, n, case when pl is not null then list_transform(spans, lambda q, j: case when j = pl then {{'lo': least(q.lo, lo), 'hi': greatest(q.hi, hi), 'm': list_distinct(list_concat(q.m, m))}} else q end)
+                        when len(spans) < 12 then list_append(spans, {{'lo': lo, 'hi': hi, 'm': m}}) else spans end from (
+        select o.r, o.n, o.lo, o.hi, o.m, x.spans, list_position(list_transform(x.spans, lambda q: greatest(o.lo, q.lo) - least(o.hi, q.hi) <= 8 and greatest(o.hi, q.hi) - least(o.lo, q.lo) <= 40), true) pl from x join o on o.r = x.r and o.n = x.n + 1)),
+z as (select r, unnest(spans) q from x qualify n = max(n) over (partition by r))
+select z.r, round(q.lo, 6) w_start, round(q.hi, 6) w_end, max(e.v) w_score, count(*) n_events from z join e on e.r = z.r and list_contains(q.m, e.i) group by z.r, q.lo, q.hi""")
 def clip_windows_greedy(spark, d):
     e = events(spark, d).withColumns({"t": F.col("t") / HOUR, "e": F.col("e") / HOUR})
-    return moments.clip_windows(e, ["r"], "t", "e", "v", "i")
+    found = moments.clip_windows(e, ["r"], "t", "e", "v", "i")
+    return found.select("r", F.round("w_start", 6).alias("w_start"), F.round("w_end", 6).alias("w_end"), "w_score", "n_events")
 
 
-@query()
+@query(f"""with recursive {EV}, o as (select r, i, v, row_number() over (partition by r order by v desc, i) n from ev),
+x as (select r, n, i, 0 bin, v used from o where n = 1 union all
+      select o.r, o.n, o.i, case when x.used > 0 and x.used + o.v > 50 then x.bin + 1 else x.bin end, case when x.used > 0 and x.used + o.v > 50 then o.v else x.used + o.v end from x join o on o.r = x.r and o.n = x.n + 1)
+select r, i, bin::int bin from x""")
 def pack_next_fit(spark, d):
     return moments.pack_next_fit(events(spark, d), ["r"], "i", "v", "v")
 
 
-@query()
+@query(f"""with recursive {EV}, o as (select r, i, t s, t + 7200 + v * 60 e, row_number() over (partition by r order by v desc, i) n from ev),
+x as (select r, n, i, true keeps, [{{'s': s, 'e': e}}] kept from o where n = 1 union all
+      select r, n, i, keeps, case when keeps then list_append(kept, {{'s': s, 'e': e}}) else kept end from (
+        select o.r, o.n, o.i, o.s, o.e, x.kept, len(list_filter(x.kept, lambda k: least(o.e, k.e) - greatest(o.s, k.s) > 0.5 * least(o.e - o.s, k.e - k.s))) = 0 keeps from x join o on o.r = x.r and o.n = x.n + 1))
+select r, i from x where keeps""")
 def dedupe_nms(spark, d):
     return moments.suppress(events(spark, d).withColumn("w", F.col("e") + 7200), ["r"], "i", "t", "w", "v")
 
 
-@query()
+@query(f"""with recursive {EV}, a as (select r, floor(t / 86400)::bigint k, y, max(v) v from ev group by all),
+f as (select r, k, arg_min(y, (-v, y)) best, max(v) most, row_number() over (partition by r order by k) n from a group by r, k),
+x as (select r, n, k, best "now" from f where n = 1 union all
+      select f.r, f.n, f.k, case when h.v is null or h.v < 0.5 * f.most then f.best else x."now" end from x join f on f.r = x.r and f.n = x.n + 1 left join a h on h.r = f.r and h.k = f.k and h.y = x."now")
+select r, k, "now" y from x""")
 def hysteresis_focus(spark, d):
     e = events(spark, d).withColumn("k", F.floor(F.col("t") / DAY))
     return moments.focus(e.groupBy("r", "k", "y").agg(F.max("v").alias("v")), ["r"], "k", "y", "v")
 
 
-@query()
+@query(f"""with recursive {EV}, o as (select r, i, t / 3600 h, v x, row_number() over (partition by r order by t, i) n, count(*) over (partition by r) m from ev),
+f as (select r, n, i, h, m, x from o where n = 1 union all select o.r, o.n, o.i, o.h, o.m, f.x + (1 - pow(2.718281828459045::double, -abs(o.h - f.h) / 24)) * (o.x - f.x) from f join o on o.r = f.r and o.n = f.n + 1),
+b as (select r, n, i, h, x from f where n = m union all select f.r, f.n, f.i, f.h, b.x + (1 - pow(2.718281828459045::double, -abs(f.h - b.h) / 24)) * (f.x - b.x) from b join f on f.r = b.r and f.n = b.n - 1),
+l as (select r, n, i, h, x from b where n = 1 union all select b.r, b.n, b.i, b.h, l.x + least(0.6 * (b.h - l.h), greatest(-0.6 * (b.h - l.h), b.x - l.x)) from l join b on b.r = l.r and b.n = l.n + 1)
+select r, i, round(x, 6) smooth from l""")
 def ema_rate_limit(spark, d):
     e = events(spark, d).withColumn("h", F.col("t") / HOUR)
     return moments.smooth_limited(e, ["r"], "h", "i", "v", tau=24.0, rate=0.6).withColumn("smooth", F.round("smooth", 6))
@@ -657,18 +681,32 @@ def themed_moments(spark, d):
     return found.select("day", "theme", F.round("utc_start", 6).alias("utc_start"), F.round("utc_end", 6).alias("utc_end"), F.round("score", 6).alias("score"), F.get("ordinals", F.lit(0)).alias("first"))
 
 
+_KEPT = ORACLES["themed_moments"].split('select "day", theme, round(')[0].replace("with ", "with recursive ", 1).rstrip() + """,
+th as (select "day", theme, greatest(s - 1, e + 0.5 - 7) a, bs + 3 b, score, x id, (e + 0.5 - greatest(s - 1, e + 0.5 - 7)) + ((bs + 3) - (bs - 0.3)) secs from u
+       union all select "day", theme, case when theme = 'own_off_track' then lo else greatest(lo, hi - 7) end, hi, score * case theme when 'catching_up' then e - s when 'own_off_track' then 4 else 1 end, ordinal, hi - case when theme = 'own_off_track' then lo else greatest(lo, hi - 7) end from g),
+od as (select *, row_number() over (partition by "day" order by case theme when 'action' then 99 else list_position(['overtake', 'overtaken', 'catching_up', 'duel', 'own_off_track'], theme) end, score desc, id) n from th),
+xs as (select "day", n, id, true keeps, [{'t': theme, 's': a, 'e': b}] kept from od where n = 1 union all
+       select "day", n, id, keeps, case when keeps then list_append(kept, {'t': theme, 's': a, 'e': b}) else kept end from (
+         select o."day", o.n, o.id, o.theme, o.a, o.b, x.kept, len(list_filter(x.kept, lambda k: (k.t = o.theme or o.theme = 'action') and least(o.b, k.e) - greatest(o.a, k.s) > 0.5 * least(o.b - o.a, k.e - k.s))) = 0 keeps from xs x join od o on o."day" = x."day" and o.n = x.n + 1)),
+km as (select od.* from od join xs on od."day" = xs."day" and od.n = xs.n where keeps)"""
+
+
 def _deduped(spark, d):
     m = detect.themed_moments(_cameras(spark, d)).withColumn("id", F.get("ordinals", F.lit(0)))
     kept = moments.suppress(m, ["day"], "id", "utc_start", "utc_end", "score", theme="theme", ranks=detect.THEMES)
     return m.join(kept, ["day", "id"], "left_semi")
 
 
-@query()
+@query(_KEPT + ' select "day", theme, id, round(score, 6) score from km')
 def dedupe_themes(spark, d):
-    return _deduped(spark, d).select("day", "theme", "id", "score")
+    return _deduped(spark, d).select("day", "theme", "id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_KEPT + """, ml as (select "day", 'action' series, id, secs, a, row_number() over (partition by "day" order by score desc, id) n from km
+union all select "day", theme, id, secs, a, row_number() over (partition by "day", theme order by a, id) from km where theme <> 'action' qualify count(*) over (partition by "day", theme) >= case theme when 'own_off_track' then 1 else 2 end),
+pk as (select "day", series, n, id, a, 0 bin, secs used from ml where n = 1 union all
+       select m."day", m.series, m.n, m.id, m.a, case when p.used > 0 and p.used + m.secs > 50 then p.bin + 1 else p.bin end, case when p.used > 0 and p.used + m.secs > 50 then m.secs else p.used + m.secs end from pk p join ml m on m."day" = p."day" and m.series = p.series and m.n = p.n + 1)
+select "day", series, bin::int bin, id, row_number() over (partition by "day", series, bin order by a, id)::int place from pk""")
 def plan_shorts(spark, d):
     """Deduped moments of a user's day as series of shorts."""
     m = _deduped(spark, d).withColumn("seconds", F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["t_end"] - x["t_start"]))
