@@ -51,9 +51,7 @@ CHUNK = 1 << 15
 #: The margin of a text without words, and the least and most that a string can have.
 FLOOR, CLIP = -1.0, 1.5
 #: Words that a Python worker remembers before it starts afresh.
-CACHE_WORDS = 300_000
-#: Words that are longer are remembered for one batch only.
-REMEMBERED_LETTERS = 64
+CACHE_WORDS = 500_000
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?!\S)")
 _PARTS = re.compile(r"[^\W\d_]+")
 _INSERTS = "xzqe"
@@ -346,34 +344,47 @@ def calibrate(model: Model, tops: np.ndarray, labels: np.ndarray) -> Model:
     return replace(model, first=tuple(map(float, _curve(tops[:, :1], labels))), curve=tuple(map(float, _curve(tops, labels))))
 
 
-class _Margins(dict):
-    """A word's largest margin, worked out when first asked for; ``learn`` does many at once."""
+class _Margins:
+    """Words' largest margins, remembered by the words' 64-bit hashes: sixteen bytes a word, whatever its length."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.long = model, []
-
-    def learn(self, words: set[str]) -> None:
-        for w in self.long:
-            self.pop(w, None)
-        self.long = [w for w in words if len(w) > REMEMBERED_LETTERS]
-        new = {w for w in words if w not in self}
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = words
-        read = {w: strings_of(w) for w in new}
-        strings = list({s for several in read.values() for s in several})
+        self.model, self.keys, self.values = model, np.zeros(0, np.int64), np.zeros(0)
+
+    def of(self, words: set[str]) -> dict[str, float]:
+        """The margins of ``words``. New ones are worked out together; when there are too many, all that was known before is forgotten."""
+        listed = list(words)
+        hashes = np.fromiter(map(hash, listed), np.int64, len(listed))
+        at = np.searchsorted(self.keys, hashes)
+        known = np.zeros(len(listed), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == hashes[inside]
+        found = np.empty(len(listed))
+        found[known] = self.values[at[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            found[new] = self._learned([listed[i] for i in new])
+            if len(self.keys) + len(new) > CACHE_WORDS:
+                self.keys, self.values = self.keys[:0], self.values[:0]
+            fresh, first = np.unique(hashes[new], return_index=True)
+            place = np.searchsorted(self.keys, fresh)
+            self.keys, self.values = np.insert(self.keys, place, fresh), np.insert(self.values, place, found[new][first])
+        return dict(zip(listed, found.tolist()))
+
+    def _learned(self, words: list[str]) -> list[float]:
+        read = [strings_of(w) for w in words]
+        strings = list({s for several in read for s in several})
         margin = dict(zip(strings, self.model.margins(strings).tolist()))
-        self.update((w, max(map(margin.__getitem__, several), default=FLOOR)) for w, several in read.items())
+        return [max(map(margin.__getitem__, several), default=FLOOR) for several in read]
 
-    def tops(self, words: set[str]) -> list[float]:
-        """The TOP largest margins among different strings; a word is one string however it is written or followed."""
-        out: dict[str, float] = {}
-        for w in heapq.nlargest(8 * TOP, words, key=self.__getitem__):
-            out.setdefault("".join(_PARTS.findall(w.lower())), self[w])
-            if len(out) == TOP:
-                break
-        return [*out.values(), *[FLOOR] * (TOP - len(out))]
+
+def tops_of(words: set[str], margins: dict[str, float]) -> list[float]:
+    """The TOP largest margins among different strings; a word is one string however it is written or followed."""
+    out: dict[str, float] = {}
+    for w in heapq.nlargest(8 * TOP, words, key=margins.__getitem__):
+        out.setdefault("".join(_PARTS.findall(w.lower())), margins[w])
+        if len(out) == TOP:
+            break
+    return [*out.values(), *[FLOOR] * (TOP - len(out))]
 
 
 #: Of this worker: the model it has last worked with, and the words' margins.
@@ -399,12 +410,11 @@ def with_tops(docs: DataFrame, model: Model, text: str = "text", to: str = "tops
             out: list[float] = []
             for at in range(0, b.num_rows, 256):
                 sets = [words_in(t.as_py()) for t in b.column(text).slice(at, 256)]
-                known.learn(set().union(*sets))
+                margins = known.of(set().union(*sets))
                 for s in sets:
-                    out += known.tops(s)
+                    out += tops_of(s, margins)
             lists = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * TOP, np.array(out, float))
             yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, to])
-        _own.clear()  # the worker lives on, and what comes next needs its memory
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return kept.mapInArrow(run, f"{types}, `{to}` array<double>")
