@@ -33,7 +33,10 @@ STRETCH = 512
 
 _SKIP = ("script", "style", "noscript", "template", "svg", "title", "iframe", "object")
 _SKIPPED = re.compile(r"(%s)\b" % "|".join(_SKIP), re.I)
+_SKIP_LETTERS = frozenset(c for t in _SKIP for c in (t[0], t[0].upper()))
 _SKIP_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _SKIP}
+#: A whole tag with nothing odd in it: no < before its end. It gives up at the next <, so looking for one takes no time to speak of.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<]*+)(?=[\s/>])((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+)>""")
 _NAME_ENDS, _TAG_ENDS = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+|\d+", re.I)
@@ -50,7 +53,7 @@ PARSED_CHARS = 1 << 22
 _BLOCKS_IN_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
     text: str
     path: tuple[int, ...]
@@ -59,7 +62,7 @@ class Block:
     around: frozenset[str]
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     """An open element, with what it and those around it say of a block's path; inline ones add nothing."""
 
@@ -105,6 +108,11 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
     dead: set[int] = set()  # quotes that lead to no end
     at = page.find("<")
     while at >= 0:
+        plain = _PLAIN.match(page, at)
+        if plain and (plain[1] or plain[2][0] not in _SKIP_LETTERS or not _SKIPPED.match(plain[2])):
+            yield at, plain.end(), plain[2].lower(), plain[1] == "/", plain[3]
+            at = page.find("<", plain.end())
+            continue
         stop, name, closes, attributes = -1, "", False, ""
         if page.startswith("<!--", at):
             stop = page.find("-->", at + 4) + 3
