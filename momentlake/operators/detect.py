@@ -24,7 +24,7 @@ CRASH_JOLT, CRASH_SPEED, CRASH_STOPPED, CRASH_COOLDOWN_S = 3.0, 30.0, 8.0, 15.0
 CRASH_SAMPLES, CRASH_BEFORE_S, CRASH_AFTER_S = 3, 4.0, (3.0, 10.0)
 THEMES = ("overtake", "overtaken", "catching_up", "duel", "kneepuck", "crash", "crash_other", "off_track", "own_off_track")
 MIN_CATCH_UP_S, MAX_SEGMENT_S = 1.5, 7.0
-MOUNTED_OVERLAP = 0.2
+MOUNTED_OVERLAP, MOUNTED_SHARE, RIDER_HEIGHT = 0.2, 0.3, 0.03
 BY = ("recording_id", "track_id")
 
 
@@ -109,16 +109,30 @@ def kerbs(samples: DataFrame) -> DataFrame:
 
 
 def mounted(points: DataFrame) -> DataFrame:
-    """Shares of a bike track's frames in which a person sits on it."""
+    """Bike tracks with the ``share`` of their frames in which a person sits on them, and those frames' number ``n``.
+
+    A person sits on a bike if the middle of its box is above the bike's, its top in the bike's upper half or higher, and enough of it lies on the bike's.
+    """
     at = F.bround("t", 3)
-    bikes = points.where(F.col("cls") == MOTORCYCLE).select("recording_id", at.alias("f"), "track_id", F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("y1").alias("b1"))
-    people = points.where(F.col("cls") == PERSON).select("recording_id", at.alias("f"), F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("y2").alias("q2"))
-    on = (F.least("a2", "p2") - F.greatest("a1", "p1") >= MOUNTED_OVERLAP * (F.col("p2") - F.col("p1"))) & (F.col("q2") >= F.col("b1"))
-    pairs = bikes.join(people, ["recording_id", "f"], "left")
-    frames = pairs.groupBy("recording_id", "track_id", "f").agg(F.coalesce(F.bool_or(on), F.lit(False)).alias("on"))
+    bikes = points.where(F.col("cls") == MOTORCYCLE).select("recording_id", at.alias("f"), "track_id", F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("y1").alias("b1"), F.col("y2").alias("b2"))
+    people = points.where(F.col("cls") == PERSON).select("recording_id", at.alias("f"), F.col("x1").alias("p1"), F.col("x2").alias("p2"), F.col("y1").alias("q1"), F.col("y2").alias("q2"))
+    wide, high = F.least("a2", "p2") - F.greatest("a1", "p1"), F.least("b2", "q2") - F.greatest("b1", "q1")
+    own = F.greatest(F.greatest(F.col("p2") - F.col("p1"), F.lit(0.0)) * F.greatest(F.col("q2") - F.col("q1"), F.lit(0.0)), F.lit(1e-9))
+    over = ((F.col("p1") + F.col("p2")) / 2).between(F.col("a1"), F.col("a2")) & (F.col("q1") <= (F.col("b1") + F.greatest("b1", "b2")) / 2)
+    on = over & (wide > 0) & (high > 0) & (wide * high >= MOUNTED_OVERLAP * own)
+    frames = bikes.join(people, ["recording_id", "f"], "left").groupBy("recording_id", "track_id", "f", "a1", "a2", "b1", "b2").agg(F.coalesce(F.bool_or(on), F.lit(False)).alias("on"))
     return frames.groupBy("recording_id", "track_id").agg(F.avg(F.col("on").cast("double")).alias("share"), F.count("*").alias("n"))
 
 
+def nearest_rider(points: DataFrame) -> DataFrame:
+    """``recording_id``, ``second``, ``height``, ``riders``: in each second the height of the nearest other rider, and the most of them in one frame. Riders are bikes with a person on, and not the camera's own."""
+    riders = mounted(points).where(F.col("share") >= MOUNTED_SHARE).select(*BY)
+    seen = points.where((F.col("cls") == MOTORCYCLE) & (height() >= RIDER_HEIGHT)).join(riders, list(BY), "left_semi").join(ego_tracks(points), list(BY), "left_anti")
+    second = F.floor("t").alias("second")
+    frames = seen.groupBy("recording_id", second, F.bround("t", 3).alias("_f")).agg(F.max(height()).alias("_h"), F.countDistinct("track_id").alias("_n"))
+    return frames.groupBy("recording_id", "second").agg(F.max("_h").alias("height"), F.max("_n").alias("riders"))
+
+
 def passes(points: DataFrame) -> DataFrame:
     """Pairs of bikes in view together that change places by height: ``a`` < ``b``, ``t_start``, ``t_end``. The order must hold for some frames on each side of the swap."""
     bikes = points.where(F.col("cls") == MOTORCYCLE).select("recording_id", F.bround("t", 3).alias("t"), "track_id", height().alias("h"))

@@ -822,3 +822,4 @@ def flagship_top_moments(spark, d):
 
 from . import day as _day  # noqa: E402, F401  their queries register themselves
 from . import moments_day as _moments_day  # noqa: E402, F401
+from . import shorts_day as _shorts_day  # noqa: E402, F401
