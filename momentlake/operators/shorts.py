@@ -149,9 +149,11 @@ def shown_files(files: DataFrame, by: Sequence[str], kind: str = "kind", path: s
 
 
 def events_json(events: DataFrame, clips: DataFrame | None = None, recording_id: str = "recording_id") -> DataFrame:
-    """``recording_id``, ``json``: a recording's events, times to the millisecond and scores to four places, and its clips. ``clips``: recording_id, ``clip`` (a struct), ``t_start``."""
-    event = F.struct("type", F.round("t_start", 3).alias("t_start"), F.round("t_end", 3).alias("t_end"), F.round("score", 4).alias("score"), F.col(recording_id).alias("recording_id"), "track_id", "extra")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("t_start", "t_end", "type", "track_id", event.alias("e")))), lambda x: x["e"])
+    """``recording_id``, ``json``: a recording's events (``extra``: a map) in order of time, times to the millisecond and scores to four places, and its clips. ``clips``: recording_id, ``clip`` (a struct), ``t_start``."""
+    # Maps have no order, lists of their entries have.
+    row = F.struct("t_start", "t_end", "type", "track_id", "score", F.array_sort(F.map_entries("extra")).alias("x"))
+    told_as = lambda e: F.struct(e["type"].alias("type"), F.round(e["t_start"], 3).alias("t_start"), F.round(e["t_end"], 3).alias("t_end"), F.round(e["score"], 4).alias("score"), F.col(recording_id).alias("recording_id"), e["track_id"].alias("track_id"), F.map_from_entries(e["x"]).alias("extra"))
+    listed = F.transform(F.array_sort(F.collect_list(row)), told_as)
     told = events.groupBy(recording_id).agg(listed.alias("events"))
     if clips is None:
         return told.select(recording_id, F.to_json(F.struct("events", F.array().cast("array<string>").alias("clips"))).alias("json"))
