@@ -287,7 +287,17 @@ def edge_passes(spark, d):
     return linking.edge_passes(framed, ["r"], "f", "t", "row", "angle", "run", "last", fps=0.05, gap=96.0, rise_s=120.0, same=12.0)
 
 
-@query()
+@query(f"""with recursive {_LYING}, w as (select *, offtrack >= 0.5 f, coalesce(max((offtrack < 0.2)::int) over (partition by recording_id, track_id order by t rows between unbounded preceding and 1 preceding) = 1, false) was from bi),
+nn as (select *, row_number() over (partition by recording_id, track_id order by t) - row_number() over (partition by recording_id, track_id, f and was order by t) g from w),
+sp as (select recording_id, track_id, min(t) s, max(t) e from nn where f and was group by recording_id, track_id, g having count(*) >= 3),
+a as (select *, (x2 - x1) / greatest(y2 - y1, 1) a, y2 - y1 h from bi),
+fr as (select *, list(a) over b la, list(h) over b lh, list(a) over f fa, list(h) over f fh from a window b as (partition by recording_id, track_id order by n rows between 5 preceding and 1 preceding), f as (partition by recording_id, track_id order by n rows between current row and 7 following)),
+hi as (select recording_id, track_id, t, row_number() over (partition by recording_id, track_id order by t) k from fr where n > 5 and n + 8 <= many and list_min(fa) >= 1.5 * list_median(la) and list_median(fa) >= 1.8 * list_median(la) and list_median(fh) <= 0.65 * list_median(lh)),
+x as (select recording_id, track_id, k, t, t la, true keeps from hi where k = 1 union all select h.recording_id, h.track_id, h.k, h.t, case when h.t - x.la > 5 then h.t else x.la end, h.t - x.la > 5 from x join hi h on h.recording_id = x.recording_id and h.track_id = x.track_id and h.k = x.k + 1),
+ri as (select distinct x.recording_id, x.track_id, x.t from x join sp on sp.recording_id = x.recording_id and sp.track_id <= x.track_id and x.t between s - 2 and e + 2 where keeps)
+select recording_id, track_id, 'rider_down' "type", round(t - 1, 6) t_start, round(t + 1, 6) t_end, 1.5::double score, 'bike_down' why from ri
+union all select recording_id, track_id, 'off_track', round(s, 6), round(e, 6), 1.0::double, null from sp where not exists (select 1 from ri where ri.recording_id = sp.recording_id and s between t - 3 and t + 3)""")
 def incident_events(spark, d):
     """Riders down and bikes off the track, of shapes that lie every other fortnight."""
-    return incidents.incidents(_lying(spark, d))
+    found = incidents.incidents(_lying(spark, d))
+    return found.select("recording_id", "track_id", "type", F.round("t_start", 6).alias("t_start"), F.round("t_end", 6).alias("t_end"), "score", "why")
