@@ -31,16 +31,37 @@ def _met(parts: DataFrame, samples: DataFrame, pad: float, width: float, *column
     return in_range(parts, s, ["recording_id"], F.col("t_start") - pad, F.col("t_end") + pad, F.col("_t"), width)
 
 
+def _in_order(order: Column, value: Column) -> Column:
+    """A group's known values of ``value`` as an array in the order of ``order``.
+
+    Sums of doubles depend on their order, and a shuffle hands rows on in any: shares that are compared with a limit, or rounded to a text, are summed in one order, or
+    a mean that lies on the limit falls now on this side, now on that. A group is the samples of one piece, or the pieces of one moment.
+    """
+    one = F.struct(order.alias("o"), value.cast("double").alias("v"))
+    return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), one))), lambda x: x["v"])
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def _mean_in_time(value: Column) -> Column:
+    """The mean of ``value`` over a group of ``_met``, summed in order of time; null without any."""
+    values = _in_order(F.col("_t"), value)
+    return F.try_divide(_total(values), F.size(values).cast("double"))
+
+
 def _by_seconds(each: DataFrame, moment_id: str, name: str) -> DataFrame:
-    """Means of pieces (``m``) weighted by their seconds."""
+    """Means of pieces (``m``) weighted by their seconds, summed in order of the pieces."""
     seconds = F.col("t_end") - F.col("t_start")
     known = each.where(F.col("m").isNotNull())
-    return known.groupBy(moment_id).agg(F.try_divide(F.sum(F.col("m") * seconds), F.sum(seconds)).alias(name))
+    held = known.groupBy(moment_id).agg(_in_order(F.col("piece"), F.col("m") * seconds).alias("_ms"), _in_order(F.col("piece"), seconds).alias("_s"))
+    return held.select(moment_id, F.try_divide(_total(F.col("_ms")), _total(F.col("_s"))).alias(name))
 
 
 def piece_share(parts: DataFrame, samples: DataFrame, moment_id: str, value: str, name: str, pad: float = 0.0, width: float = 60.0) -> DataFrame:
     """``moment_id``, ``name``: the means of a series over the pieces, weighted by the pieces' seconds."""
-    each = _met(parts, samples, pad, width, value).groupBy(moment_id, "piece", "t_start", "t_end").agg(F.avg(F.col(value).cast("double")).alias("m"))
+    each = _met(parts, samples, pad, width, value).groupBy(moment_id, "piece", "t_start", "t_end").agg(_mean_in_time(F.col(value)).alias("m"))
     return _by_seconds(each, moment_id, name)
 
 
@@ -55,7 +76,7 @@ def action(parts: DataFrame, seconds: DataFrame, moment_id: str, width: float =
     ``action_density`` (by the pieces' seconds), ``red_lamp``, ``rider_share``, ``group_share``, ``closing`` (slope of the nearest one's height, from three on)."""
     met = _met(parts, seconds, ACTION_PAD_S, width, "riders", "kerb", "height", "lamp")
     value = action_value(F.col("riders"), F.col("kerb"), F.coalesce("height", F.lit(0.0)))
-    density = _by_seconds(met.groupBy(moment_id, "piece", "t_start", "t_end").agg(F.avg(value).alias("m")), moment_id, "action_density")
+    density = _by_seconds(met.groupBy(moment_id, "piece", "t_start", "t_end").agg(_mean_in_time(value).alias("m")), moment_id, "action_density")
     near = F.col("height") > 0
     slope = F.when((F.count_if(near) >= 3) & (F.max(F.when(near, F.col("_t"))) > F.min(F.when(near, F.col("_t")))), F.regr_slope(F.when(near, F.col("height")), F.when(near, F.col("_t"))))
     share = lambda c: F.avg(c.cast("double"))

@@ -1,6 +1,9 @@
 """Moments' features and the day's tests, by hand."""
 
 import json
+from functools import reduce
+from itertools import permutations
+from operator import add
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +115,14 @@ def test_bridges_and_unplaced_clocks(spark):
     log = spark.createDataFrame([(1_700_007_200.0, 50.0), (1_700_000_000.0, 3.0)], "utc double, kmh double")
     assert {r["id"]: r["unplaced"] for r in features.unplaced_pace(m, guesses, log, "id").collect()} == {1: "slow", 2: "slow", 3: "slow", 4: "stopped"}
     assert features.run_up(m.withColumn("theme", F.lit("own_off_track"))).where("id = 3").collect()[0]["segments"][0][1:] == (299.0, 305.0)
+
+
+def test_means_are_summed_in_time(spark):
+    """Shares on the limit (0.4) don't hang on the order in which rows come: doubles are added in order of time."""
+    values = [x / 11 for x in (5, 5, 5, 1, 6)]
+    added = lambda vs: reduce(add, vs, 0.0) / 5
+    assert added(values) < 0.4 <= added(values[::-1])
+    orders = list(enumerate(permutations(range(5))))
+    moments = spark.createDataFrame([(n, 0, str(n), 0.0, 60.0) for n, _ in orders], "i int, piece int, recording_id string, t_start double, t_end double")
+    samples = spark.createDataFrame([(str(n), float(t), values[t]) for n, order in orders for t in order], "recording_id string, t double, share double")
+    assert {r["s"] for r in features.piece_share(moments, samples, "i", "share", "s").collect()} == {added(values)}
