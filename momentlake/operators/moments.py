@@ -1,19 +1,23 @@
 """Order-dependent choices: windows around peaks, packing, suppression, hysteresis, smoothing with limits.
 
-Each next step depends on the last, so a group (a recording, or a day) is handled by one ordered pandas pass; groups are
+Each next step depends on the last, so a group (a recording, or a day) is handled by one ordered pass; groups are
 dealt out by Spark and are independent of each other.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from itertools import groupby
+from math import isnan, nan
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import nan_last, per_rows
+
 PAD_S, MAX_LEN_S, MAX_CLIPS, MERGE_GAP_S, LONGEST_S = 10.0, 24.0, 12, 8.0, 40.0
 PACK_S = 50.0
 MAX_OVERLAP = 0.5
@@ -74,54 +78,79 @@ def clip_windows(events: DataFrame, by: Sequence[str], start: str, end: str, sco
     return per_group(events, by, "w_start double, w_end double, w_score double, n_events long", step)
 
 
-def pack_next_fit(moments: DataFrame, by: Sequence[str], moment_id: str, seconds: str, score: str, limit: float = PACK_S, best_first: bool = True) -> DataFrame:
-    """``moment_id`` and ``bin``: best first (or least first) into the open bin, a new one when it is full. A moment over the limit has a bin of its own."""
+def _numbers(values: Iterable) -> list:
+    return [nan if v is None else v for v in values]
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([score, moment_id], ascending=[not best_first, True], kind="stable")
-        bins, k, used = [], 0, 0.0
-        for s in g[seconds]:
-            if used > 0 and used + s > limit:
-                k, used = k + 1, 0.0
-            used += s
-            bins.append(k)
-        return pd.DataFrame({moment_id: g[moment_id].to_numpy(), "bin": bins})
 
-    return per_group(moments, by, f"`{moment_id}` {moments.schema[moment_id].dataType.simpleString()}, bin int", step)
+def _bins(seconds: Iterable[float], limit: float) -> list[int]:
+    bins, k, used = [], 0, 0.0
+    for s in seconds:
+        if used > 0 and used + s > limit:
+            k, used = k + 1, 0.0
+        used += s
+        bins.append(k)
+    return bins
+
+
+def pack_next_fit(moments: DataFrame, by: Sequence[str], moment_id: str, seconds: str, score: str, limit: float = PACK_S, best_first: bool = True) -> DataFrame:
+    """``moment_id`` and ``bin``: best first (or least first) into the open bin, a new one when it is full. A moment over the limit has a bin of its own."""
+    rows = moments.select(*by, moment_id, F.col(seconds).alias("_s"), F.col(score).alias("_v"))
+    order = [nan_last(rows, "_v", best_first), F.col(moment_id).asc_nulls_last()]
+    return per_rows(rows, by, order, [moment_id, "_s", "_v"], {moment_id: moment_id, "bin": "int"}, lambda ids, s, _: (ids, _bins(_numbers(s), limit)))
 
 
 def plan_shorts(moments: DataFrame, by: Sequence[str], moment_id: str, theme: str, start: str, seconds: str, score: str, limit: float = PACK_S, most_action: int = 0) -> DataFrame:
     """Which moments each short shows: by, ``series``, ``bin``, ``moment_id``, ``place`` (by time).
 
     The series ``action`` has all moments, best first, in ``most_action`` shorts at most (0: in all). Each theme with enough moments has a series in order of time.
+    All series of a group are packed in one pass over its moments.
     """
-    mixed = pack_next_fit(moments, by, moment_id, seconds, score, limit).withColumn("series", F.lit("action"))
-    mixed = mixed.where(F.col("bin") < most_action) if most_action > 0 else mixed
-    enough = F.lit(LEAST_MOMENTS)
-    for name, n in LEAST_BY_THEME.items():
-        enough = F.when(F.col(theme) == name, n).otherwise(enough)
-    themed = moments.where(F.col(theme) != "action").withColumn("_n", F.count("*").over(Window.partitionBy(*by, theme))).where(F.col("_n") >= enough)
-    own = pack_next_fit(themed, [*by, theme], moment_id, seconds, start, limit, best_first=False).withColumn("series", F.col(theme))
-    planned = mixed.select(*by, "series", "bin", moment_id).unionByName(own.select(*by, "series", "bin", moment_id))
-    timed = planned.join(moments.select(*by, moment_id, F.col(start).alias("_start")), [*by, moment_id])
-    place = F.row_number().over(Window.partitionBy(*by, "series", "bin").orderBy("_start", moment_id))
-    return timed.select(*by, "series", "bin", moment_id, place.alias("place"))
-
-
-def suppress(moments: DataFrame, by: Sequence[str], moment_id: str, start: str, end: str, score: str, most: float = MAX_OVERLAP, theme: str | None = None, ranks: Sequence[str] = ()) -> DataFrame:
-    """``moment_id`` of the rows that stay: best first, a row goes if more than ``most`` of the shorter of it and a kept one is shared.
+    rows = moments.select(*by, moment_id, F.col(theme).alias("_theme"), F.col(start).alias("_start"), F.col(seconds).alias("_seconds"), F.col(score).alias("_score"))
+
+    def step(ids, themes, starts, lengths, _scores):
+        starts, lengths = _numbers(starts), _numbers(lengths)
+        in_time = sorted(range(len(ids)), key=lambda k: (isnan(starts[k]), 0.0 if isnan(starts[k]) else starts[k], ids[k]))
+        at = {k: n for n, k in enumerate(in_time)}
+        series = [("action", list(range(len(ids))))]
+        own: dict[str, list[int]] = {}
+        for k in in_time:
+            if themes[k] is not None and themes[k] != "action":
+                own.setdefault(themes[k], []).append(k)
+        series += [(t, ks) for t, ks in own.items() if len(ks) >= LEAST_BY_THEME.get(t, LEAST_MOMENTS)]
+        out = []
+        for name, ks in series:
+            shorts: dict[int, list[int]] = {}
+            for k, short in zip(ks, _bins((lengths[k] for k in ks), limit)):
+                shorts.setdefault(short, []).append(k)
+            for short, shown in shorts.items():
+                if name != "action" or most_action <= 0 or short < most_action:
+                    out += [(name, short, ids[k], place) for place, k in enumerate(sorted(shown, key=at.get), 1)]
+        return list(zip(*out)) or [()] * 4
+
+    order = [nan_last(rows, "_score", True), F.col(moment_id).asc_nulls_last()]
+    return per_rows(rows, by, order, [moment_id, "_theme", "_start", "_seconds", "_score"], {"series": "string", "bin": "int", moment_id: moment_id, "place": "int"}, step)
+
+
+def suppress(moments: DataFrame, by: Sequence[str], moment_id: str, start: str, end: str, score: str, most: float = MAX_OVERLAP, theme: str | None = None, ranks: Sequence[str] = (), carried: Sequence[str] = ()) -> DataFrame:
+    """``moment_id`` (and the columns ``carried``) of the rows that stay: best first, a row goes if more than ``most`` of the shorter of it and a kept one is shared.
 
     With ``theme`` the order is that of ``ranks`` first, ``action`` last of all; a row only goes for one of its own theme, but ``action`` for any.
     """
-
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        place = {t: i for i, t in enumerate(ranks)}
-        late = g[theme].map(lambda t: (t == "action", place.get(t, len(place)))) if theme else pd.Series([(False, 0)] * len(g), index=g.index)
-        g = g.assign(_late=late).sort_values(["_late", score, moment_id], ascending=[True, False, True], kind="stable")
+    late = F.lit(0)
+    if theme:
+        late = F.when(F.col(theme) == "action", len(ranks) + 1)
+        for i, t in enumerate(ranks):
+            late = late.when(F.col(theme) == t, i)
+        late = late.otherwise(len(ranks))
+    rows = moments.select(
+        *by, moment_id, F.col(start).cast("double").alias("_from"), F.col(end).cast("double").alias("_to"), (F.col(theme) if theme else F.lit(None).cast("string")).alias("_theme"), F.col(score).alias("_by"), late.alias("_late"), *(F.col(c).alias(f"_c_{c}") for c in carried)
+    )
+
+    def step(ids, starts, ends, themes, _scores, _late, *more):
         kept: dict[object, list[tuple[float, float]]] = {}
         longest: dict[object, float] = {}
-        ids = []
-        for i, s, e, t in zip(g[moment_id], g[start], g[end], g[theme] if theme else [None] * len(g)):
+        stay = []
+        for n, (s, e, t) in enumerate(zip(_numbers(starts), _numbers(ends), themes)):
             clash = False
             for other in kept if theme and t == "action" else [t] if t in kept else []:
                 spans = kept[other]  # in order of start: only those near enough to be shared are looked at
@@ -130,35 +159,38 @@ def suppress(moments: DataFrame, by: Sequence[str], moment_id: str, start: str,
             if not clash:
                 insort(kept.setdefault(t, []), (s, e))
                 longest[t] = max(longest.get(t, 0.0), e - s)
-                ids.append(i)
-        return pd.DataFrame({moment_id: pd.Series(ids, dtype=g[moment_id].dtype)})
+                stay.append(n)
+        return [[c[n] for n in stay] for c in (ids, *more)]
 
-    return per_group(moments, by, f"`{moment_id}` {moments.schema[moment_id].dataType.simpleString()}", step)
+    order = [F.col("_late"), nan_last(rows, "_by", True), F.col(moment_id).asc_nulls_last()]
+    held = [f"_c_{c}" for c in carried]
+    out = per_rows(rows, by, order, [moment_id, "_from", "_to", "_theme", "_by", "_late", *held], {moment_id: moment_id} | {c: c for c in held}, step)
+    return out.withColumnsRenamed(dict(zip(held, carried)))
 
 
 def focus(candidates: DataFrame, by: Sequence[str], t: str, subject: str, area: str, ratio: float = SWITCH_RATIO) -> DataFrame:
     """For each time the subject to follow: the last one while its area is at least ``ratio`` of the largest, else the largest."""
+    rows = candidates.select(*by, t, subject, F.col(area).alias("_area")).where(F.col(t).isNotNull())
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        rows, now = [], None
-        for at, frame in g.sort_values([t, area, subject], ascending=[True, False, True], kind="stable").groupby(t, sort=True):
-            top, top_area = frame[subject].iloc[0], frame[area].iloc[0]
-            held = frame.loc[frame[subject] == now, area]
-            if now is None or held.empty or held.iloc[0] < ratio * top_area:
-                now = top
-            rows.append((at, now))
-        return pd.DataFrame(rows, columns=[t, subject])
+    def step(times, subjects, areas):
+        found, now = [], None
+        for at, frame in groupby(zip(times, subjects, _numbers(areas)), key=lambda r: r[0]):
+            frame = list(frame)
+            held = next((a for _, s, a in frame if s == now), None)
+            if now is None or held is None or held < ratio * frame[0][2]:
+                now = frame[0][1]
+            found.append((at, now))
+        return list(zip(*found))
 
-    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (t, subject)}
-    return per_group(candidates, by, f"`{t}` {kinds[t]}, `{subject}` {kinds[subject]}", step)
+    return per_rows(rows, by, [F.col(t), nan_last(rows, "_area", True), F.col(subject).asc_nulls_last()], [t, subject, "_area"], {t: t, subject: subject}, step)
 
 
 def smooth_limited(series: DataFrame, by: Sequence[str], t: str, tie: str, value: str, tau: float = SMOOTH_TAU_S, rate: float = MAX_PAN_PER_S) -> DataFrame:
     """``tie`` and ``smooth``: an exponential mean run forwards and then backwards, its change held to ``rate`` a second."""
+    rows = series.select(*by, F.col(tie), F.col(t).alias("_at"), F.col(value).cast("double").alias("_x"))
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([t, tie], kind="stable")
-        times, x = g[t].to_list(), g[value].astype(float).to_list()
+    def step(ties, times, values):
+        times, x = _numbers(times), _numbers(values)
         for order in (range(1, len(x)), range(len(x) - 2, -1, -1)):
             back = -1 if order.step > 0 else 1
             for i in order:
@@ -167,24 +199,24 @@ def smooth_limited(series: DataFrame, by: Sequence[str], t: str, tie: str, value
         for i in range(1, len(x)):
             most = rate * (times[i] - times[i - 1])
             x[i] = x[i - 1] + min(most, max(-most, x[i] - x[i - 1]))
-        return pd.DataFrame({tie: g[tie].to_numpy(), "smooth": x})
+        return ties, x
 
-    return per_group(series, by, f"`{tie}` {series.schema[tie].dataType.simpleString()}, smooth double", step)
+    return per_rows(rows, by, [nan_last(rows, "_at"), F.col(tie).asc_nulls_last()], [tie, "_at", "_x"], {tie: tie, "smooth": "double"}, step)
 
 
 def cooldown(hits: DataFrame, by: Sequence[str], t: str, tie: str, seconds: float, strict: bool = False) -> DataFrame:
     """The hits that come ``seconds`` or more after the last accepted one of their group, with ``strict`` more than that: ``by`` and ``tie``."""
+    rows = hits.select(*by, F.col(tie), F.col(t).alias("_at"))
 
-    def step(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([t, tie] if t != tie else [t], kind="stable")
-        rows, last = [], None
-        for n, at in enumerate(g[t]):
+    def step(ties, times):
+        kept, last = [], None
+        for n, at in enumerate(_numbers(times)):
             if last is None or (at - last > seconds if strict else at - last >= seconds):
-                rows.append(n)
+                kept.append(ties[n])
                 last = at
-        return g.iloc[rows][[tie]]
+        return (kept,)
 
-    return per_group(hits, by, f"`{tie}` {hits.schema[tie].dataType.simpleString()}", step)
+    return per_rows(rows, by, [nan_last(rows, "_at"), F.col(tie).asc_nulls_last()], [tie, "_at"], {tie: tie}, step)
 
 
 def widen(start: Column, end: Column, duration: Column, least: float = MIN_PIECE_S) -> tuple[Column, Column]:
