@@ -123,9 +123,10 @@ def build(moments: DataFrame, by: Sequence[str], moment_id: str, limit: float =
     """
     seconds = F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["t_end"] - x["t_start"])
     kept = moments.where("drop_reason IS NULL").withColumn("_seconds", seconds)
-    best = suppress(kept.select(*by, moment_id, "utc_start", "utc_end", F.coalesce("score", F.lit(float("-inf"))).alias("score"), "theme"), by, moment_id, "utc_start", "utc_end", "score", theme="theme", ranks=THEMES)
-    shown = kept.join(best, [*by, moment_id], "left_semi")
+    rows = kept.select(*by, moment_id, "utc_start", "utc_end", F.coalesce("score", F.lit(float("-inf"))).alias("score"), "theme", "_seconds")
+    shown = suppress(rows, by, moment_id, "utc_start", "utc_end", "score", theme="theme", ranks=THEMES, carried=["theme", "utc_start", "_seconds", "score"])
     plan = plan_shorts(shown, by, moment_id, "theme", "utc_start", "_seconds", "score", limit, most_action)
+    best = shown.select(*by, moment_id)
     marked = moments.join(best.withColumn("_best", F.lit(True)), [*by, moment_id], "left")
     every = marked.withColumn("drop_reason", F.when(F.col("drop_reason").isNull() & F.col("_best").isNull(), "repeat").otherwise(F.col("drop_reason"))).select(*moments.columns)
     return plan, every

@@ -693,8 +693,7 @@ km as (select od.* from od join xs on od."day" = xs."day" and od.n = xs.n where
 
 def _deduped(spark, d):
     m = detect.themed_moments(_cameras(spark, d)).withColumn("id", F.get("ordinals", F.lit(0)))
-    kept = moments.suppress(m, ["day"], "id", "utc_start", "utc_end", "score", theme="theme", ranks=detect.THEMES)
-    return m.join(kept, ["day", "id"], "left_semi")
+    return moments.suppress(m, ["day"], "id", "utc_start", "utc_end", "score", theme="theme", ranks=detect.THEMES, carried=["theme", "score"])
 
 
 @query(_KEPT + ' select "day", theme, id, round(score, 6) score from km')
@@ -709,8 +708,9 @@ pk as (select "day", series, n, id, a, 0 bin, secs used from ml where n = 1 unio
 select "day", series, bin::int bin, id, row_number() over (partition by "day", series, bin order by a, id)::int place from pk""")
 def plan_shorts(spark, d):
     """Deduped moments of a user's day as series of shorts."""
-    m = _deduped(spark, d).withColumn("seconds", F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["t_end"] - x["t_start"]))
-    return moments.plan_shorts(m, ["day"], "id", "theme", "utc_start", "seconds", "score")
+    m = detect.themed_moments(_cameras(spark, d)).withColumns({"id": F.get("ordinals", F.lit(0)), "seconds": F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["t_end"] - x["t_start"])})
+    kept = moments.suppress(m, ["day"], "id", "utc_start", "utc_end", "score", theme="theme", ranks=detect.THEMES, carried=["theme", "utc_start", "seconds", "score"])
+    return moments.plan_shorts(kept, ["day"], "id", "theme", "utc_start", "seconds", "score")
 
 
 @query()
