@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import colour
+from .common import nan_last, per_rows
 
 EARTH_M = 6_371_000.0
 # Fixed values of corners: the percentile, what it is where a session has no such values, degrees of lean, rows looked back.
@@ -95,7 +95,7 @@ def corners(df: DataFrame, by: Sequence[str], lap: str, t: str, speed: str, long
 
     What counts as braking, driving on and leaning are percentiles of the whole session ``by``. A corner begins with braking, or with leaning
     where none came before; it is entered when the bike leans, and left when it drives on, or is upright again and faster than at its slowest.
-    These steps depend on order, so a lap is one group in pandas.
+    These steps depend on order, so a lap is one group, read row by row.
     """
     level = lambda x: F.percentile(x, F.lit(CORNER_SHARE))
     acc = F.col(long_acc)
@@ -103,25 +103,32 @@ def corners(df: DataFrame, by: Sequence[str], lap: str, t: str, speed: str, long
         F.coalesce(level(F.when(acc > 0, acc)), F.lit(PLAIN_ACC)).alias("_drive"), F.coalesce(level(F.when(acc < 0, -acc)), F.lit(PLAIN_ACC)).alias("_brake"), F.greatest(F.lit(LEAST_LEAN), level(F.abs(lean))).alias("_lean")
     )
     keys = [*by, lap]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys) + ", corner int, t_start double, t_end double, before double, entry double, minimum double, max_lean double"
-
-    def found(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(t, kind="stable")
-        at, v, a, tilt = (g[c].to_numpy(float) for c in (t, speed, long_acc, lean))
-        tilt = np.abs(tilt)
-        braking, leaning, driving = a < -g["_brake"].iloc[0], tilt >= g["_lean"].iloc[0], a > g["_drive"].iloc[0]
-        begin = lambda mask, k: k + int(mask[k:].argmax()) if mask[k:].any() else None
+
+    def found(at, speeds, accs, leans, drives, brakes, limits):
+        known = lambda xs: [math.nan if x is None else float(x) for x in xs]
+        v, a, tilt = known(speeds), known(accs), [abs(x) for x in known(leans)]
+        drive, brake, least, n = drives[0], brakes[0], limits[0], len(at)
+        most = lambda xs: math.nan if any(x != x for x in xs) else max(xs)
         rows, k = [], 1
-        while (start := begin(braking | leaning, k)) is not None:
-            enter = begin(leaning, start + 1) if braking[start] else start
-            if enter is None:
+        while True:
+            start = next((j for j in range(k, n) if a[j] < -brake or tilt[j] >= least), n)
+            enter = start
+            if start < n and a[start] < -brake:
+                enter = next((j for j in range(start + 1, n) if tilt[j] >= least), n)
+            if enter >= n:
                 break
-            slowest = np.minimum.accumulate(v[enter:])
-            out = begin(np.concatenate([np.zeros(enter + 1, bool), (driving[enter:] | (~leaning[enter:] & (v[enter:] > slowest)))[1:]]), enter + 1)
+            slowest, out = v[enter], None
+            for j in range(enter + 1, n):
+                slowest = v[j] if v[j] < slowest or v[j] != v[j] else slowest
+                if a[j] > drive or (not tilt[j] >= least and v[j] > slowest):
+                    out = j
+                    break
             if out is None:
                 break
-            rows.append((*key, len(rows), at[start], at[out], v[max(0, start - CORNER_ROWS) : start + 1].max(), v[enter], slowest[out - enter], tilt[enter : out + 1].max()))
+            rows.append((len(rows), at[start], at[out], most(v[max(0, start - CORNER_ROWS) : start + 1]), v[enter], slowest, most(tilt[enter : out + 1])))
             k = out + 1
-        return pd.DataFrame(rows, columns=[*keys, "corner", "t_start", "t_end", "before", "entry", "minimum", "max_lean"])
+        return list(zip(*rows)) or [()] * 7
 
-    return df.where(whole).join(session, list(by)).groupBy(*keys).applyInPandas(found, schema)
+    ride = df.where(whole).join(session, list(by)).select(*keys, F.col(t).cast("double").alias("_t"), F.col(speed).alias("_v"), acc.alias("_a"), F.col(lean).alias("_n"), "_drive", "_brake", "_lean")
+    added = {"corner": "int", "t_start": "double", "t_end": "double", "before": "double", "entry": "double", "minimum": "double", "max_lean": "double"}
+    return per_rows(ride, keys, [nan_last(ride, "_t")], ["_t", "_v", "_a", "_n", "_drive", "_brake", "_lean"], added, found)
