@@ -6,11 +6,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import per_rows, written
 from .intervals import in_range, islands, overlap_pairs
 
 # Fixed values.
@@ -176,21 +175,27 @@ def lag_correlation_blocks(a: DataFrame, b: DataFrame, by: Sequence[str], k: str
     # One point for each series to measure from: the same in all blocks, or their sums wouldn't add up.
     zero = a0.groupBy(*by).agg(F.avg("_v").alias("_za")).join(b0.groupBy(*by).agg(F.avg("_v").alias("_zb")), list(by)) if by else a0.agg(F.avg("_v").alias("_za")).join(b0.agg(F.avg("_v").alias("_zb")), F.lit(True))
     less = lambda x, z: (x.join(zero, list(by)) if by else x.join(F.broadcast(zero), F.lit(True))).withColumn("_v", F.col("_v") - F.col(z)).select(*key, "_k", "_v")
-    kinds = ", ".join(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in by)
-
-    def step(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        first = int(keys[-1]) * block
-        x, y = np.full(block + 2 * most, np.nan), np.full(block, np.nan)
-        x[left["_k"].to_numpy() - first + most] = left["_v"].to_numpy()
-        y[right["_k"].to_numpy() - first] = right["_v"].to_numpy()
-        out = pd.DataFrame({"lag": np.arange(-most, most + 1, dtype=np.int32)} | block_sums(x, y, most))
-        for c, value in zip(by, keys):
-            out[c] = value
-        return out[out["n"] > 0]
-
-    schema = f"{kinds}{', ' if by else ''}lag int, n double, sa double, sb double, saa double, sbb double, sab double"
-    order = [*by, "lag", "n", "sa", "sb", "saa", "sbb", "sab"]
-    blocks = less(a0, "_za").groupBy(*key).cogroup(less(b0, "_zb").groupBy(*key)).applyInPandas(lambda keys, left, right: step(keys, left, right)[order], schema)
+    sums = ["n", "sa", "sb", "saa", "sbb", "sab"]
+
+    def step(second, steps, values):
+        """A block's sums over the steps that its second series has: of a sparse block only their range is transformed."""
+        cut = second.index(True) if second[-1] else len(second)
+        if cut in (0, len(second)):
+            return [[]] * 7
+        low, high = min(steps[cut:]), max(steps[cut:])
+        x, y = np.full(high - low + 1 + 2 * most, np.nan), np.full(high - low + 1, np.nan)
+        for k, v in zip(steps[:cut], values[:cut]):
+            if low - most <= k <= high + most:
+                x[k - low + most] = v
+        for k, v in zip(steps[cut:], values[cut:]):
+            y[k - low] = v
+        found = block_sums(x, y, most)
+        met = np.flatnonzero(found["n"] > 0)
+        return [(met - most).tolist(), *(found[c][met].tolist() for c in sums)]
+
+    both = less(a0, "_za").withColumn("_second", F.lit(False)).unionByName(less(b0, "_zb").withColumn("_second", F.lit(True)))
+    blocks = per_rows(both, key, [F.col("_second"), F.col("_k")], ["_second", "_k", "_v"], {"lag": "int"} | dict.fromkeys(sums, "double"), step)
+    order = [*by, "lag", *sums]
     s = blocks.groupBy(*by, "lag").agg(*(F.sum(c).alias(c) for c in order[len(by) + 1 :]))
     n = F.col("n")
     spread = lambda total, square: F.col(square) - F.col(total) * F.col(total) / n

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from momentlake.functions import scalars as S
-from momentlake.operators import cascade, detect, intervals, laps, learn, moments, rank, series
+from momentlake.operators import align, cascade, detect, intervals, laps, learn, moments, rank, series
+from momentlake.operators.common import per_rows
 from momentlake.streaming import sessions
 from momentlake.sources import records
 
@@ -281,3 +282,27 @@ def test_recordings_that_must_not_be_together(spark):
     pieces = spark.createDataFrame([("d", 1, "x"), ("d", 1, "y"), ("d", 2, "x"), ("d", 2, "z")], "d string, m int, recording_id string")
     flagged = spark.createDataFrame([("d", "y", "x")], "d string, a string, b string")
     assert sorted((r["m"], r["recording_id"]) for r in cascade.not_together(pieces, flagged, ["d"], "m").collect()) == [(2, "x"), (2, "z")]
+
+
+def test_steps_take_groups_from_sorted_rows(spark):
+    """A group isn't a pandas frame of its own: the steps that depend on order read a task's sorted rows, group after group."""
+    m = spark.createDataFrame([(0, 1, "duel", 0.0, 5.0, 1.0)], "d int, i int, theme string, a double, b double, v double")
+    series = lambda v: m.select("d", F.col("i").alias("k"), F.col("v").alias(v))
+    made = [
+        moments.suppress(m, ["d"], "i", "a", "b", "v"), moments.plan_shorts(m, ["d"], "i", "theme", "a", "b", "v"), moments.pack_next_fit(m, ["d"], "i", "b", "v"), moments.focus(m, ["d"], "a", "theme", "v"),
+        moments.smooth_limited(m, ["d"], "a", "i", "v"), moments.cooldown(m, ["d"], "a", "i", 5.0), laps.corners(m, ["d"], "i", "a", "v", "v", "v", F.lit(True)), align.lag_correlation_blocks(series("x"), series("y"), ["d"], "k", "x", "y", 1),
+    ]
+    for df in made:
+        df.collect()
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMap" not in plan
+
+
+def test_groups_over_several_batches_stay_whole(spark):
+    df = spark.createDataFrame([(g, float(n)) for g in (None, 1, 2, 3) for n in range(7)], "g int, x double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = per_rows(df, ["g"], [F.col("x").desc()], ["x"], {"n": "int", "first": "x"}, lambda xs: ([len(xs)], [xs[0]])).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got), key=str) == [(1, 7, 6.0), (2, 7, 6.0), (3, 7, 6.0), (None, 7, 6.0)]
